@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handled in blocks of about this many characters, so that a task's memory does not follow its partition.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
