@@ -1,7 +1,7 @@
 """All queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import language, licences, pages, toxicity
+from . import language, licences, packing, pages, toxicity
 
-MODULES = (language, licences, pages, toxicity)
+MODULES = (language, licences, packing, pages, toxicity)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
