@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from . import base
 
-POSITIVE_DOCS, NEGATIVE_DOCS = 2_500, 5_000  #: bounds of the labelled sample
+POSITIVE_DOCS, NEGATIVE_DOCS = 2_000, 4_000  #: bounds of the labelled sample
 LENGTH, SPAN, DECAY = 4, 6, 0.6
 FEATURES = 1 << 20  #: hashed subsequences
 LANDMARKS = 384
 COST = 20.0  #: of a violated margin; a positive token's share follows its number of toxic texts
-NEGATIVE_TOKENS = 12_000
+NEGATIVE_TOKENS = 8_000
 MIN_SUPPORT = 2.0  #: log ratio from which a character sequence is a witness
 MIN_TOXIC = 4  #: toxic texts (summed over tokens) in which a witness must occur
 WITNESS_SIZES = (4, 5, 6, 7)
@@ -94,8 +94,8 @@ class Model:
 
     def values(self, tokens: list[str]) -> np.ndarray:
         out = np.full(len(tokens), -1.0)
-        for i in range(0, len(tokens), 100_000):
-            x = subsequences(tokens[i : i + 100_000])
+        for i in range(0, len(tokens), 20_000):
+            x = subsequences(tokens[i : i + 20_000])
             out[i : i + x.n] = np.bincount(x.token, self.weights[x.feature] * x.weight, minlength=x.n) + self.bias
         return out
 
@@ -152,15 +152,18 @@ def newton_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: i
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps on the rows inside the margin."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x1.shape[1])
-    w[-1] = -1.0
-    reg = np.eye(len(w))
-    reg[-1, -1] = 1e-6
+    n, d = x.shape
+    w = np.append(np.zeros(d), -1.0)
     for _ in range(rounds):
-        inside = y * (x1 @ w) < 1
-        xs, ys, cs = x1[inside], y[inside], cost[inside]
-        new = np.linalg.solve(reg + 2 * xs.T @ (xs * cs[:, None]), 2 * xs.T @ (cs * ys))
+        inside = np.flatnonzero(y * (x @ w[:-1] + w[-1]) < 1)
+        left, right = np.eye(d + 1), np.zeros(d + 1)
+        left[-1, -1] = 1e-6
+        for i in range(0, len(inside), 2_000):  # in parts, for the driver's memory
+            at = inside[i : i + 2_000]
+            part = np.hstack([x[at], np.ones((len(at), 1), x.dtype)]).astype(float)
+            left += 2 * part.T @ (part * cost[at, None])
+            right += 2 * part.T @ (cost[at] * y[at])
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -174,8 +177,8 @@ def kernel(coded: Coded, index: np.ndarray, dense: np.ndarray) -> np.ndarray:
     out = np.zeros((coded.n, dense.shape[1]), np.float32)
     order = np.argsort(coded.token[some], kind="stable")
     at, weight, token = at[some][order], coded.weight[some][order].astype(np.float32), coded.token[some][order]
-    for i in range(0, len(at), 200_000):
-        j = min(i + 200_000, len(at))
+    for i in range(0, len(at), 20_000):
+        j = min(i + 20_000, len(at))
         first = np.flatnonzero(np.append(True, token[i + 1 : j] != token[i : j - 1]))
         out[token[i:j][first]] += np.add.reduceat(dense[at[i:j]] * weight[i:j, None], first, axis=0)
     return out
@@ -188,15 +191,15 @@ def fit(tokens: list[str], toxic_df: np.ndarray, clean_df: np.ndarray, n_toxic:
     # witnesses: contiguous sequences of WITNESS_SIZES characters
     sizes = np.fromiter((len(t) + 2 for t in tokens), np.int64, len(tokens))
     cp = np.frombuffer("".join(f"^{t}$" for t in tokens).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner, left = np.repeat(np.arange(len(tokens)), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(cp))
+    owner, left = np.repeat(np.arange(len(tokens), dtype=np.int32), sizes), (np.repeat(np.cumsum(sizes), sizes) - np.arange(len(cp))).astype(np.int32)
     best = np.full(len(tokens), -9.0)
     code = np.zeros(len(cp), np.uint64)
     for size in range(1, WITNESS_SIZES[-1] + 1):
         code[: len(cp) - size + 1] = (code[: len(cp) - size + 1] ^ cp[size - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
         if size not in WITNESS_SIZES:
             continue
-        at = np.flatnonzero(left >= size)
-        _, gram = np.unique(code[at], return_inverse=True)
+        at = np.flatnonzero(left >= size).astype(np.int32)
+        gram = (code[at] >> np.uint64(43)).astype(np.int32)  # 21 bits: chance meetings are rare and only weaken a witness
         in_toxic, in_clean = np.bincount(gram, toxic_df[owner[at]]), np.bincount(gram, clean_df[owner[at]])
         witness = np.log((in_toxic + 1) / (ratio * 2 * in_clean + 1))
         np.maximum.at(best, owner[at], np.where(in_toxic >= MIN_TOXIC, witness[:], -9.0)[gram])
@@ -224,8 +227,9 @@ def fit(tokens: list[str], toxic_df: np.ndarray, clean_df: np.ndarray, n_toxic:
     root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-6))) @ vec.T
 
     def mapped(ids: np.ndarray) -> np.ndarray:
-        return kernel(subsequences([tokens[i] for i in ids]), index, dense) @ root
+        return kernel(subsequences([tokens[i] for i in ids]), index, dense) @ root.astype(np.float32)
 
+    del cp, owner, left, code, at, gram, in_toxic, in_clean, witness
     weights, bias = np.zeros(FEATURES, np.float32), -1.0
     for r in range(rounds):
         ids = np.concatenate([positive, negative])
