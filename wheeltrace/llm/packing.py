@@ -35,25 +35,43 @@ SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long
 def differencing(sizes: Sequence[int], k: int) -> list[list[int]]:
     """Split items into k sets of near-equal sums: Karmarkar and Karp's method for k sets.
 
-    A partial partition is its k sums, largest first, less their minimum, and the items in each set."""
-    heap: list[tuple[int, int, np.ndarray, list[list[int]]]] = []
+    A partial partition is its k sums, largest first, less their minimum, and for each set the node that holds its items:
+    an item itself, or a pair of nodes that were merged. -1 is the empty set."""
+    n = len(sizes)
+    left, right = np.full(2 * n + k, -1, np.int64), np.full(2 * n + k, -1, np.int64)
+    heap: list[tuple[int, int, np.ndarray, np.ndarray]] = []
     for i, s in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[0] = s
-        heap.append((-int(s), i, sums, [[i], *([[]] * (k - 1))]))
+        sums, nodes = np.zeros(k, np.int64), np.full(k, -1, np.int64)
+        sums[0], nodes[0] = s, i
+        heap.append((-int(s), i, sums, nodes))
     heapq.heapify(heap)
-    count = len(heap)
+    count, node = n, n
     while len(heap) > 1:
         _, _, a, own = heapq.heappop(heap)
         _, _, b, other = heapq.heappop(heap)
-        sums = a + b[::-1]
+        sums, other = a + b[::-1], other[::-1]
+        both = np.flatnonzero((own >= 0) & (other >= 0))
+        merged = np.maximum(own, other)
+        fresh = np.arange(node, node + len(both))
+        left[fresh], right[fresh], merged[both] = own[both], other[both], fresh
+        node += len(both)
         order = np.argsort(-sums, kind="stable")
         sums = sums[order]
         sums -= sums[-1]
-        sets = [x + y if x and y else x or y for x, y in zip(own, reversed(other), strict=True)]
-        heapq.heappush(heap, (-int(sums[0]), count, sums, [sets[j] for j in order.tolist()]))
+        heapq.heappush(heap, (-int(sums[0]), count, sums, merged[order]))
         count += 1
-    return heap[0][3] if heap else []
+
+    def items(top: int) -> list[int]:
+        found, todo = [], [top]
+        while todo:
+            x = todo.pop()
+            if x >= n:
+                todo += (int(right[x]), int(left[x]))
+            elif x >= 0:
+                found.append(x)
+        return found
+
+    return [items(int(x)) for x in heap[0][3]] if heap else []
 
 
 def windows(sizes: Sequence[int], capacity: int) -> list[list[int]]:
