@@ -32,7 +32,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 BUCKETS = 1 << 18  #: of the table of document frequencies
 BLOCK = 1 << 15
-TILE_MINOR, TILE_ALL = 100, 300
+TILE_MINOR, TILE_ALL = 400_000, 600_000  #: shingles of a tile's rows outside the largest component, and of all its rows
 _U16 = 1 << 16
 
 
@@ -205,26 +205,27 @@ def linked(sets: list[tuple[np.ndarray, np.ndarray]], group: np.ndarray, minor:
 
 
 def signed(docs: DataFrame, idf: np.ndarray, id_col: str, text: str) -> DataFrame:
-    """(doc_id, rid, key, node, bands) of each row: rid stands for the row's id and text, key for its text, node for its
-    words (null without words)."""
+    """(doc_id, rid, key, size, node, bands) of each row: rid stands for the row's id and text, key for its text, size counts
+    its shingles, node stands for its words (null without words)."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [t or "" for t in pdf.text]
-            nodes, bands = np.zeros(len(texts), np.int64), [None] * len(texts)
+            nodes, sizes, bands = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [None] * len(texts)
             for i, j in base.blocks(texts):
                 s = shingles(texts[i:j], shared.value)
-                nodes[i:j] = s.node.view(np.int64)
+                nodes[i:j], sizes[i:j] = s.node.view(np.int64), s.sizes
                 for r, keys in zip(np.flatnonzero(s.sizes), band_keys(s).view(np.int64), strict=True):
                     bands[i + r] = keys
             out = pdf[["doc_id", "rid", "key"]].copy()
+            out["size"] = sizes
             out["node"] = pd.Series(nodes, index=out.index).astype("Int64").mask([b is None for b in bands])
             out["bands"] = bands
             yield out
 
     rows = docs.select(F.col(id_col).alias("doc_id"), row_id(id_col, text).alias("rid"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, rid long, key long, node long, bands array<long>")
+    return rows.mapInPandas(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, rid long, key long, size long, node long, bands array<long>")
 
 
 def row_id(id_col: str, text: str):
@@ -237,8 +238,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", thre
     idf, _ = document_frequencies(docs.select(F.col(text).alias("text")))
     rows = base.materialise(signed(docs, idf, id_col, text), "signed")
     shared = spark.sparkContext.broadcast(idf)
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("bands").alias("bands"))
-    members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    members = nodes.select("node", "size", F.posexplode("bands").alias("band", "bucket"))
     leads = members.groupBy("band", "bucket").agg(F.min("node").alias("lead"), F.count("*").alias("held")).filter("held > 1").drop("held")
     members = base.materialise(members.join(leads, ["band", "bucket"]), "buckets")
     pairs = members.filter("node <> lead").select("node", "lead").distinct()
@@ -267,10 +268,10 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", thre
     groups = base.connected(links, spark)
 
     # buckets that these links leave in parts
-    members = members.select("band", "bucket", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = members.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"))
-    major = parts.groupBy("band", "bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts"), F.sum("n").alias("held")).filter("parts > 1")
-    major = major.select("band", "bucket", F.col("m.component").alias("major"), F.ceil(F.col("held") / TILE_ALL).cast("int").alias("ta"), F.ceil((F.col("held") - F.col("m.n")) / TILE_MINOR).cast("int").alias("tm"))
+    members = members.select("band", "bucket", "node", "size").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = members.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    major = parts.groupBy("band", "bucket").agg(F.max(F.struct("n", "component", "size")).alias("m"), F.count("*").alias("parts"), F.sum("size").alias("held")).filter("parts > 1")
+    major = major.select("band", "bucket", F.col("m.component").alias("major"), F.ceil(F.col("held") / TILE_ALL).cast("int").alias("ta"), F.ceil((F.col("held") - F.col("m.size")) / TILE_MINOR).cast("int").alias("tm"))
     open_ = members.join(major, ["band", "bucket"])
     salt = lambda n, by: F.pmod(F.xxhash64(F.lit(by), "node"), F.col(n)).cast("int")
     every = open_.select("band", "bucket", "node", "component", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("tm") - 1)).alias("i"), salt("ta", "all").alias("j"))
