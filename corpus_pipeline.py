@@ -1,4 +1,8 @@
-"""A training-data pipeline over `documents`: stages that each take and return documents."""
+"""A training-data pipeline over `documents`: language, toxicity, near-duplicates, mixing of sources, packing.
+
+Each stage takes and (but for the last) returns the columns of documents; what it rejects is gone for the next. run()
+writes each stage's rows to the shared folder and reads them again, so a lost executor costs no more than a stage.
+"""
 
 from __future__ import annotations
 
@@ -7,29 +11,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wheeltrace.llm import base, language
+from wheeltrace.llm import base, language, minhash, mixing, packing, toxicity
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document is kept where one language holds at least this share of its letters.
 MIN_LANGUAGE_SHARE = 0.35
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document goes from this toxicity score on.
+MAX_TOXICITY = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a known language holds enough letters; a text without a letter goes."""
-    model = language.train(docs)
-    found = language.identify(docs, model, keep=COLUMNS)
+    found = language.identify(docs, language.train(docs), keep=COLUMNS)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*COLUMNS)
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a machine trained on the labels does not call toxic."""
+    model = toxicity.train(docs.select("doc_id", "text"), base.table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model, keep=COLUMNS).filter(F.col("score") < MAX_TOXICITY).select(*COLUMNS)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, that with the smallest id."""
+    return minhash.deduplicate(docs.select(*COLUMNS))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: for each pass over a document, the words that the source's share takes of it."""
+    return mixing.mix_texts(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 tokens."""
+    return packing.digest(packing.pack(docs))
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("language", language_stage)]
+STAGES: list[tuple[str, Stage]] = [("language", language_stage), ("toxicity", toxicity_stage), ("near_duplicates", dedup_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 
 #: SQL can express neither the trained models nor the hash searches of these stages.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to `documents`; each one's result is written to the shared folder and read again."""
+    """Apply the stages to `documents`."""
     docs = base.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = base.materialise(stage(spark, docs, sf_dir), name)
