@@ -64,7 +64,7 @@ def smooth(df: DataFrame, columns: Sequence[str], *, size: int = 11, degree: int
     """Columns smoothed by a centred Savitzky-Golay filter; ends take the fit of the first or last window; routes shorter
     than the window stay as they are. One window on the route serves all."""
     w, hat, half = W.partitionBy(*keys).orderBy(*order), savgol_weights(size, degree), size // 2
-    df = df.withColumn("_rn", F.row_number().over(w) - 1).withColumn("_cnt", F.count("*").over(W.partitionBy(*keys)))
+    df = df.withColumn("_sg_row", F.row_number().over(w) - 1).withColumn("_sg_n", F.count("*").over(W.partitionBy(*keys)))
     for c in columns:
         def at(row: int, c: str = c) -> Column:
             total = None
@@ -76,9 +76,9 @@ def smooth(df: DataFrame, columns: Sequence[str], *, size: int = 11, degree: int
 
         out = at(half)
         for r in range(half):
-            out = F.when(F.col("_rn") == r, at(r)).when(F.col("_rn") == F.col("_cnt") - 1 - r, at(size - 1 - r)).otherwise(out)
-        df = df.withColumn(c + suffix, F.when(F.col("_cnt") < size, F.col(c)).otherwise(out))
-    return df.drop("_rn", "_cnt")
+            out = F.when(F.col("_sg_row") == r, at(r)).when(F.col("_sg_row") == F.col("_sg_n") - 1 - r, at(size - 1 - r)).otherwise(out)
+        df = df.withColumn(c + suffix, F.when(F.col("_sg_n") < size, F.col(c)).otherwise(out))
+    return df.drop("_sg_row", "_sg_n")
 
 
 def trajectory(cleaned: DataFrame, th: Thresholds) -> DataFrame:

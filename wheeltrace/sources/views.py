@@ -55,7 +55,7 @@ def road_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     n = table(spark, sf_dir, "nation")
     nodes = n.select(F.col("n_nationkey").cast("int").alias("node_id"), ((F.col("n_nationkey") % 5) * 100.0).alias("x"), (F.floor(F.col("n_nationkey") / 5) * 80.0).alias("y"))
     steps = F.explode(F.array(*(F.struct(F.lit(s).alias("step"), F.lit(k).alias("key")) for k, s in enumerate((1, 3, 7)))))
-    edges = nodes.select(F.col("node_id").alias("u"), steps.alias("e")).select("u", ((F.col("u") + F.col("e.step")) % 25).cast("int").alias("v"), F.col("e.key").alias("key"))
+    edges = nodes.select(F.col("node_id").alias("u"), steps.alias("e")).select("u", ((F.col("u") + F.col("e.step")) % 25).cast("int").alias("v"), F.col("e.key").alias("key")).filter("(u + key * 5) % 4 <> 0")
     kinds = F.array(*(F.lit(x) for x in ("motorway", "primary_link", "residential", "secondary", "tertiary")))
     limits = F.array(*(F.lit(x) for x in ("100", "50 mph", "30", "walk", "60")))
     edges = edges.withColumn("length", 40.0 + ((F.col("u") * 7 + F.col("key") * 31) % 13) * 10.0).withColumn("highway", F.element_at(kinds, (F.col("u") + F.col("key")) % 5 + 1)).withColumn("maxspeed", F.element_at(limits, (F.col("u") + 2 * F.col("key")) % 5 + 1))
@@ -81,7 +81,7 @@ SQL = {
     "nodes": "nodes AS (SELECT CAST(n_nationkey AS INTEGER) AS node_id, (n_nationkey % 5) * 100.0::DOUBLE AS x, floor(n_nationkey / 5) * 80.0::DOUBLE AS y FROM nation)",
     "edges": """edges AS (SELECT u, v, key, 40.0::DOUBLE + ((u * 7 + key * 31) % 13) * 10.0::DOUBLE AS length,
         (['motorway', 'primary_link', 'residential', 'secondary', 'tertiary'])[(u + key) % 5 + 1] AS highway, (['100', '50 mph', '30', 'walk', '60'])[(u + 2 * key) % 5 + 1] AS maxspeed
-        FROM (SELECT node_id AS u, CAST((node_id + s.step) % 25 AS INTEGER) AS v, s.key AS key FROM nodes, (VALUES (1, 0), (3, 1), (7, 2)) s(step, key)))""",
+        FROM (SELECT node_id AS u, CAST((node_id + s.step) % 25 AS INTEGER) AS v, s.key AS key FROM nodes, (VALUES (1, 0), (3, 1), (7, 2)) s(step, key) WHERE (node_id + s.key * 5) % 4 <> 0))""",
 }
 
 
