@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Texts are handled in blocks of about this many characters, so that a task's memory does not follow its partition.
-BLOCK_CHARS = 2_500_000
+BLOCK_CHARS = 1_000_000
+#: Rows of an Arrow batch whose texts are Python strings at a time.
+SLICE_ROWS = 1_500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +52,31 @@ def blocks(texts: list[str], max_chars: int = BLOCK_CHARS) -> Iterator[tuple[int
         yield i, len(texts)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `rows` rows, without copies."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def map_texts(df: DataFrame, text: str, keep: Sequence[str], schema: str, fn: Callable[[list[str]], Sequence[Sequence]]) -> DataFrame:
+    """`keep` columns of each row as they are, and new columns that fn gives for the texts (null: empty), one list for each
+    column of `schema`. Kept columns stay in Arrow, so ids keep their type and nulls. fn gets some rows' texts; it
+    handles them in blocks itself."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    new = StructType.fromDDL(schema)
+    types = [to_arrow_type(f.dataType) for f in new]
+    rows = df.select(F.col(text).cast("string").alias("_text"), *keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            made = [pa.array(v, t) for v, t in zip(fn([t or "" for t in b.column(0).to_pylist()]), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *made], names=[*b.schema.names[1:], *new.names])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], *new.fields]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only where the session names none (as in tests), a new local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -13,11 +13,10 @@ on its own.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -226,18 +225,12 @@ def scan_licences(docs: DataFrame, scanner: Scanner, *, text: str = "text", keep
     """`keep` columns of each row with n_words, base places and template spans."""
     shared = docs.sparkSession.sparkContext.broadcast(scanner)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t or "" for t in pdf.pop("_text")]
-            found = [x for i, j in base.blocks(texts) for x in shared.value.scan(texts[i:j])]
-            pdf["n_words"] = [x["n_words"] for x in found]
-            pdf["base"] = [[{"word": w, "label": label} for w, label in x["base"]] for x in found]
-            pdf["spans"] = [[{"label": s[0], "first": s[1], "last": s[2], "coverage": s[3]} for s in x["spans"]] for x in found]
-            yield pdf
-
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInPandas(run, f"{kept}, n_words long, base array<struct<word:long,label:string>>, spans array<struct<label:string,first:long,last:long,coverage:double>>")
+    def run(texts: list[str]) -> list[list]:
+        found = [x for i, j in base.blocks(texts) for x in shared.value.scan(texts[i:j])]
+        spans = [[{"label": s[0], "first": s[1], "last": s[2], "coverage": s[3]} for s in x["spans"]] for x in found]
+        return [[x["n_words"] for x in found], [[{"word": w, "label": label} for w, label in x["base"]] for x in found], spans]
+
+    return base.map_texts(docs, text, keep, "n_words long, base array<struct<word:long,label:string>>, spans array<struct<label:string,first:long,last:long,coverage:double>>", run)
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,23 +209,18 @@ def signed(docs: DataFrame, idf: np.ndarray, id_col: str, text: str) -> DataFram
     its shingles, node stands for its words (null without words)."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t or "" for t in pdf.text]
-            nodes, sizes, bands = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [None] * len(texts)
-            for i, j in base.blocks(texts):
-                s = shingles(texts[i:j], shared.value)
-                nodes[i:j], sizes[i:j] = s.node.view(np.int64), s.sizes
-                for r, keys in zip(np.flatnonzero(s.sizes), band_keys(s).view(np.int64), strict=True):
-                    bands[i + r] = keys
-            out = pdf[["doc_id", "rid", "key"]].copy()
-            out["size"] = sizes
-            out["node"] = pd.Series(nodes, index=out.index).astype("Int64").mask([b is None for b in bands])
-            out["bands"] = bands
-            yield out
+    def run(texts: list[str]) -> list[list]:
+        nodes, sizes, bands = [], [], []
+        for i, j in base.blocks(texts):
+            s = shingles(texts[i:j], shared.value)
+            keys = iter(band_keys(s).view(np.int64))
+            nodes += [n if size else None for n, size in zip(s.node.view(np.int64).tolist(), s.sizes, strict=True)]
+            bands += [next(keys) if size else None for size in s.sizes]
+            sizes += s.sizes.tolist()
+        return [nodes, sizes, bands]
 
     rows = docs.select(F.col(id_col).alias("doc_id"), row_id(id_col, text).alias("rid"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, rid long, key long, size long, node long, bands array<long>")
+    return base.map_texts(rows, "text", ["doc_id", "rid", "key"], "node long, size long, bands array<long>", run)
 
 
 def row_id(id_col: str, text: str):
@@ -301,9 +296,10 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     """docs with one row of each class: the one with the smallest id (then the smallest hash of id and text). Rows without
     words are classes of their own and stay."""
     found = base.materialise(classes(docs, id_col=id_col, text=text, threshold=threshold), "classes")
-    keep = found.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select("m.rid")
+    keep = found.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select(F.col("m.rid").alias("_kept_rid"))
     keep = keep.union(found.filter("component is null").select("rid").distinct())
-    return docs.withColumn("_rid", row_id(id_col, text)).join(keep, F.col("_rid") == F.col("rid")).dropDuplicates(["_rid"]).select(*docs.columns)
+    marked = docs.withColumn("_row_rid", row_id(id_col, text))
+    return marked.join(keep, F.col("_row_rid") == F.col("_kept_rid")).dropDuplicates(["_row_rid"]).select(*docs.columns)
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -222,39 +223,40 @@ def mix_texts(docs: DataFrame, *, text: str = "text", source: str = "source", id
     takes of it (the text as it is where it takes all). A row looks up its blocks by the inverse permutation, so its text
     moves once, for its place in the source."""
     spark = docs.sparkSession
-    columns = docs.columns
-    rows = sized(docs.select(*(F.col(c) for c in columns), F.col(id_col).alias("_id"), F.col(source).alias("_source")), text, "_size")
+    plain = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))  # no name of docs can clash below
+    names = plain.columns
+    own = dict(zip(docs.columns, names, strict=True))
+    rows = sized(plain.select("*", F.col(own[id_col]).alias("_id"), F.col(own[source]).alias("_source")), own[text], "_size")
     sizes, n_rows = measure(rows)
     sources = {s.number: s for s in plan(sizes, weights=weights, max_repeats=max_repeats, block=block, seed=seed)}
-    at = placed(rows, source_table(spark, list(sources.values())).select("source_no", "name"), n_rows).select(*columns, "source_no", "start", "_size")
-
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i, j in base.blocks([t or "" for t in pdf[text]]):
-                rows_out, texts = [], []
-                for r, (t, number, start, size) in enumerate(zip(pdf[text].iloc[i:j], pdf.source_no.iloc[i:j], pdf.start.iloc[i:j], pdf["_size"].iloc[i:j], strict=True), i):
-                    if not size:
-                        continue
-                    s = sources[number]
-                    held = np.arange(start // block, (start + size - 1) // block + 1)
-                    place = permute(held, s.blocks, seed, number, inverse=True)
-                    for p in range(s.passes + (s.slots > 0)):
-                        if p < s.passes:
-                            rows_out.append(r), texts.append(t)
-                            continue
-                        words = np.where(place < s.slots - 1, block, np.where(place == s.slots - 1, s.last, 0))
-                        lo = np.maximum(held * block - start, 0)
-                        hi = np.maximum(np.minimum(held * block + words - start, size), lo)
-                        if (hi > lo).any():
-                            raw = t.encode("utf-8", "surrogatepass").split()
-                            whole = int((hi - lo).sum()) == size
-                            rows_out.append(r)
-                            texts.append(t if whole else b" ".join(w for a, b in zip(lo.tolist(), hi.tolist(), strict=True) for w in raw[a:b]).decode("utf-8", "surrogatepass"))
-                out = pdf[columns].iloc[rows_out].reset_index(drop=True)
-                out[text] = texts
-                yield out
-
-    return at.mapInPandas(take, docs.schema)
+    at = placed(rows, source_table(spark, list(sources.values())).select("source_no", "name"), n_rows).select("source_no", "start", "_size", *names)
+    column = 3 + docs.columns.index(text)
+
+    def part(t: str, s: Source, start: int, size: int) -> list[str]:
+        """The texts that the mix takes of one row, pass by pass."""
+        held = np.arange(start // block, (start + size - 1) // block + 1)
+        place = permute(held, s.blocks, seed, s.number, inverse=True)
+        words = np.where(place < s.slots - 1, block, np.where(place == s.slots - 1, s.last, 0))
+        lo = np.maximum(held * block - start, 0)
+        hi = np.maximum(np.minimum(held * block + words - start, size), lo)
+        if not (hi > lo).any():
+            return [t] * s.passes
+        raw = t.encode("utf-8", "surrogatepass").split()
+        last = t if int((hi - lo).sum()) == size else b" ".join(w for a, b in zip(lo.tolist(), hi.tolist(), strict=True) for w in raw[a:b]).decode("utf-8", "surrogatepass")
+        return [t] * s.passes + [last]
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in base.slices(batches):
+            all_texts = [t or "" for t in b.column(column).to_pylist()]
+            numbers, starts, counts = (b.column(i).to_pylist() for i in range(3))
+            for i, j in base.blocks(all_texts):
+                made = [(r, t) for r in range(i, j) if counts[r] for t in part(all_texts[r], sources[numbers[r]], starts[r], counts[r])]
+                rows_out = b.take(pa.array([r for r, _ in made], pa.int64()))
+                columns = rows_out.columns
+                columns[column] = pa.array([t for _, t in made], columns[column].type)
+                yield pa.RecordBatch.from_arrays(columns[3:], names=names)
+
+    return at.mapInArrow(take, plain.schema).toDF(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,10 +17,11 @@ import heapq
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import base
 
@@ -28,7 +29,7 @@ CAPACITY = 2048
 END_ID = 1
 PIECE = 256  #: longest piece of a document's rest
 WINDOWS = 192  #: windows of a group
-SLACK = 6  #: tokens that an average window of a full group leaves free
+SLACK = 3  #: tokens that an average window of a full group leaves free
 SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, `offset` long"
 
 
@@ -161,41 +162,48 @@ def pack(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     """One row for each piece: `keep` columns, its start in the document, length, ids (little-endian unsigned 32-bit),
     the document's tokens, its sequence and its place there."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = docs.select(F.col(text).cast("string").alias("_text"), *keep)
+    new = StructType.fromDDL(SCHEMA)
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe(ranks, exact)
         packer = Packer(TaskContext.get().partitionId() << 36, capacity, piece, group, slack)
-        kept: dict[int, tuple] = {}
+        kept: dict[int, pa.RecordBatch] = {}  # the kept columns of batches that pending pieces still need, by first row
         number = 0
 
-        def out() -> pd.DataFrame:
-            rows, packer.rows = packer.rows, []
-            made = pd.DataFrame([kept[r[0]] for r in rows], columns=list(keep), dtype=object)
-            for i, name in enumerate(("start", "length", "ids", "doc_tokens", "sequence_id", "offset"), 1):
-                made[name] = [r[i] for r in rows]
-            waiting = {p[0] for p in packer.pending}
-            for r in [r for r in kept if r not in waiting]:
-                del kept[r]
-            return made
-
-        for pdf in batches:
-            cells = list(zip(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in keep), strict=True))
+        def out() -> Iterator[pa.RecordBatch]:
+            made, packer.rows = sorted(packer.rows, key=lambda r: r[0]), []
+            at = 0
+            for first in sorted(kept):
+                end = at
+                while end < len(made) and made[end][0] < first + kept[first].num_rows:
+                    end += 1
+                if end > at:
+                    columns = list(zip(*made[at:end], strict=True))
+                    own = kept[first].take(pa.array([r - first for r in columns[0]], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, t) for c, t in zip(columns[1:], types, strict=True))], names=[*own.schema.names, *new.names])
+                at = end
+            oldest = min((p[0] for p in packer.pending), default=number)
+            for first in [f for f in kept if f + kept[f].num_rows <= min(oldest, number)]:
+                del kept[first]
+
+        for b in base.slices(batches):
+            kept[number] = b.select(list(range(1, b.num_columns)))
             size = 0
-            for row, t in zip(cells, pdf["_text"], strict=True):
-                kept[number] = row
+            for t in b.column(0).to_pylist():
                 packer.add(number, np.append(encode(t or ""), np.uint32(end_id)))
                 number += 1
                 size += len(t or "")
                 if size > base.BLOCK_CHARS:
-                    yield out()
+                    yield from out()
                     size = 0
-            yield out()
+            yield from out()
         if packer.pending:
             packer.flush()
-        yield out()
+        yield from out()
 
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInPandas(run, f"{names}, {SCHEMA}")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], *new.fields]))
 
 
 def digest(pieces: DataFrame) -> DataFrame:

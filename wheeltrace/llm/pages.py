@@ -13,12 +13,10 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -312,16 +310,11 @@ def extract(pages: DataFrame, model: Model, *, html: str = "html", keep: tuple[s
     """`keep` columns of each row with text and n_blocks."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [main_text(shared.value, h or "") for h in pdf.pop("_html")]
-            pdf["text"] = [x[0] for x in found]
-            pdf["n_blocks"] = [x[1] for x in found]
-            yield pdf
+    def run(texts: list[str]) -> list[list]:
+        found = [main_text(shared.value, h) for h in texts]
+        return [[x[0] for x in found], [x[1] for x in found]]
 
-    rows = pages.select(*keep, F.col(html).alias("_html"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_html")
-    return rows.mapInPandas(run, f"{kept}, text string, n_blocks int")
+    return base.map_texts(pages, html, keep, "text string, n_blocks int", run)
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
