@@ -34,6 +34,7 @@ SCRIPT_RANGES = (
 SCRIPTS = ("Other", *sorted({name for _, _, name in SCRIPT_RANGES}))
 
 BUCKETS = 1 << 18  #: hashed features of a language
+SPLIT_CHARS, VITERBI_CHARS = 500_000, 4_000_000  #: characters whose words are split, and whose words are labelled, at a time
 BLOCK = 1 << 14  #: features that travel together when tasks' counts are added up
 SAMPLE_DOCS = 20_000  #: bound of the labelled sample
 SWITCH_PENALTY = 14.0  #: natural-log units that a change of language costs
@@ -184,22 +185,26 @@ def word_scores(model: Model, w: Words) -> np.ndarray:
 def label_texts(model: Model, texts: list[str], penalty: float = SWITCH_PENALTY) -> list[tuple[str, float, int, list[tuple[str, int]]]]:
     """(language, share of letters, letters, [(span language, words)...]) of each text."""
     out: list = []
-    for i, j in base.blocks(texts):
+    for i, j in base.blocks(texts, VITERBI_CHARS):
         part = [t.lower() for t in texts[i:j]]
-        w = split_words(part)
-        sizes = np.bincount(w.text, minlength=len(part)) if len(w.first) else np.zeros(len(part), np.int64)
-        if not model.langs or not len(w.first):
+        scores, letters, owner = [], [], []
+        for a, b in base.blocks(part, SPLIT_CHARS):
+            w = split_words(part[a:b])
+            if len(w.first) and model.langs:
+                scores.append(word_scores(model, w)), letters.append(w.letters), owner.append(w.text + a)
+        if not scores:
             out += [("und", 0.0, 0, [])] * len(part)
             continue
-        path = viterbi(word_scores(model, w), sizes, penalty).astype(np.int64)
+        letters, owner = np.concatenate(letters), np.concatenate(owner)
+        path = viterbi(np.concatenate(scores), np.bincount(owner, minlength=len(part)), penalty).astype(np.int64)
         k = len(model.langs)
-        mass = np.bincount(w.text * k + path, w.letters, minlength=len(part) * k).reshape(len(part), k)
+        mass = np.bincount(owner * k + path, letters, minlength=len(part) * k).reshape(len(part), k)
         total, best = mass.sum(1), mass.argmax(1)
         change = np.ones(len(path), bool)
-        change[1:] = (path[1:] != path[:-1]) | (w.text[1:] != w.text[:-1])
+        change[1:] = (path[1:] != path[:-1]) | (owner[1:] != owner[:-1])
         at = np.flatnonzero(change)
         runs = np.diff(np.append(at, len(path)))
-        cut = np.searchsorted(w.text[at], np.arange(len(part) + 1))
+        cut = np.searchsorted(owner[at], np.arange(len(part) + 1))
         for d in range(len(part)):
             if total[d]:
                 spans = [(model.langs[path[at[s]]], int(runs[s])) for s in range(cut[d], cut[d + 1])]
@@ -213,18 +218,11 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
     """`keep` columns of each row, with lang_pred, score (share of letters in that language), letters and the spans."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = label_texts(shared.value, [t or "" for t in pdf.pop("_text")])
-            pdf["lang_pred"] = [x[0] for x in found]
-            pdf["score"] = [x[1] for x in found]
-            pdf["letters"] = [x[2] for x in found]
-            pdf["spans"] = [[{"lang": a, "words": b} for a, b in x[3]] for x in found]
-            yield pdf
-
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInPandas(run, f"{kept}, lang_pred string, score double, letters long, spans array<struct<lang:string,words:long>>")
+    def run(texts: list[str]) -> list[list]:
+        found = label_texts(shared.value, texts)
+        return [[x[0] for x in found], [x[1] for x in found], [x[2] for x in found], [[{"lang": a, "words": b} for a, b in x[3]] for x in found]]
+
+    return base.map_texts(docs, text, keep, "lang_pred string, score double, letters long, spans array<struct<lang:string,words:long>>", run)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,8 +94,8 @@ class Model:
 
     def values(self, tokens: list[str]) -> np.ndarray:
         out = np.full(len(tokens), -1.0)
-        for i in range(0, len(tokens), 20_000):
-            x = subsequences(tokens[i : i + 20_000])
+        for i in range(0, len(tokens), 4_000):
+            x = subsequences(tokens[i : i + 4_000])
             out[i : i + x.n] = np.bincount(x.token, self.weights[x.feature] * x.weight, minlength=x.n) + self.bias
         return out
 
@@ -199,7 +199,7 @@ def fit(tokens: list[str], toxic_df: np.ndarray, clean_df: np.ndarray, n_toxic:
         if size not in WITNESS_SIZES:
             continue
         at = np.flatnonzero(left >= size).astype(np.int32)
-        gram = (code[at] >> np.uint64(43)).astype(np.int32)  # 21 bits: chance meetings are rare and only weaken a witness
+        _, gram = np.unique((code[at] >> np.uint64(32)).astype(np.uint32), return_inverse=True)
         in_toxic, in_clean = np.bincount(gram, toxic_df[owner[at]]), np.bincount(gram, clean_df[owner[at]])
         witness = np.log((in_toxic + 1) / (ratio * 2 * in_clean + 1))
         np.maximum.at(best, owner[at], np.where(in_toxic >= MIN_TOXIC, witness[:], -9.0)[gram])
@@ -253,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if len(counts) < 2:
         return Model(None, 0.0, NO_LEVEL)
     chosen = base.hash_sample(marked.filter("toxic = 1"), "doc_id", base.sample_fraction(counts[1], POSITIVE_DOCS)).union(base.hash_sample(marked.filter("toxic = 0"), "doc_id", base.sample_fraction(counts[0], NEGATIVE_DOCS)))
-    rows = docs.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # the sample's size bounds what is broadcast
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # the sample's size bounds what is broadcast
     sample = base.materialise(rows.dropDuplicates(["text"]), "toxic_sample")
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
@@ -288,14 +288,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str,
     """`keep` columns of each row with its toxicity score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["score"] = shared.value.scores([t or "" for t in pdf.pop("_text")])
-            yield pdf
-
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInPandas(run, f"{kept}, score double")
+    return base.map_texts(docs, text, keep, "score double", lambda texts: [shared.value.scores(texts)])
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
