@@ -2,7 +2,9 @@
 
 A text is its words (runs of ASCII letters and digits and of all non-ASCII characters, ASCII in lower case); a shingle is
 five words in a row, a shorter text is one shingle. A shingle weighs its count in the text times the mean inverse document
-frequency of its words. Document frequencies count all rows, in a table of fixed size that words are hashed into.
+frequency of its words, 1 + ln((N + 1) / (df + 1)) / ln(N + 2): 1 for a word of all rows, 2 for a unique one. The bound
+keeps a large group of copies, which makes its own words common, from counting an edit many times over. Document
+frequencies count all rows, in a table of fixed size that words are hashed into.
 Two texts are near-duplicates if their weighted Jaccard similarity, sum of minima over sum of maxima, is at least 0.8.
 
 Consistent weighted samples (BANDS x ROWS) bring candidates together. Texts with the same words are one node. Within a
@@ -151,7 +153,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     for r in base.sum_blocks(docs.select("text").mapInPandas(run, "key string, block int, counts binary"), "key").collect():
         total[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.int64)
     n = int(total[BUCKETS])
-    return 1 + np.log((n + 1) / (total[:BUCKETS] + 1)), n
+    return 1 + np.log((n + 1) / (total[:BUCKETS] + 1)) / np.log(n + 2), n
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
