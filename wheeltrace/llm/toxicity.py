@@ -5,8 +5,8 @@ places weighs DECAY ** (c + 1), at most SPAN places (start and end of a token ar
 inserted or missing characters keep most of their subsequences. Punctuation inside a token is dropped and runs of
 single characters are joined first, so `i.d.i-o.t` and `i d i o t` read as one token.
 
-Labels mark whole texts, so training is by witnesses: tokens that hold a character sequence that toxic texts have and
-clean ones lack are positive, tokens of clean texts negative, hard ones added in rounds. Landmarks map the kernel into a
+Labels mark whole texts, so training is by witnesses: tokens that hold a character sequence that toxic texts have more
+often than chance allows are positive, tokens of clean texts negative, hard ones added in rounds. Landmarks map the kernel into a
 space where a linear machine is trained; as its decision is linear in the landmarks, they fold into one weight for each
 (hashed) subsequence, which is the machine's exact value. A text's score is a logistic of its highest token value and
 its number of tokens beyond the margin, against its length.
@@ -35,8 +35,7 @@ FEATURES = 1 << 20  #: hashed subsequences
 LANDMARKS = 384
 COST = 20.0  #: of a violated margin; a positive token's share follows its number of toxic texts
 NEGATIVE_TOKENS = 8_000
-MIN_SUPPORT = 2.0  #: log ratio from which a character sequence is a witness
-MIN_TOXIC = 4  #: toxic texts (summed over tokens) in which a witness must occur
+MIN_ODDS = 3.0  #: times the usual odds that a witness is met in toxic texts
 WITNESS_SIZES = (4, 5, 6, 7)
 COMBOS = tuple((0, *rest) for rest in combinations(range(1, SPAN), LENGTH - 1))
 #: Digits and signs that stand for letters.
@@ -184,10 +183,10 @@ def kernel(coded: Coded, index: np.ndarray, dense: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(tokens: list[str], toxic_df: np.ndarray, clean_df: np.ndarray, n_toxic: int, n_clean: int, rounds: int = 3) -> tuple[np.ndarray, float]:
+def fit(tokens: list[str], toxic_df: np.ndarray, clean_df: np.ndarray, rounds: int = 3) -> tuple[np.ndarray, float]:
     """Weights of hashed subsequences and the bias, from tokens with their numbers of toxic and clean texts."""
     rng = np.random.default_rng(4)
-    ratio = n_toxic / max(n_clean, 1)
+    share = toxic_df.sum() / max(1.0, (toxic_df + clean_df).sum())
     # witnesses: contiguous sequences of WITNESS_SIZES characters
     sizes = np.fromiter((len(t) + 2 for t in tokens), np.int64, len(tokens))
     cp = np.frombuffer("".join(f"^{t}$" for t in tokens).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -200,10 +199,13 @@ def fit(tokens: list[str], toxic_df: np.ndarray, clean_df: np.ndarray, n_toxic:
             continue
         at = np.flatnonzero(left >= size).astype(np.int32)
         _, gram = np.unique((code[at] >> np.uint64(32)).astype(np.uint32), return_inverse=True)
-        in_toxic, in_clean = np.bincount(gram, toxic_df[owner[at]]), np.bincount(gram, clean_df[owner[at]])
-        witness = np.log((in_toxic + 1) / (ratio * 2 * in_clean + 1))
-        np.maximum.at(best, owner[at], np.where(in_toxic >= MIN_TOXIC, witness[:], -9.0)[gram])
-    positive = np.flatnonzero((best >= MIN_SUPPORT) & (toxic_df > 4 * ratio * clean_df))
+        k, n = np.bincount(gram, toxic_df[owner[at]]), np.bincount(gram, toxic_df[owner[at]] + clean_df[owner[at]])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = k * np.log(k / (n * share)) + np.where(n > k, (n - k) * np.log((n - k) / (n * (1 - share))), 0.0)
+        odds = k * (1 - share) >= MIN_ODDS * (n - k) * share
+        witness = np.where(odds & (k > 0), gain - np.log(len(k)), -9.0)  # beyond what chance gives the best of so many
+        np.maximum.at(best, owner[at], witness[gram])
+    positive = np.flatnonzero((best > 0) & (toxic_df * (1 - share) > MIN_ODDS * clean_df * share))
     if not len(positive):
         positive = np.flatnonzero((toxic_df > 0) & (clean_df == 0))[:50]
     clean = np.setdiff1d(np.flatnonzero(clean_df > 0), positive)
@@ -229,7 +231,7 @@ def fit(tokens: list[str], toxic_df: np.ndarray, clean_df: np.ndarray, n_toxic:
     def mapped(ids: np.ndarray) -> np.ndarray:
         return kernel(subsequences([tokens[i] for i in ids]), index, dense) @ root.astype(np.float32)
 
-    del cp, owner, left, code, at, gram, in_toxic, in_clean, witness
+    del cp, owner, left, code, at, gram, k, n, gain, odds, witness
     weights, bias = np.zeros(FEATURES, np.float32), -1.0
     for r in range(rounds):
         ids = np.concatenate([positive, negative])
@@ -269,7 +271,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     table = sample.mapInPandas(tokens, "token string, clean long, toxic long").filter("token <> ''").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()  # bounded by the sample
     table = table.sort_values("token", ignore_index=True)
-    weights, bias = fit(table.token.tolist(), table.toxic.to_numpy(float), table.clean.to_numpy(float), sizes[1], sizes[0])
+    weights, bias = fit(table.token.tolist(), table.toxic.to_numpy(float), table.clean.to_numpy(float))
     del table
     raw = spark.sparkContext.broadcast(Model(weights, bias, NO_LEVEL))
 
