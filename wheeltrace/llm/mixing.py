@@ -33,7 +33,6 @@ MAX_REPEATS = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 2048
 SEED = 17
-BUCKET_ROWS = 50_000  #: rows of a source that are ordered together
 
 
 @dataclass
@@ -133,7 +132,7 @@ def sized(docs: DataFrame, text: str, size: str) -> DataFrame:
 
 def placed(rows: DataFrame, sources: DataFrame, n_rows: int) -> DataFrame:
     """rows (with _size and _source) with source_no, bucket, row and start: the words of the source before the row."""
-    buckets = max(1, n_rows // BUCKET_ROWS)
+    buckets = max(1, math.isqrt(n_rows))  # as many buckets as rows of one, so that neither sum is long
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("_id"), F.lit(buckets)).cast("int"))
     rows = rows.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("name"))).drop("name")  # a row for each source
     within = W.partitionBy("source_no", "bucket").orderBy("_id", "_size")
