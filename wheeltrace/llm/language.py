@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,22 +105,23 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: st
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = base.hash_sample(rows, "doc_id", base.sample_fraction(rows.count(), bound))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for name, own in pdf.groupby("lang"):
-                texts = [t.lower() for t in own.text]
+        for batch in base.slices(batches):
+            names, rows_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for name in sorted(set(names)):
+                texts = [t.lower() for t, n in zip(rows_texts, names, strict=True) if n == name]
                 arr = total.setdefault(name, np.zeros(2 * BUCKETS + BLOCK, np.int64))
-                for i, j in base.blocks(texts):
+                for i, j in base.blocks(texts, SPLIT_CHARS):
                     w = split_words(texts[i:j])
                     arr[:BUCKETS] += np.bincount(w.tri, minlength=BUCKETS)
                     arr[BUCKETS : 2 * BUCKETS] += np.bincount(w.word, minlength=BUCKETS)
                     arr[2 * BUCKETS : 2 * BUCKETS + len(SCRIPTS)] += np.bincount(w.script, w.letters, minlength=len(SCRIPTS)).astype(np.int64)
         for name, arr in total.items():
             for b in range(0, len(arr), BLOCK):
-                yield pd.DataFrame({"lang": [name], "block": [b // BLOCK], "counts": [arr[b : b + BLOCK].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"lang": [name], "block": pa.array([b // BLOCK], pa.int32()), "counts": [arr[b : b + BLOCK].tobytes()]})
 
-    parts = base.sum_blocks(rows.mapInPandas(count, "lang string, block int, counts binary"), "lang").collect()
+    parts = base.sum_blocks(rows.select("lang", "text").mapInArrow(count, "lang string, block int, counts binary"), "lang").collect()
     langs = sorted({r.lang for r in parts})
     n = np.zeros((len(langs), 2 * BUCKETS + BLOCK), np.int64)
     for r in parts:
