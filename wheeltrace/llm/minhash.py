@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 BUCKETS = 1 << 18  #: of the table of document frequencies
 BLOCK = 1 << 15
-TILE_MINOR, TILE_ALL = 400_000, 600_000  #: shingles of a tile's rows outside the largest component, and of all its rows
+TILE_MINOR, TILE_ALL = 250_000, 400_000  #: shingles of a tile's rows outside the largest component, and of all its rows
 _U16 = 1 << 16
 
 
@@ -134,10 +135,10 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Inverse document frequencies of hashed words over all rows of docs (text), and the number of rows. What travels is
     a table of fixed size from each task."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS + BLOCK, np.int64)
-        for pdf in batches:
-            texts = [t or "" for t in pdf.text]
+        for batch in base.slices(batches):
+            texts = [t or "" for t in batch.column(0).to_pylist()]
             total[BUCKETS] += len(texts)
             for i, j in base.blocks(texts):
                 h, n = words(texts[i:j])
@@ -147,10 +148,10 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 total[:BUCKETS] += np.bincount(pair & (BUCKETS - 1), minlength=BUCKETS)
         for b in range(0, len(total), BLOCK):
             if total[b : b + BLOCK].any():
-                yield pd.DataFrame({"key": ["all"], "block": [b // BLOCK], "counts": [total[b : b + BLOCK].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"key": ["all"], "block": pa.array([b // BLOCK], pa.int32()), "counts": [total[b : b + BLOCK].tobytes()]})
 
     total = np.zeros(BUCKETS + BLOCK, np.int64)
-    for r in base.sum_blocks(docs.select("text").mapInPandas(run, "key string, block int, counts binary"), "key").collect():
+    for r in base.sum_blocks(docs.select("text").mapInArrow(run, "key string, block int, counts binary"), "key").collect():
         total[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.int64)
     n = int(total[BUCKETS])
     return 1 + np.log((n + 1) / (total[:BUCKETS] + 1)) / np.log(n + 2), n
@@ -245,23 +246,20 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", thre
     texts = docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text")).join(keys, "key").groupBy("node").agg(F.first("text").alias("text"))
     texts = base.materialise(texts, "texts")
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}
-        for pdf in batches:
-            for i in range(0, len(pdf), 500):
-                part = pdf.iloc[i : i + 500]
-                for lead, t in zip(part.lead, part.lead_text, strict=True):
-                    if lead not in held:
-                        if len(held) > 500:
-                            held.clear()
-                        held[lead] = weighted_sets([t], shared.value)[0]
-                own = weighted_sets(list(part.text), shared.value)
-                lead_sets = [held.get(x) or weighted_sets([t], shared.value)[0] for x, t in zip(part.lead, part.lead_text, strict=True)]
-                near = [similarity(a, b) >= threshold - 1e-9 for a, b in zip(own, lead_sets, strict=True)]
-                yield part.loc[near, ["node", "lead"]].rename(columns={"node": "a", "lead": "b"})
+        for b in base.slices(batches, 300):
+            node, lead, own, lead_text = (b.column(i).to_pylist() for i in range(4))
+            for x, t in zip(lead, lead_text, strict=True):
+                if x not in held:
+                    held[x] = weighted_sets([t], shared.value)[0]
+            near = [similarity(s, held[x]) >= threshold - 1e-9 for s, x in zip(weighted_sets(own, shared.value), lead, strict=True)]
+            yield pa.RecordBatch.from_pydict({"a": pa.array([v for v, ok in zip(node, near, strict=True) if ok], pa.int64()), "b": pa.array([v for v, ok in zip(lead, near, strict=True) if ok], pa.int64())})
+            if len(held) > 300:
+                held.clear()
 
     sided = pairs.join(texts, "node").join(texts.select(F.col("node").alias("lead"), F.col("text").alias("lead_text")), "lead")
-    links = base.materialise(sided.select("node", "lead", "text", "lead_text").mapInPandas(verify, "a long, b long"), "links")
+    links = base.materialise(sided.select("node", "lead", "text", "lead_text").mapInArrow(verify, "a long, b long"), "links")
     groups = base.connected(links, spark)
 
     # buckets that these links leave in parts
