@@ -22,28 +22,33 @@ MAX_TOXICITY = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a known language holds enough letters; a text without a letter goes."""
+    base.small_batches(spark)
     found = language.identify(docs, language.train(docs), keep=COLUMNS)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a machine trained on the labels does not call toxic."""
+    base.small_batches(spark)
     model = toxicity.train(docs.select("doc_id", "text"), base.table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score(docs, model, keep=COLUMNS).filter(F.col("score") < MAX_TOXICITY).select(*COLUMNS)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, that with the smallest id."""
+    base.small_batches(spark)
     return minhash.deduplicate(docs.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: for each pass over a document, the words that the source's share takes of it."""
+    base.small_batches(spark)
     return mixing.mix_texts(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
+    base.small_batches(spark)
     return packing.digest(packing.pack(docs))
 
 

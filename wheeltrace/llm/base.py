@@ -15,11 +15,20 @@ from pyspark.sql.types import StructType
 #: Texts are handled in blocks of about this many characters, so that a task's memory does not follow its partition.
 BLOCK_CHARS = 1_000_000
 #: Rows of an Arrow batch whose texts are Python strings at a time.
-SLICE_ROWS = 1_500
+SLICE_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Arrow batches of whole texts take much memory on both sides; where the session keeps the default of 10,000 rows,
+    set fewer. Results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder, read by Spark's own reader."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,6 +74,7 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], schema: str, fn: Ca
     handles them in blocks itself."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(df.sparkSession)
     new = StructType.fromDDL(schema)
     types = [to_arrow_type(f.dataType) for f in new]
     rows = df.select(F.col(text).cast("string").alias("_text"), *keep)
