@@ -122,3 +122,17 @@ def road_context(row_type: Column, limit: Column, lanes: Column, highway: Column
 def messages(system: Column, user: Column, images: Column) -> Column:
     """array<struct<role, content>> for a model call: the text and base64 images; the call itself is outside."""
     return F.array(F.struct(F.lit("system").alias("role"), F.array(system).alias("content")), F.struct(F.lit("user").alias("role"), F.concat(F.array(user), F.transform(images, lambda b: F.concat(F.lit("data:image/jpeg;base64,"), F.base64(b)))).alias("content")))
+
+
+def one_hot(label: Column, classes: Sequence[str]) -> Column:
+    """Scores of all classes: 1 for the label, else 0; all 0 for an unknown one."""
+    return F.array(*(F.coalesce((label == c).cast("double"), F.lit(0.0)) for c in classes))
+
+
+def file_name(route_id: Column) -> Column:
+    """A route id as a file's name, and back by route_of."""
+    return F.replace(route_id, F.lit("/"), F.lit("__"))
+
+
+def route_of(name: Column) -> Column:
+    return F.replace(name, F.lit("__"), F.lit("/"))

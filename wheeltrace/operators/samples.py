@@ -53,3 +53,41 @@ def stratified(samples: DataFrame, *, strata: str, per_stratum: int, min_gap: fl
     thin = thin.withColumn("_tick", F.rint(F.col("start_s") * 1000).cast("long"))
     order = W.partitionBy(strata).orderBy(hash_order(seed, "route_id", "_tick"), "route_id", "_tick")
     return thin.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_stratum).select(strata, "route_id", "start_s")
+
+
+def quota(samples: DataFrame, *, total: int, least_positive: int = 20, min_gap: float = 5.0, seed: int = 42) -> DataFrame:
+    """A sample of binary windows (route_id, start_s, label) that keeps the share of positives, with least_positive of them
+    at least; each label's windows are thinned to min_gap apart first. A label that falls short gives all it has."""
+    rate = samples.agg(F.avg("label").alias("_rate"))  # one row
+    goal = F.greatest((F.col("_rate") * total).cast("int"), F.lit(least_positive))
+    thin = temporal.greedy_gap(samples.select("label", "route_id", "start_s").distinct(), ["label", "route_id"], "start_s", min_gap)
+    thin = thin.withColumn("_tick", F.rint(F.col("start_s") * 1000).cast("long")).crossJoin(F.broadcast(rate))
+    order = W.partitionBy("label").orderBy(hash_order(seed, "route_id", "_tick"), "route_id", "_tick")
+    return thin.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= F.when(F.col("label") == 1, goal).otherwise(total - goal)).select("label", "route_id", "start_s")
+
+
+def first_frames(windows: DataFrame, frames: DataFrame, *, k: int, bucket: float = 8.0) -> DataFrame:
+    """(route_id, start_s, slot, feature): the first k frames in [start, end) of each window, zeros where there are fewer."""
+    from . import intervals
+
+    inside = intervals.interval_join(frames, windows, ["route_id"], t="time_s", low="start_s", high="end_s", bucket=bucket, closed=False)
+    slot = F.row_number().over(W.partitionBy("route_id", "start_s").orderBy("time_s")) - 1
+    inside = inside.withColumn("slot", slot).filter(F.col("slot") < k).select("route_id", "start_s", "slot", "feature")
+    frame = windows.select("route_id", "start_s").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return frame.join(inside, ["route_id", "start_s", "slot"], "left").select("route_id", "start_s", "slot", F.coalesce("feature", F.lit(0.0)).alias("feature"))
+
+
+def frame_offsets(windows: DataFrame, offsets=(0.5, 2.5, 4.5), segment_s: float = 60.0) -> DataFrame:
+    """(route_id, start_s, offset_s, segment, seek_s): where each representative frame of a window lies; a window that
+    occurs twice counts once."""
+    t = F.col("start_s") + F.col("offset_s")
+    return windows.select("route_id", "start_s").distinct().withColumn("offset_s", F.explode(F.array(*map(F.lit, offsets)))).select("route_id", "start_s", "offset_s", F.floor(t / segment_s).cast("int").alias("segment"), (t % segment_s).alias("seek_s"))
+
+
+def duration_picks(routes: DataFrame) -> DataFrame:
+    """(pick, route_id): the shortest, the middle and the longest route, for smoke runs. routes: route_id, duration_s."""
+    n = routes.count()
+    small = routes.orderBy("duration_s", "route_id")
+    rank = F.row_number().over(W.orderBy("duration_s", "route_id")) - 1  # one row for each route
+    at = F.when(F.col("_r") == 0, "short").when(F.col("_r") == n // 2, "median").when(F.col("_r") == n - 1, "long")
+    return small.withColumn("_r", rank).withColumn("pick", at).filter("pick is not null").select("pick", "route_id")
