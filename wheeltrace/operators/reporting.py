@@ -99,7 +99,7 @@ def vehicle_context(windows: DataFrame, samples: DataFrame, *, margin: float = 0
     """(route_id, start_s, end_s, context): a text of each window: speed and steering at start, middle and end, the
     acceleration's mean and peak over the window and its margins, and flags at the end."""
     w = windows.select("route_id", "start_s", "end_s").withColumn("_lo", F.col("start_s") - margin).withColumn("_hi", F.col("end_s") + margin)
-    over = intervals.interval_join(samples.select("route_id", "time_s", "a_ego"), w, ["route_id"], t="time_s", low="_lo", high="_hi", bucket=8.0).groupBy("route_id", "start_s", "end_s").agg(F.avg("a_ego").alias("mean"), F.max(F.abs("a_ego")).alias("peak"))
+    over = intervals.interval_join(samples.select("route_id", "time_s", "a_ego"), w, ["route_id"], t="time_s", low="_lo", high="_hi", bucket=8.0).groupBy("route_id", "start_s", "end_s").agg(half_even(F.avg("a_ego"), 8).alias("mean"), F.max(F.abs("a_ego")).alias("peak"))
     cols = ["v_ego", "steer", "brake", "left_blinker", "cruise_en", "cc_lat", "lead_status", "d_rel"]
     probes = w.select("route_id", "start_s", "end_s", F.explode(F.array(*(F.struct(F.lit(n).alias("at"), t.alias("time_s")) for n, t in (("a", F.col("start_s")), ("m", (F.col("start_s") + F.col("end_s")) / 2), ("z", F.col("end_s")))))).alias("p")).select("route_id", "start_s", "end_s", "p.at", "p.time_s")
     near = temporal.asof_nearest(probes, samples, ["route_id"], cols=cols)

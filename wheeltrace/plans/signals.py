@@ -428,7 +428,7 @@ b AS (SELECT conv_id, turn, CASE WHEN t IS NOT NULL THEN COALESCE(TRY_CAST(COALE
 SELECT conv_id, turn, prediction, confidence, round_even(CASE WHEN prediction = 1 THEN confidence ELSE 1 - confidence END * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE AS score FROM b""",
     "text_summary": _WIN + f""",
 sa AS {_SNAP("a", "w.start_s")}, sm AS {_SNAP("m", "(w.start_s + 2.5)")}, sz AS {_SNAP("z", "(w.start_s + 5.0)")},
-ov AS (SELECT w.route_id, w.start_s, avg(u.a_ego) AS mean, max(abs(u.a_ego)) AS peak FROM win w JOIN tel_u u ON u.route_id = w.route_id AND u.time_s BETWEEN w.start_s - 0.5 AND w.start_s + 5.5 GROUP BY w.route_id, w.start_s)
+ov AS (SELECT w.route_id, w.start_s, {_H("avg(u.a_ego)", 8)} AS mean, max(abs(u.a_ego)) AS peak FROM win w JOIN tel_u u ON u.route_id = w.route_id AND u.time_s BETWEEN w.start_s - 0.5 AND w.start_s + 5.5 GROUP BY w.route_id, w.start_s)
 SELECT route_id, start_s, start_s + 5.0::DOUBLE AS end_s, '## Vehicle\nSpeed: ' || {_THREE("v_ego")} || ' m/s | Accel: mean=' || {_P("mean", 1)} || ', peak=' || {_P("peak", 1)} || '\nSteering: ' || {_THREE("steer")} || ' deg | Brake: ' || CASE WHEN z.brake > 0.5 THEN 'ON' ELSE 'OFF' END || '\nBlinkers: ' || CASE WHEN z.left_blinker > 0.5 THEN 'left' ELSE 'none' END || ' | DAS: enabled=' || CASE WHEN z.cruise_en > 0.5 THEN 'yes' ELSE 'no' END || ', lat_active=' || CASE WHEN z.cc_lat > 0.5 THEN 'yes' ELSE 'no' END
  || '\n\n## Lead Vehicle\nLead #1: ' || CASE WHEN z.lead_status > 0.5 THEN 'detected, dist=' || {_P("z.d_rel", 1)} || 'm' ELSE 'not detected' END AS context FROM sa JOIN sm USING (route_id, start_s) JOIN sz USING (route_id, start_s) JOIN ov USING (route_id, start_s)""",
     "experiment_matrix": views.with_views("ev") + """,
