@@ -176,3 +176,21 @@ def test_streaming_transitions(spark, tmp_path):
         q.stop()
     assert sorted((r.time_s, r.state) for r in spark.sql("select * from live").collect()) == [(4.0, 1), (9.0, 0)]
     assert math.isfinite(1.0)
+
+
+def test_road_text_and_messages(spark):
+    n = F.lit(None).cast("double")
+    r = one(spark, t=reporting.road_context(F.lit(None).cast("string"), F.lit(50.0), n, F.lit(1), F.lit(0), F.lit(12.5), n, F.lit(0.0125), F.lit(-0.04)), m=reporting.messages(F.lit("s"), F.lit("u"), F.array(F.lit(b"x"))))
+    assert r.t == "## Road Context\nRoad: unknown | Limit: 50 km/h | Lanes: 0\nHighway: yes | Intersection: no (dist=12m) | On-ramp: no\nCurvature: 0.012 | Heading change: 0.0 deg/s"
+    assert r.m[1].content == ["u", "data:image/jpeg;base64,eA=="]
+
+
+def test_files(spark, tmp_path):
+    for name, size in (("0--fcamera.hevc", 2000), ("10--fcamera.hevc", 1500), ("2--qcamera.ts", 900), ("3--fcamera.hevc", 10)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    got = scans.video_sources(scans.listing(spark, str(tmp_path)), priority=[("fcamera.hevc$", 1000), ("qcamera.ts$", 500)]).collect()
+    assert sorted(r.segment for r in got) == [0, 10]
+    (tmp_path / "split.json").write_text(json.dumps({"split_type": "x", "train_routes": ["a", "b"], "val_routes": ["c"], "test_routes": []}))
+    assert sorted((r.part, r.route_id) for r in scans.split_lists(spark, str(tmp_path / "split.json")).collect()) == [("train", "a"), ("train", "b"), ("val", "c")]
+    (tmp_path / "results.json").write_text(json.dumps({"task": "t", "seed": 7, "test_metrics": {"f1": 0.5}}))
+    assert scans.run_results(spark, str(tmp_path)).first().test_metrics == {"f1": 0.5}
