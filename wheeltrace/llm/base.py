@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -18,6 +19,24 @@ BLOCK_CHARS = 1_000_000
 SLICE_ROWS = 1_000
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system. Python workers live on, and what they keep counts against
+    their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(batches: Iterator) -> Iterator:
+    """The batches as they are; memory is released after the last one."""
+    try:
+        yield from batches
+    finally:
+        release()
+
+
 def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
     """Arrow batches of whole texts take much memory on both sides; where the session keeps the default of 10,000 rows,
     set fewer. Results do not depend on it."""
@@ -63,7 +82,7 @@ def blocks(texts: list[str], max_chars: int = BLOCK_CHARS) -> Iterator[tuple[int
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most `rows` rows, without copies."""
-    for b in batches:
+    for b in released(batches):
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
 

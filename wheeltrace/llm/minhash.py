@@ -278,6 +278,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", thre
         if pdf.component.nunique() < 2:
             return none
         found = linked(weighted_sets(list(pdf.text), shared.value), pdf.component.to_numpy(), pdf.minor.to_numpy(bool), threshold)
+        base.release()
         c = pdf.component.to_numpy()
         return pd.DataFrame({"a": c[[a for a, _ in found]], "b": c[[b for _, b in found]]}) if found else none
 

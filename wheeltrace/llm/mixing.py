@@ -130,15 +130,21 @@ def sized(docs: DataFrame, text: str, size: str) -> DataFrame:
     return docs.withColumn(size, words(F.col(text)))
 
 
-def placed(rows: DataFrame, sources: DataFrame, n_rows: int) -> DataFrame:
-    """rows (with _size and _source) with source_no, bucket, row and start: the words of the source before the row."""
+def bucket_sums(rows: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame, dict[str | None, int]]:
+    """rows (with _id, _size, _source) with their bucket; the words of each source's buckets, stored; each source's words."""
     buckets = max(1, math.isqrt(n_rows))  # as many buckets as rows of one, so that neither sum is long
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("_id"), F.lit(buckets)).cast("int"))
-    rows = rows.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("name"))).drop("name")  # a row for each source
+    sums = base.materialise(rows.groupBy("_source", "bucket").agg(F.sum("_size").alias("held")), "bucket_sums")
+    found = sums.groupBy("_source").agg(F.sum("held").alias("n")).collect()  # a row for each source
+    return rows, sums, {r["_source"]: int(r.n or 0) for r in found}
+
+
+def placed(rows: DataFrame, sums: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows with source_no, row and start: the words of the source before the row."""
+    named = lambda df: df.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("name"))).drop("name")  # noqa: E731  a row for each source
     within = W.partitionBy("source_no", "bucket").orderBy("_id", "_size")
-    sums = rows.groupBy("source_no", "bucket").agg(F.sum("_size").alias("held"))
-    before = sums.withColumn("offset", F.coalesce(F.sum("held").over(W.partitionBy("source_no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("source_no", "bucket", "offset")
-    rows = rows.withColumn("row", F.row_number().over(within)).withColumn("start", F.sum("_size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("_size"))
+    before = named(sums).withColumn("offset", F.coalesce(F.sum("held").over(W.partitionBy("source_no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("source_no", "bucket", "offset")
+    rows = named(rows).withColumn("row", F.row_number().over(within)).withColumn("start", F.sum("_size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("_size"))
     return rows.join(before, ["source_no", "bucket"]).withColumn("start", F.col("start") + F.col("offset")).drop("offset")
 
 
@@ -146,12 +152,6 @@ def source_table(spark: SparkSession, sources: list[Source]) -> DataFrame:
     return spark.createDataFrame([(s.number, s.name, s.size, s.target) for s in sources], "source_no int, name string, source_size long, target double")
 
 
-def measure(rows: DataFrame) -> tuple[dict[str | None, int], int]:
-    """Words of each source and the number of rows."""
-    found = rows.groupBy("_source").agg(F.sum("_size").alias("n"), F.count("*").alias("rows")).collect()  # a row for each source
-    return {r["_source"]: int(r.n or 0) for r in found}, sum(r.rows for r in found)
-
-
 def slots(spark: SparkSession, sources: list[Source], *, seed: int = SEED, shard_slots: int = SHARD_SLOTS, block: int = BLOCK_WORDS) -> DataFrame:
     """(shard, slot, source_no, block, words): every slot of every output shard and the block that it takes."""
     live = [s for s in sources if s.total]
@@ -203,9 +203,9 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", id_col:
     """One row for each row of docs: its id, size, source_size, target and taken, the words that the mix takes of it."""
     spark = docs.sparkSession
     rows = base.materialise(sized(docs.select(F.col(id_col).alias("_id"), F.col(source).alias("_source"), F.col(text).alias("_text")), "_text", "_size").drop("_text"), "sizes")
-    sizes, n_rows = measure(rows)
+    rows, sums, sizes = bucket_sums(rows, rows.count())
     sources = plan(sizes, weights=weights, max_repeats=max_repeats, block=block, seed=seed)
-    at = placed(rows, source_table(spark, sources), n_rows)
+    at = placed(rows, sums, source_table(spark, sources))
     ends = F.when(F.col("_size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("_size") - 1) / block)))
     parts = at.withColumn("block", F.explode_outer(ends))
     low = F.greatest(F.lit(0), F.col("start") - F.col("block") * block)
@@ -226,9 +226,9 @@ def mix_texts(docs: DataFrame, *, text: str = "text", source: str = "source", id
     names = plain.columns
     own = dict(zip(docs.columns, names, strict=True))
     rows = sized(plain.select("*", F.col(own[id_col]).alias("_id"), F.col(own[source]).alias("_source")), own[text], "_size")
-    sizes, n_rows = measure(rows)
+    rows, sums, sizes = bucket_sums(rows, docs.count())
     sources = {s.number: s for s in plan(sizes, weights=weights, max_repeats=max_repeats, block=block, seed=seed)}
-    at = placed(rows, source_table(spark, list(sources.values())).select("source_no", "name"), n_rows).select("source_no", "start", "_size", *names)
+    at = placed(rows, sums, source_table(spark, list(sources.values())).select("source_no", "name")).select("source_no", "start", "_size", *names)
     column = 3 + docs.columns.index(text)
 
     def part(t: str, s: Source, start: int, size: int) -> list[str]:

@@ -262,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(None, 0.0, NO_LEVEL)
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in base.released(batches):
             seen: dict[str, list[int]] = {}
             for t, y in zip(pdf.text, pdf.toxic, strict=True):
                 for w in {normal(w) for w in t.lower().split()}:
@@ -276,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     raw = spark.sparkContext.broadcast(Model(weights, bias, NO_LEVEL))
 
     def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in base.released(batches):
             seen = raw.value.evidence(list(pdf.text))
             yield pd.DataFrame({"top": seen[:, 1], "hits": seen[:, 2], "size": seen[:, 3], "toxic": pdf.toxic})
 
