@@ -11,15 +11,18 @@ from .samples import hash_order
 
 def split_by_key(routes: DataFrame, key: str, *, seed: int, train: float = 0.7, val: float = 0.15) -> DataFrame:
     """(key, part): keys in a shuffled order go to train until it holds its share of routes, then to val, then to test.
-    The running sum is over one row for each key (drivers or vehicle models)."""
-    counts = routes.groupBy(key).agg(F.count("*").alias("_n"))
-    order = W.orderBy(hash_order(seed, key), key)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_n").over(W.partitionBy()))
+    Running sums are taken within hash buckets (leading hex digits of the order) and over the buckets' totals, so no task
+    orders all keys."""
+    counts = routes.groupBy(key).agg(F.count("*").alias("_n")).withColumn("_h", hash_order(seed, key)).withColumn("_b", F.substring("_h", 1, 2))
+    sums = counts.groupBy("_b").agg(F.sum("_n").alias("_s"))
+    sums = sums.select("_b", F.coalesce(F.sum("_s").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"), F.sum("_s").over(W.partitionBy()).alias("_all"))
+    within = W.partitionBy("_b").orderBy("_h", key)
+    counts = counts.withColumn("_in", F.sum("_n").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).join(F.broadcast(sums), "_b")  # at most 256 rows
     goal, goal_val = (F.col("_all") * train).cast("long"), (F.col("_all") * val).cast("long")
-    counts = counts.withColumn("_train", F.col("_before") < goal)
-    held = F.sum(F.when(F.col("_train"), F.col("_n")).otherwise(0)).over(W.partitionBy())
-    part = F.when(F.col("_train"), "train").when(F.col("_before") - held < goal_val, "val").otherwise("test")
-    return counts.withColumn("part", part).select(key, "part")
+    counts = counts.withColumn("_before", F.col("_in") + F.col("_off")).withColumn("_train", F.col("_before") < goal).withColumn("_goal_val", goal_val)
+    held = counts.agg(F.sum(F.when(F.col("_train"), F.col("_n")).otherwise(0)).alias("_held"))  # one row
+    part = F.when(F.col("_train"), "train").when(F.col("_before") - F.col("_held") < F.col("_goal_val"), "val").otherwise("test")
+    return counts.crossJoin(F.broadcast(held)).withColumn("part", part).select(key, "part")
 
 
 def split_random(routes: DataFrame, route: str, *, seed: int, train: float = 0.7, val: float = 0.15, buckets: int = 256) -> DataFrame:
