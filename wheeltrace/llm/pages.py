@@ -162,7 +162,7 @@ class Model:
         v0, v1, back = 0.0, 0.0, []
         for i, s in enumerate(self.scores(found)):
             if i:
-                from0, from1 = v0 + a10 * 0 + a00 >= v1 + a10, v0 + a01 > v1 + a11
+                from0, from1 = v0 + a00 >= v1 + a10, v0 + a01 > v1 + a11
                 back.append((not from0, not from1))
                 v0, v1 = max(v0 + a00, v1 + a10), max(v0 + a01, v1 + a11)
             v1 += s
