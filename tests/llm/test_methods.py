@@ -197,6 +197,29 @@ def test_texts_hold_what_the_mix_takes(spark, data):
     assert (held.groupby("doc_id").n.sum().reindex(taken.index).fillna(0) == taken).all()
 
 
+def test_shards_hold_the_blocks_that_they_draw(spark):
+    rng = random.Random(4)
+    rows = [(i, " \n".join(f"{'abc'[i % 3]}{i}_{j}" for j in range(rng.choice([0, 1, 3, 40, 400]))), "abc"[i % 3], "en") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixing.mix_blocks(docs, block=8, shard_slots=100).toPandas().sort_values(["shard", "slot"])
+    assert not got.duplicated(["shard", "slot"]).any() and (got.groupby("shard").slot.max() + 1 == got.groupby("shard").size()).all()
+    assert all({t[0] for t in tokens} == {source} for tokens, source in zip(got.tokens, got.source, strict=True))
+    words = {s: [w for r in rows if r[2] == s for w in r[1].split()] for s in "abc"}
+    sources = mixing.plan({s: len(w) for s, w in words.items()}, block=8)
+    n, share = got.groupby(["shard", "source"]).size(), [s.total / sum(x.total for x in sources) for s in sources]
+    drawn = np.random.default_rng((mixing.SEED, 0)).multinomial(100, share)
+    assert [n[0, s] for s in "abc"] == drawn.tolist()
+    for s in sources:
+        own = got[got.source == s.name]
+        whole = own.assign(n=own.tokens.str.len()).sort_values("n").groupby("block").tokens.last()  # each block at its full length
+        assert own.block.value_counts().max() <= s.passes + 1 and abs(own.tokens.str.len().sum() - s.target) <= 1
+        if s.passes:
+            assert sorted(w for t in whole for w in t) == sorted(words[s.name])
+    texts = mixing.mix_texts(docs, block=8, shard_slots=100).toPandas()
+    assert [w for t in texts.text for w in t.split()] == [w for t in got.tokens for w in t]  # in shard and slot order
+    assert all(w.startswith(f"{r.source}{r.doc_id}_") for r in texts.itertuples() for w in r.text.split())
+
+
 # 6
 def test_licences_equal_plain_search(spark, data, texts):
     got = run(spark, data, "op6_licences").set_index("doc_id")

@@ -3,9 +3,9 @@
 The words of each source, document after document, form fixed-length blocks. Sources share the words of the mix by
 weight, none above `max_repeats` times its own words (the excess goes to the others by weight). Each output shard draws
 its sources' slot counts from a multinomial; a source's n-th slot over all shards takes the block that a pseudorandom
-permutation of its block indices gives for n, pass after pass, and blocks join by index. Draws beyond a source's slots are
-cut and what a source still lacks fills last shards, so a source's words meet its target to the word: its last slot takes
-only the words still missing.
+permutation of its block indices gives for n, pass after pass, and texts, cut into blocks, join the slots by block index.
+Draws beyond a source's slots are cut and what a source still lacks fills last shards, so a source's words meet its target
+to the word: its last slot takes only the words still missing. Inside a shard the sources' slots are permuted.
 
 Null texts have size 0 and are never taken. A null source is a source of its own, after the others. Repeated rows count
 each on its own. Positions inside a source are running sums within hashed buckets plus the buckets' own running sums, so a
@@ -183,6 +183,8 @@ def slots(spark: SparkSession, sources: list[Source], *, seed: int = SEED, shard
             if not room:
                 shard, room = shard + 1, shard_slots
     drawn = drawn.filter("n > 0").select("shard", "source_no", "n", "first").union(spark.createDataFrame(rest, "shard long, source_no int, n long, first long"))
+    own = W.partitionBy("shard")  # a row for each source
+    drawn = drawn.withColumn("before", F.sum("n").over(own.orderBy("source_no").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).withColumn("held", F.sum("n").over(own))
     by_number = {s.number: s for s in live}
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,71 +193,97 @@ def slots(spark: SparkSession, sources: list[Source], *, seed: int = SEED, shard
                 s, counts = by_number[number], own.n.to_numpy()
                 within_row = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 g = np.repeat(own["first"].to_numpy(), counts) + within_row
+                slot = [permute(b + np.arange(n), h, seed, len(sources) + i) for i, b, n, h in zip(own.shard.tolist(), own.before.tolist(), counts.tolist(), own.held.tolist(), strict=True)]  # sources change places in a shard
                 taken = permute(g % s.blocks, s.blocks, seed, number)
                 words = np.where(g == s.total - 1, s.last or block, block)
                 words = np.minimum(words, s.size - taken * block)
-                yield pd.DataFrame({"shard": np.repeat(own.shard.to_numpy(), counts), "slot": within_row, "source_no": np.full(len(g), number, np.int32), "block": taken, "words": words})
+                yield pd.DataFrame({"shard": np.repeat(own.shard.to_numpy(), counts), "slot": np.concatenate(slot), "source_no": np.full(len(g), number, np.int32), "block": taken, "words": words})
 
     return drawn.mapInPandas(spread, "shard long, slot long, source_no int, block long, words long")
 
 
-def mix(docs: DataFrame, *, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """One row for each row of docs: its id, size, source_size, target and taken, the words that the mix takes of it."""
-    spark = docs.sparkSession
-    rows = base.materialise(sized(docs.select(F.col(id_col).alias("_id"), F.col(source).alias("_source"), F.col(text).alias("_text")), "_text", "_size").drop("_text"), "sizes")
-    rows, sums, sizes = bucket_sums(rows, rows.count())
-    sources = plan(sizes, weights=weights, max_repeats=max_repeats, block=block, seed=seed)
-    at = placed(rows, sums, source_table(spark, sources))
-    ends = F.when(F.col("_size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("_size") - 1) / block)))
-    parts = at.withColumn("block", F.explode_outer(ends))
-    low = F.greatest(F.lit(0), F.col("start") - F.col("block") * block)
-    high = F.least(F.lit(block), F.col("start") + F.col("_size") - F.col("block") * block)
-    parts = parts.withColumn("low", low).withColumn("high", high)
-    taken = slots(spark, sources, seed=seed, block=block).groupBy("source_no", "block").agg(F.collect_list("words").alias("words"))  # at most max_repeats + 1 of a block
-    found = parts.join(taken, ["source_no", "block"], "left")
-    words = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.greatest(F.lit(0), F.least(w, F.col("high")) - F.col("low")))
-    return found.groupBy("source_no", "bucket", "row").agg(F.first("_id").alias(id_col), F.first("_size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum(F.coalesce(words, F.lit(0))).alias("taken")).select(id_col, "size", "source_size", "target", "taken")
-
-
-def mix_texts(docs: DataFrame, *, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """The documents of the mix, with all columns of docs: for each pass over a row, the row with the words that the pass
-    takes of it (the text as it is where it takes all). A row looks up its blocks by the inverse permutation, so its text
-    moves once, for its place in the source."""
+def mixed(docs: DataFrame, text: str, source: str, id_col: str, weights: Sequence[float], max_repeats: int, block: int, seed: int, shard_slots: int, *, ordered: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The mix and the placed rows, whose columns are named _c0, _c1, ... A row of the mix is what one slot takes of one
+    row: (shard, slot, source_no, source_name, block, low, start, words) and the row's columns, in its text only those words
+    with the white space between them. ordered: by shard, slot and low, the words of the block before the part."""
     spark = docs.sparkSession
     plain = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))  # no name of docs can clash below
     names = plain.columns
     own = dict(zip(docs.columns, names, strict=True))
     rows = sized(plain.select("*", F.col(own[id_col]).alias("_id"), F.col(own[source]).alias("_source")), own[text], "_size")
     rows, sums, sizes = bucket_sums(rows, docs.count())
-    sources = {s.number: s for s in plan(sizes, weights=weights, max_repeats=max_repeats, block=block, seed=seed)}
-    at = placed(rows, sums, source_table(spark, list(sources.values())).select("source_no", "name")).select("source_no", "start", "_size", *names)
-    column = 3 + docs.columns.index(text)
-
-    def part(t: str, s: Source, start: int, size: int) -> list[str]:
-        """The texts that the mix takes of one row, pass by pass."""
-        held = np.arange(start // block, (start + size - 1) // block + 1)
-        place = permute(held, s.blocks, seed, s.number, inverse=True)
-        words = np.where(place < s.slots - 1, block, np.where(place == s.slots - 1, s.last, 0))
-        lo = np.maximum(held * block - start, 0)
-        hi = np.maximum(np.minimum(held * block + words - start, size), lo)
-        if not (hi > lo).any():
-            return [t] * s.passes
-        raw = t.encode("utf-8", "surrogatepass").split()
-        last = t if int((hi - lo).sum()) == size else b" ".join(w for a, b in zip(lo.tolist(), hi.tolist(), strict=True) for w in raw[a:b]).decode("utf-8", "surrogatepass")
-        return [t] * s.passes + [last]
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sources = plan(sizes, weights=weights, max_repeats=max_repeats, block=block, seed=seed)
+    named = source_table(spark, sources).select("*", F.col("name").alias("source_name"))
+    at = placed(rows, sums, named)
+    others = [n for n in names if n != own[text]]
+    white = np.zeros(256, bool)
+    white[[9, 10, 11, 12, 13, 32]] = True
+
+    def cut(t: str, start: int) -> list[tuple[int, int, int, bytes]]:
+        """Block, words of the block before the part, words and bytes of each part of a text."""
+        raw = t.encode("utf-8", "surrogatepass")
+        held = np.concatenate([[False], ~white[np.frombuffer(raw, np.uint8)], [False]])
+        turns = np.flatnonzero(held[1:] != held[:-1])
+        begin, end = turns[::2], turns[1::2]
+        blocks = np.arange(start // block, (start + len(begin) - 1) // block + 1)
+        lo = np.maximum(blocks * block - start, 0)
+        hi = np.minimum((blocks + 1) * block - start, len(begin))
+        return [(k, start + i - k * block, j - i, raw[x:y]) for k, i, j, x, y in zip(blocks.tolist(), lo.tolist(), hi.tolist(), begin[lo].tolist(), end[hi - 1].tolist(), strict=True)]
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in base.slices(batches):
-            all_texts = [t or "" for t in b.column(column).to_pylist()]
-            numbers, starts, counts = (b.column(i).to_pylist() for i in range(3))
-            for i, j in base.blocks(all_texts):
-                made = [(r, t) for r in range(i, j) if counts[r] for t in part(all_texts[r], sources[numbers[r]], starts[r], counts[r])]
-                rows_out = b.take(pa.array([r for r, _ in made], pa.int64()))
-                columns = rows_out.columns
-                columns[column] = pa.array([t for _, t in made], columns[column].type)
-                yield pa.RecordBatch.from_arrays(columns[3:], names=names)
-
-    return at.mapInArrow(take, plain.schema).toDF(*docs.columns)
+            texts = [t or "" for t in b.column(2).to_pylist()]
+            starts = b.column(1).to_pylist()
+            for i, j in base.blocks(texts):
+                made = [(r, *part) for r in range(i, j) for part in cut(texts[r], starts[r])]
+                row, number, low, _, held = map(list, zip(*made, strict=True)) if made else ([], [], [], [], [])
+                kept = b.select([0, 1, *range(3, b.num_columns)]).take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(number, pa.int64()), pa.array(low, pa.int64()), pa.array(held, pa.binary())], names=[*kept.schema.names, "block", "low", "part"])
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in base.slices(batches, 20_000):
+            parts, counts = [], []
+            for raw, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = raw.split()
+                if len(found) > n:  # a source's last slot
+                    raw, found = b" ".join(found[:n]), found[:n]
+                parts.append(raw.decode("utf-8", "surrogatepass"))
+                counts.append(len(found))
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(counts, pa.int64()), pa.array(parts, pa.string())], names=[*b.schema.names[2:], "words", own[text]])
+
+    from pyspark.sql.types import StructType
+
+    placed_rows = at.filter("_size > 0").select("source_no", "start", own[text], "source_name", *others)
+    fields = {f.name: f for f in placed_rows.schema}
+    cut_schema = StructType([fields[n] for n in ("source_no", "start", "source_name", *others)]).add("block", "long").add("low", "long").add("part", "binary")
+    taken = slots(spark, sources, seed=seed, block=block, shard_slots=shard_slots).withColumnRenamed("words", "most")
+    found = placed_rows.mapInArrow(explode, cut_schema).join(taken.hint("merge"), ["source_no", "block"]).filter("low < most")  # not broadcast: the planner takes slots for as few as draws
+    if ordered:
+        found = found.orderBy("shard", "slot", "low")
+    found = found.select("part", (F.col("most") - F.col("low")).alias("room"), "shard", "slot", "source_no", "source_name", "block", "low", "start", *others)
+    return found.mapInArrow(shorten, StructType(found.schema.fields[2:]).add("words", "long").add(own[text], "string")), at, names
+
+
+def mix(docs: DataFrame, *, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block: int = BLOCK_WORDS, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """One row for each row of docs: its id, size, source_size, target and taken, its words in the blocks of the mix."""
+    parts, at, names = mixed(docs.select(id_col, text, source), text, source, id_col, weights, max_repeats, block, seed, shard_slots, ordered=False)
+    taken = parts.groupBy("source_no", "start").agg(F.sum("words").alias("taken"))  # rows with words start at different places
+    rows = at.select(F.col(names[0]).alias(id_col), F.col("_size").alias("size"), "source_size", "target", "source_no", F.when(F.col("_size") > 0, F.col("start")).alias("start"))
+    return rows.join(taken, ["source_no", "start"], "left").select(id_col, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def mix_blocks(docs: DataFrame, *, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block: int = BLOCK_WORDS, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(shard, slot, source, block, tokens): the blocks of the mix with their words, one for each slot of each shard."""
+    parts, _, names = mixed(docs.select(id_col, text, source), text, source, id_col, weights, max_repeats, block, seed, shard_slots, ordered=False)
+    one = parts.groupBy("shard", "slot").agg(F.first("source_name").alias("source"), F.first("block").alias("block"), F.array_sort(F.collect_list(F.struct("low", F.col(names[1]).alias("part")))).alias("parts"))  # at most a row for each word of a block
+    return one.select("shard", "slot", "source", "block", F.split(F.array_join("parts.part", " "), r"[ \t-\r]+").alias("tokens"))
+
+
+def mix_texts(docs: DataFrame, *, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block: int = BLOCK_WORDS, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The texts of the mix's blocks in order of shard and slot, with all columns of docs. A block that several rows share
+    gives a row for each, so that id and language stay those of the text."""
+    parts, _, names = mixed(docs, text, source, id_col, weights, max_repeats, block, seed, shard_slots, ordered=True)
+    return parts.select(*names).toDF(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
