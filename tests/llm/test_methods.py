@@ -313,6 +313,20 @@ def test_vector_links_equal_brute_force(spark):
         assert (got.kept == (got.index == got.component_id)).all()
 
 
+@pytest.mark.parametrize("dim,common", [(64, 0.75), (64, 0.0), (32, 0.5), (16, 0.0), (8, 0.0)])
+def test_links_are_found_about_any_mean(spark, dim, common):
+    rng = np.random.default_rng(dim)
+    x = vectors.unit_rows(vectors.unit_rows(rng.normal(size=(700, dim))) * np.sqrt(1 - common) + np.eye(dim)[0] * np.sqrt(common))
+    w = rng.normal(size=x.shape) * (np.arange(dim) > 0)  # away from the common direction
+    w = vectors.unit_rows(w - (w * x).sum(1, keepdims=True) * x)
+    c = rng.uniform(0.931, 0.95, (700, 1))
+    x = np.concatenate([x, c * x + np.sqrt(1 - c**2) * w])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    near = (x @ x.T >= 0.93).sum(1) - 1
+    got = vectors.near_duplicates(df).toPandas().set_index("vec_id").loc[range(1_400)].n_links.to_numpy()
+    assert (got <= near).all() and got.sum() >= 0.95 * near.sum()
+
+
 def test_rotation_is_orthogonal():
     _, turn = vectors.learn_rotation(np.random.default_rng(1).normal(size=(300, 16)), 16)
     assert np.allclose(turn.T @ turn, np.eye(16), atol=1e-8)

@@ -2,13 +2,15 @@
 
 A rotation is learned (on a bounded sample, all rows are indexed) that makes signs of the turned, centred unit vectors good
 binary codes. Codes are cut into substrings of BITS bits; each is a table, and vectors of one label that agree in a table's
-substring are compared by cosine on the original vectors, in double precision. A pair counts in the first table where it
+substring are compared by cosine on the original vectors, in double precision. Links are cosines about the origin and codes
+signs about the mean, so how often a link at the threshold meets depends on the data: it is measured on pairs made from the
+sample, and further rotations add tables until RECALL of them meet. Where MAX_TABLES don't do, substrings get shorter; at
+none, all pairs of a label are compared. A pair counts in the first table where it
 meets, so links are counted once and no list of pairs is ever written: groups send each vector's number of links and its
 smallest linked vector.
 
 Identical vectors of a label are one node with a number of copies. Buckets beyond TILE nodes are dealt over tiles that
-meet pair by pair. A link at 0.93 is found with probability 0.97 or more, closer ones almost surely (README). Vectors that
-are null, empty, zero or hold null or non-finite components, and rows without a label, link with nothing and are kept.
+meet pair by pair. Links at the threshold are thus found with a probability of about RECALL, closer ones with more. Vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link with nothing and are kept.
 Shorter vectors count as padded with zeros. Repeated rows count as other vectors and share their component. An empty
 table gives no rows.
 """
@@ -27,7 +29,9 @@ from .neighbours import matrix, usable
 
 THRESHOLD = 0.93
 BITS = 8  #: of a substring
-MAX_TABLES = 8
+CODE_TABLES = 8  #: of one rotation
+MAX_TABLES = 32
+RECALL = 0.97  #: of pairs at the threshold
 TILE = 2_000
 SAMPLE = 20_000  #: bound of the sample that the rotation is learned on
 
@@ -50,6 +54,46 @@ def learn_rotation(x: np.ndarray, bits: int, rounds: int = 40, seed: int = 1) ->
     return mean, pca @ turn
 
 
+def threshold_pairs(x: np.ndarray, threshold: float, n: int = 4_000, seed: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors at the threshold: rows of x moved in any direction, rows moved towards others, and, where x has
+    enough of them, linked rows near the threshold."""
+    rng = np.random.default_rng(seed)
+    a = x[rng.integers(0, len(x), n)]
+    out = []
+    for w in (rng.normal(size=a.shape), x[rng.integers(0, len(x), n)]):
+        w = w - (w * a).sum(1, keepdims=True) * a
+        size = np.linalg.norm(w, axis=1, keepdims=True)
+        some = size[:, 0] > 1e-6
+        if some.any():
+            out.append((a[some], threshold * a[some] + np.sqrt(1 - threshold**2) * w[some] / size[some]))
+    few = x[:3_000]
+    s = few @ few.T
+    p, q = np.nonzero(np.triu((s >= threshold) & (s < threshold + (1 - threshold) / 3), 1))
+    if len(p) >= 200:
+        pick = rng.permutation(len(p))[:n]
+        out.append((few[p[pick]], few[q[pick]]))
+    return out
+
+
+def choose_tables(x: np.ndarray, threshold: float) -> tuple[list[tuple[np.ndarray, np.ndarray]], int, int]:
+    """Rotations (mean and projection), bits of a substring and number of tables that let RECALL of the pairs at the
+    threshold meet; no bits and one table where no tables do."""
+    dim, pairs = x.shape[1], threshold_pairs(x, threshold)
+    for bits in range(min(BITS, dim), 0, -1):
+        per, learned, tables = max(1, min(CODE_TABLES, dim // bits)), [], 0
+        met = [np.zeros(len(a), bool) for a, _ in pairs]
+        while tables < MAX_TABLES:
+            mean, turn = learn_rotation(x, per * bits, seed=len(learned) + 1)
+            learned.append((mean, turn))
+            same = [((a - mean) @ turn >= 0) == ((b - mean) @ turn >= 0) for a, b in pairs]
+            for t in range(per):
+                tables += 1
+                met = [m | s[:, t * bits : (t + 1) * bits].all(1) for m, s in zip(met, same, strict=True)]
+                if tables >= per and all(m.mean() >= RECALL for m in met):
+                    return learned, bits, tables
+    return [], 0, 1
+
+
 def compare(x: np.ndarray, codes: np.ndarray, tile: np.ndarray, table: int, cross: bool, copies: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Links (weighted by copies) of each row that count in this table, and each row's smallest linked row in the group."""
     n = len(x)
@@ -90,17 +134,18 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec: str = "e
     if not facts.n:
         return alone
     dim = facts.dim
-    tables = max(1, min(MAX_TABLES, dim // BITS))
-    bits = min(dim, tables * BITS)
     fit = base.hash_sample(nodes, "node", base.sample_fraction(facts.n, SAMPLE)).select("vec").toPandas()  # bounded by SAMPLE
-    learned = spark.sparkContext.broadcast(learn_rotation(unit_rows(matrix(fit.vec, dim)) if len(fit) else np.eye(dim), bits))
+    turns, bits, tables = choose_tables(unit_rows(matrix(fit.vec, dim)) if len(fit) else np.eye(dim), threshold)
+    learned = spark.sparkContext.broadcast(turns)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mean, turn = learned.value
         for pdf in batches:
             x = matrix(pdf.vec, dim)
-            sign = (unit_rows(x) - mean) @ turn >= 0
-            codes = np.stack([np.packbits(sign[:, t * BITS : (t + 1) * BITS], axis=1)[:, 0] for t in range(tables)], 1)
+            u, codes = unit_rows(x), np.zeros((len(x), tables), np.uint8)
+            signs = [(u - mean) @ turn >= 0 for mean, turn in learned.value]
+            if bits:
+                cut = [s[:, i : i + bits] for s in signs for i in range(0, s.shape[1], bits)]
+                codes = np.stack([np.packbits(c, axis=1)[:, 0] for c in cut[:tables]], 1)
             raw, code = [v.tobytes() for v in x], [c.tobytes() for c in codes]
             for t in range(tables):
                 yield pd.DataFrame({"tab": np.full(len(x), t, np.int32), "bucket": codes[:, t].astype(np.int32), "label": pdf.label, "node": pdf.node, "copies": pdf.copies, "vec": raw, "code": code})
