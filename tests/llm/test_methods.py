@@ -126,6 +126,22 @@ def test_neighbours_recall(spark, data):
     assert np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("n,longest", [(16, 1.0), (1_500, 10.0)])
+def test_neighbours_of_few_rows_and_beside_a_long_vector(spark, n, longest):
+    x = vectors.unit_rows(np.random.default_rng(n).normal(size=(n, 64)))
+    x[7] *= longest
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.neighbours(df, F.col("vec_id") % 20 == 0).toPandas()
+    k, hits = min(20, n - 1), []
+    for q in range(0, n, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        own = got[got.query_id == q].sort_values("rank")
+        assert len(own) == k and list(own["rank"]) == list(range(1, k + 1))
+        hits.append(len(set(np.argsort(-s)[:k]) & set(own.vec_id)) / k)
+    assert np.mean(hits) >= (1.0 if n == 16 else 0.9)
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 64))
     assert np.allclose(np.linalg.norm(neighbours.turned(x, 1, 5), axis=1), np.linalg.norm(x, axis=1))

@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by cross-polytope hashing, with exact reranking.
 
-Vectors are brought to unit length (one more coordinate makes the largest inner product the smallest angle), padded to a
+Candidates are parted by norm into ranges of a factor of the root of two; each range has buckets of its own, so a long vector
+does the others no harm. Vectors are brought to unit length (one more coordinate makes the largest inner product of a range the smallest angle), padded to a
 power of two and turned by three rounds of random signs and a fast Hadamard transform. The nearest signed axis is a
 table's bucket. A query looks into the buckets of its `probes` largest signed coordinates in each of `tables` tables;
-inner products with the original vectors, in double precision, rank what it finds.
+inner products with the original vectors, in double precision, rank what it finds. A query that finds fewer than k is
+compared with all rows, tile by tile.
 
 Measured recall against brute force is in the README. All rows are indexed. Of identical vectors only the k + 1 smallest
 ids can rank, so no more are indexed. Buckets beyond a tile's size are dealt over tiles of candidates and of queries, which
@@ -62,8 +64,9 @@ def turned(x: np.ndarray, table: int, seed: int) -> np.ndarray:
     return x
 
 
-def unit(x: np.ndarray, largest: float, query: bool) -> np.ndarray:
-    """Unit vectors of a power of two's length. Candidates are scaled by the largest norm and topped up in one coordinate."""
+def unit(x: np.ndarray, largest: float | np.ndarray, query: bool) -> np.ndarray:
+    """Unit vectors of a power of two's length. Candidates are scaled by the largest norm (of their range) and topped up in
+    one coordinate."""
     size = 1 << int(np.ceil(np.log2(x.shape[1] + 1)))
     out = np.zeros((len(x), size))
     if query:
@@ -90,12 +93,13 @@ def neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id",
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = matrix(pdf.vec, dim)
-            u = unit(x, largest, query=False)
+            level = np.maximum(0, np.floor(2 * np.log2(largest / np.linalg.norm(x, axis=1)))).astype(np.int32)
+            u = unit(x, (largest * 2.0 ** (-level / 2) * (1 + 1e-12))[:, None], query=False)
             raw = [v.tobytes() for v in x]
             for t in range(tables):
                 r = turned(u, t, seed)
                 axis = np.abs(r).argmax(1)
-                yield pd.DataFrame({"tab": np.full(len(x), t, np.int32), "bucket": (2 * axis + (r[np.arange(len(x)), axis] < 0)).astype(np.int32), "vec_id": pdf.vec_id, "vec": raw})
+                yield pd.DataFrame({"tab": np.full(len(x), t, np.int32), "level": level, "bucket": (2 * axis + (r[np.arange(len(x)), axis] < 0)).astype(np.int32), "vec_id": pdf.vec_id, "vec": raw})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, some = sample.value
@@ -114,13 +118,13 @@ def neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id",
                     n = best.shape[1]
                     yield pd.DataFrame({"tab": np.full(len(x) * n, t, np.int32), "bucket": best.ravel().astype(np.int32), "query_id": np.repeat(own, n), "query": np.repeat(np.array(raw, object), n), "floor": np.repeat(floor, n)})
 
-    stored = base.materialise(ranked.select("vec_id", "vec").mapInPandas(index, "tab int, bucket int, vec_id long, vec binary"), "ann_index")
+    stored = base.materialise(ranked.select("vec_id", "vec").mapInPandas(index, "tab int, level int, bucket int, vec_id long, vec binary"), "ann_index")
     asked = base.materialise(rows.filter("asks").select("vec_id", "vec").mapInPandas(ask, "tab int, bucket int, query_id long, query binary, floor double"), "ann_queries")
-    # one row for each table and bucket: tables x 2 x padded dimension, whatever the data
-    sizes = stored.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / tile_candidates).cast("int").alias("nc")).join(asked.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / tile_queries).cast("int").alias("nq")), ["tab", "bucket"])
+    # one row for each table, range of norms and bucket: at most tables x ranges x 2 x padded dimension, however many rows
+    sizes = stored.groupBy("tab", "level", "bucket").agg(F.ceil(F.count("*") / tile_candidates).cast("int").alias("nc")).join(asked.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / tile_queries).cast("int").alias("nq")), ["tab", "bucket"])
     sizes = F.broadcast(sizes)
-    left = stored.join(sizes, ["tab", "bucket"]).select("tab", "bucket", F.pmod(F.xxhash64("vec_id"), "nc").cast("int").alias("tc"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("tq"), "vec_id", "vec")
-    right = asked.join(sizes, ["tab", "bucket"]).select("tab", "bucket", F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("tc"), F.pmod(F.xxhash64("query_id"), "nq").cast("int").alias("tq"), "query_id", "query", "floor")
+    left = stored.join(sizes, ["tab", "level", "bucket"]).select("tab", "level", "bucket", F.pmod(F.xxhash64("vec_id"), "nc").cast("int").alias("tc"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("tq"), "vec_id", "vec")
+    right = asked.join(sizes, ["tab", "bucket"]).select("tab", F.col("level").alias("level"), "bucket", F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("tc"), F.pmod(F.xxhash64("query_id"), "nq").cast("int").alias("tq"), "query_id", "query", "floor")
 
     def rank(found: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
@@ -140,10 +144,22 @@ def neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id",
             parts.append(pd.DataFrame({"query_id": own[a], "vec_id": ids[b], "score": np.einsum("ij,ij->i", q[a], c[b])}))
         return pd.concat(parts) if parts else none
 
-    keys = ["tab", "bucket", "tc", "tq"]
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
-    best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def first(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
+        best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = base.materialise(first(left, right, ["tab", "level", "bucket", "tc", "tq"]), "ann_found")
+    full = found.groupBy("query_id").agg(F.count("*").alias("held")).filter(F.col("held") >= k).select("query_id")
+    short = base.materialise(asked.filter("tab = 0").select("query_id", "query").distinct().join(full, "query_id", "left_anti"), "ann_short")
+    nq = -(-short.count() // tile_queries)
+    if not nq:
+        return found
+    all_rows = stored.filter("tab = 0")
+    nc = -(-all_rows.count() // tile_candidates)
+    left = all_rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(nc)).cast("int").alias("tc"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("tq"), "vec_id", "vec")
+    right = short.select(F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("tc"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("tq"), "query_id", "query", F.lit(float("-inf")).alias("floor"))
+    return found.join(full, "query_id", "left_semi").unionByName(first(left, right, ["tc", "tq"]))
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
