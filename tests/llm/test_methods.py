@@ -165,7 +165,7 @@ def test_toxicity_held_out(spark, tmp_path):
         bad = i % 5 == 0
         if bad:
             for _ in range(3):
-                words[rng.randrange(40)] = rng.choice(["zxqidiot", "zxqfool", "i.d.i.o.t", "zxqscum"])
+                words[rng.randrange(40)] = rng.choice(["zxqidiot", "zxqfool", "zxqscum", "zx.qf.oo.l"] if i % 7 else ["zxq-idi-ot", "zxqfoool", "z x q s c u m"])
         docs.append((i, " ".join(words)))
         labels.append((i, 0, int(bad)))
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
@@ -175,13 +175,45 @@ def test_toxicity_held_out(spark, tmp_path):
     assert len(held) > 60 and (held.predicted == (held.doc_id % 5 == 0).astype(int)).mean() > 0.97
 
 
-def test_folded_weights_equal_the_kernel():
+def test_gapped_insults_that_training_lacks(spark):
+    """Only plain forms are learned from; gaps, signs, inserted characters and split words are not."""
+    rng = random.Random(14)
+    clean = ["ber", "lin", "tal", "mor", "sen", "dra", "vil", "kon", "ust", "arm"]
+    insults = ["zxqidiot", "quafool", "worblem", "hurpscum"]
+    rows, labels = [], []
+    for i in range(500):
+        words = ["".join(rng.choice(clean) for _ in range(rng.randint(1, 4))) for _ in range(30)]
+        if i % 4 == 0:
+            for _ in range(2):
+                words[rng.randrange(30)] = rng.choice(insults)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    value = lambda t: float(model.windows([t]).best(1)[0][0])
+    for t in ("z.x.q.i.d.i.o.t", "zxq idiot", "q u a f o o l", "qua fool", "hurp-scum", "hurpscum!", "w0rblem", "ZXQIDIOT", "zxqidxiot", "worbblem"):
+        assert value(f"lin berber {t} mortal") > 0, t
+        assert model.scores([f"lin berber {t} mortal {t} ber"])[0] >= 0.5, t
+    assert value("lin tal sen dra vilkon") < 0 and (model.scores(["lin berber mortal", ""]) < 0.5).all()
+
+
+def test_windows_of_a_text_equal_the_kernel():
+    """Sums along a text give each window the value that its own subsequences have."""
+    rng = np.random.default_rng(8)
+    model = toxicity.Model(rng.normal(size=toxicity.FEATURES).astype(np.float32), 0.25, toxicity.NO_LEVEL)
+    texts = ["the i d i o t said id iot 1d.i-o7 $5 \n abcdefghijkl mno", "", "x", "ab cd", "été Straße naïve", "a b c d e f"]
+    w = model.windows(texts)
+    words = w.words(np.arange(len(w.a)))
+    assert {"idiot", "abcdefghijkl", "saidid", "abcdef", "abcd"} <= set(words)
+    c = toxicity.subsequences(words)
+    want = np.bincount(c.token, model.weights[c.feature] * c.weight, minlength=c.n) + 0.25
+    assert np.allclose(w.value, want, atol=1e-4)
+
+
+def test_the_kernel_by_hand():
     a, b = toxicity.subsequences(["idiot"]), toxicity.subsequences(["idxiot", "sea"])
     direct = [sum(wa * wb for fa, wa in zip(a.feature, a.weight) for fb, wb, t in zip(b.feature, b.weight, b.token) if fa == fb and t == k) for k in (0, 1)]
-    index, where = np.unique(a.feature, return_inverse=True)
-    dense = np.zeros((len(index), 1), np.float32)
-    np.add.at(dense, (where, a.token), a.weight)
-    assert np.allclose(toxicity.kernel(b, index, dense)[:, 0], direct, atol=1e-5) and direct[0] > direct[1]
+    assert np.allclose(toxicity.Landmarks.of(["idiot"]).kernel(b)[:, 0], direct, atol=1e-5) and direct[0] > direct[1]
+    assert toxicity.Landmarks.of(["stream"]).kernel(toxicity.subsequences(["stream"]))[0, 0] == pytest.approx(1, abs=1e-5)
 
 
 # 5
