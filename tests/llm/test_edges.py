@@ -78,6 +78,8 @@ def test_mixing(docs, none):
     out = mixing.mix_texts(docs)
     assert out.columns == docs.columns and out.filter("doc_id = 2").count() == 0
     assert mixing.mix(none).count() == 0 and mixing.mix_texts(none).count() == 0
+    twins = docs.filter("doc_id = 1").withColumn("text", F.when(F.rand(3) < 2, F.col("text"))).union(docs.filter("doc_id = 1").withColumn("text", F.lit("one two three")))
+    assert sorted(map(str, mixing.mix(twins).collect())) == sorted(map(str, mixing.mix(twins.orderBy(F.desc("text"))).collect()))  # one id, unlike texts
     blank = docs.withColumn("text", F.lit(""))
     assert mixing.mix(blank).agg(F.sum("taken")).first()[0] == 0 and mixing.mix_texts(blank).count() == 0
 

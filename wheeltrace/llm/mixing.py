@@ -2,15 +2,20 @@
 
 The words of each source, document after document, form fixed-length blocks. Sources share the words of the mix by
 weight, none above `max_repeats` times its own words (the excess goes to the others by weight). Each output shard draws
-its sources' slot counts from a multinomial; a source's n-th slot over all shards takes the block that a pseudorandom
-permutation of its block indices gives for n, pass after pass, and texts, cut into blocks, join the slots by block index.
-Draws beyond a source's slots are cut and what a source still lacks fills last shards, so a source's words meet its target
-to the word: its last slot takes only the words still missing. Inside a shard the sources' slots are permuted.
+its sources' slot counts from a multinomial over the sources' shares of all slots; these draws alone decide how many slots a
+source gets, so its words come near its target, nearer with more shards: with n slots of a share p, the standard deviation
+is sqrt((1 - p) / (n p)) of the target. A source's n-th slot over all shards takes the block that a pseudorandom permutation of
+its block indices gives for n, pass after pass, and texts, cut into blocks, join the slots by block index. A draw beyond
+`max_repeats` passes over a source finds no block and falls away, so no text is taken more often than that; the shard is as much
+shorter. Inside a shard the sources' slots are permuted.
 
 Null texts have size 0 and are never taken. A null source is a source of its own, after the others. Repeated rows count
 each on its own. Positions inside a source are running sums within hashed buckets plus the buckets' own running sums, so a
-source with a third of all rows is no single task. An empty table gives no rows. Draws depend on the seed, the shard and the
-data only: reruns agree.
+source with a third of all rows, or rows that all have one id or none, are no single task. Rows are ordered by bucket, id, size and a hash of the
+text; rows that tie in all of these have equal texts, so that it does not matter which comes first. A very long text is cut into as many
+blocks as it fills, one row each. An empty table gives no rows. Draws depend on the seed, the shard and the
+data only: reruns agree. Columns of the input may have any names. The table of sources (a row for each distinct value) is
+collected and broadcast up to MAX_SOURCES; a column with more values is no source column and is refused.
 """
 
 from __future__ import annotations
@@ -33,25 +38,19 @@ MAX_REPEATS = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 2048
 SEED = 17
+MAX_SOURCES = 100_000  #: distinct sources that the driver plans for
 
 
 @dataclass
 class Source:
-    """One source's share of the mix. It takes `passes` whole passes over its blocks, then `slots` more, the last of
-    which is cut to `last` words."""
+    """One source's share of the mix: its words, the words that it should give, its blocks, and its share of all slots."""
 
     number: int
     name: str | None
     size: int
     target: float
     blocks: int
-    passes: int = 0
-    slots: int = 0
-    last: int = 0
-
-    @property
-    def total(self) -> int:
-        return self.passes * self.blocks + self.slots
+    share: float = 0.0
 
 
 def permute(i: np.ndarray, n: int, seed: int, number: int, *, inverse: bool = False) -> np.ndarray:
@@ -99,50 +98,38 @@ def targets(sizes: Sequence[int], weights: Sequence[float], max_repeats: int) ->
     return out
 
 
-def plan(sizes: dict[str | None, int], *, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block: int = BLOCK_WORDS, seed: int = SEED) -> list[Source]:
+def plan(sizes: dict[str | None, int], *, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block: int = BLOCK_WORDS) -> tuple[list[Source], int]:
+    """The sources in code-point order, null last, and the number of slots of the mix. A slot of a source brings the mean
+    words of its blocks."""
     names = [*sorted(k for k in sizes if k is not None), *([None] if None in sizes else [])]
     goal = targets([sizes[k] for k in names], [weights[i % len(weights)] for i in range(len(names))], max_repeats)
-    out = []
-    for i, (k, t) in enumerate(zip(names, goal, strict=True)):
-        s = Source(i, k, sizes[k], t, -(-sizes[k] // block))
-        if s.size:
-            words = min(int(t + 0.5), max_repeats * s.size)
-            s.passes, rest = divmod(words, s.size)
-            if rest:
-                short = s.size - (s.blocks - 1) * block  # words of the last block
-                at = int(permute(np.array([s.blocks - 1]), s.blocks, seed, i, inverse=True)[0])  # its place in a pass
-                s.slots = -(-rest // block)
-                if at < s.slots and rest > s.slots * block - (block - short):
-                    s.slots += 1
-                before = (s.slots - 1) * block - (block - short if at < s.slots - 1 else 0)
-                s.last = rest - before
-        out.append(s)
-    return out
+    out = [Source(i, k, sizes[k], t, -(-sizes[k] // block)) for i, (k, t) in enumerate(zip(names, goal, strict=True))]
+    wanted = [s.target * s.blocks / s.size if s.size else 0.0 for s in out]
+    for s, n in zip(out, wanted, strict=True):
+        s.share = n / max(sum(wanted), 1e-300)
+    return out, int(sum(wanted) + 0.5)
 
 
 def sized(docs: DataFrame, text: str, size: str) -> DataFrame:
     """docs with their numbers of words: runs of anything but ASCII white space."""
-
-    @F.pandas_udf("long")
-    def words(texts: pd.Series) -> pd.Series:
-        return pd.Series([0 if t is None else len(t.encode("utf-8", "surrogatepass").split()) for t in texts], dtype="int64")
-
-    return docs.withColumn(size, words(F.col(text)))
+    return docs.withColumn(size, F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
 
 
 def bucket_sums(rows: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame, dict[str | None, int]]:
-    """rows (with _id, _size, _source) with their bucket; the words of each source's buckets, stored; each source's words."""
+    """rows (with _id, _key, _size, _source) with their bucket; the words of each source's buckets, stored; each source's words."""
     buckets = max(1, math.isqrt(n_rows))  # as many buckets as rows of one, so that neither sum is long
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("_id"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("_id", "_key"), F.lit(buckets)).cast("int"))
     sums = base.materialise(rows.groupBy("_source", "bucket").agg(F.sum("_size").alias("held")), "bucket_sums")
-    found = sums.groupBy("_source").agg(F.sum("held").alias("n")).collect()  # a row for each source
+    found = sums.groupBy("_source").agg(F.sum("held").alias("n")).limit(MAX_SOURCES + 1).collect()  # a row for each source
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     return rows, sums, {r["_source"]: int(r.n or 0) for r in found}
 
 
 def placed(rows: DataFrame, sums: DataFrame, sources: DataFrame) -> DataFrame:
     """rows with source_no, row and start: the words of the source before the row."""
-    named = lambda df: df.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("name"))).drop("name")  # noqa: E731  a row for each source
-    within = W.partitionBy("source_no", "bucket").orderBy("_id", "_size")
+    named = lambda df: df.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("name"))).drop("name")  # noqa: E731  MAX_SOURCES rows at most
+    within = W.partitionBy("source_no", "bucket").orderBy("_id", "_size", "_key")
     before = named(sums).withColumn("offset", F.coalesce(F.sum("held").over(W.partitionBy("source_no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("source_no", "bucket", "offset")
     rows = named(rows).withColumn("row", F.row_number().over(within)).withColumn("start", F.sum("_size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("_size"))
     return rows.join(before, ["source_no", "bucket"]).withColumn("start", F.col("start") + F.col("offset")).drop("offset")
@@ -152,54 +139,45 @@ def source_table(spark: SparkSession, sources: list[Source]) -> DataFrame:
     return spark.createDataFrame([(s.number, s.name, s.size, s.target) for s in sources], "source_no int, name string, source_size long, target double")
 
 
-def slots(spark: SparkSession, sources: list[Source], *, seed: int = SEED, shard_slots: int = SHARD_SLOTS, block: int = BLOCK_WORDS) -> DataFrame:
-    """(shard, slot, source_no, block, words): every slot of every output shard and the block that it takes."""
-    live = [s for s in sources if s.total]
-    total = sum(s.total for s in live)
-    n_shards = total // shard_slots
-    share = np.array([s.total / total for s in live]) if live else np.zeros(0)
+def draws(shards: Sequence[int], sources: Sequence[Source], total: int, seed: int, shard_slots: int) -> np.ndarray:
+    """Each shard's slots of each source: a multinomial of shard_slots, of what is left for the last shard."""
+    share = np.array([s.share for s in sources])
+    return np.array([np.random.default_rng((seed, int(i))).multinomial(min(shard_slots, total - int(i) * shard_slots), share) for i in shards]).reshape(-1, len(sources))
+
+
+def slots(spark: SparkSession, sources: list[Source], total: int, *, seed: int = SEED, shard_slots: int = SHARD_SLOTS, block: int = BLOCK_WORDS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """(shard, slot, source_no, block): every slot of every output shard and the block that it takes."""
+    live = [s for s in sources if s.share > 0]
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            counts = np.array([np.random.default_rng((seed, int(i))).multinomial(shard_slots, share) for i in pdf["id"]]).reshape(-1, len(live))
-            yield pd.DataFrame({"shard": np.repeat(pdf["id"].to_numpy(), len(live)), "source_no": np.tile(np.array([s.number for s in live], np.int32), len(pdf)), "n": counts.ravel()})
+            shard, number = np.repeat(pdf["id"].to_numpy(), len(live)), np.tile(np.array([s.number for s in live], np.int32), len(pdf))
+            n = draws(pdf["id"].tolist(), live, total, seed, shard_slots).ravel()
+            yield pd.DataFrame({"shard": shard, "source_no": number, "n": n})[n > 0]
 
-    drawn = spark.range(n_shards).mapInPandas(draw, "shard long, source_no int, n long") if live else spark.createDataFrame([], "shard long, source_no int, n long")
+    schema = "shard long, source_no int, n long"
+    drawn = spark.range(-(-total // shard_slots)).mapInPandas(draw, schema) if live else spark.createDataFrame([], schema)
     drawn = drawn.withColumn("part", (F.col("shard") / 1024).cast("int"))
     sums = drawn.groupBy("source_no", "part").agg(F.sum("n").alias("held"))
     before = sums.withColumn("offset", F.coalesce(F.sum("held").over(W.partitionBy("source_no").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("source_no", "part", "offset")
     within = W.partitionBy("source_no", "part").orderBy("shard")
     drawn = drawn.withColumn("first", F.sum("n").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).join(before, ["source_no", "part"]).withColumn("first", F.col("first") + F.col("offset"))
-    quota = spark.createDataFrame([(s.number, s.total) for s in live], "source_no int, quota long")
-    drawn = drawn.join(F.broadcast(quota), "source_no").withColumn("n", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("first"))))
-    got = {r.source_no: r.n for r in drawn.groupBy("source_no").agg(F.sum("n").alias("n")).collect()}  # a row for each source
-    rest, shard, room = [], n_shards, shard_slots
-    for s in live:  # what a source lacks after the draws: about the root of its slots
-        first, missing = got.get(s.number, 0), s.total - got.get(s.number, 0)
-        while missing:
-            take = min(missing, room)
-            rest.append((shard, s.number, take, first))
-            first, missing, room = first + take, missing - take, room - take
-            if not room:
-                shard, room = shard + 1, shard_slots
-    drawn = drawn.filter("n > 0").select("shard", "source_no", "n", "first").union(spark.createDataFrame(rest, "shard long, source_no int, n long, first long"))
-    own = W.partitionBy("shard")  # a row for each source
+    most = spark.createDataFrame([(s.number, max_repeats * s.blocks) for s in live], "source_no int, most long")
+    drawn = drawn.join(F.broadcast(most), "source_no").withColumn("n", F.least(F.col("n"), F.col("most") - F.col("first"))).filter("n > 0").select("shard", "source_no", "n", "first")
+    own = W.partitionBy("shard")  # a row for each source that the shard drew
     drawn = drawn.withColumn("before", F.sum("n").over(own.orderBy("source_no").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).withColumn("held", F.sum("n").over(own))
-    by_number = {s.number: s for s in live}
+    blocks = {s.number: s.blocks for s in live}
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for number, own in pdf.groupby("source_no"):
-                s, counts = by_number[number], own.n.to_numpy()
+                counts = own.n.to_numpy()
                 within_row = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 g = np.repeat(own["first"].to_numpy(), counts) + within_row
                 slot = [permute(b + np.arange(n), h, seed, len(sources) + i) for i, b, n, h in zip(own.shard.tolist(), own.before.tolist(), counts.tolist(), own.held.tolist(), strict=True)]  # sources change places in a shard
-                taken = permute(g % s.blocks, s.blocks, seed, number)
-                words = np.where(g == s.total - 1, s.last or block, block)
-                words = np.minimum(words, s.size - taken * block)
-                yield pd.DataFrame({"shard": np.repeat(own.shard.to_numpy(), counts), "slot": np.concatenate(slot), "source_no": np.full(len(g), number, np.int32), "block": taken, "words": words})
+                yield pd.DataFrame({"shard": np.repeat(own.shard.to_numpy(), counts), "slot": np.concatenate(slot), "source_no": np.full(len(g), number, np.int32), "block": permute(g % blocks[number], blocks[number], seed, number)})
 
-    return drawn.mapInPandas(spread, "shard long, slot long, source_no int, block long, words long")
+    return drawn.mapInPandas(spread, "shard long, slot long, source_no int, block long")
 
 
 def mixed(docs: DataFrame, text: str, source: str, id_col: str, weights: Sequence[float], max_repeats: int, block: int, seed: int, shard_slots: int, *, ordered: bool) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -210,17 +188,17 @@ def mixed(docs: DataFrame, text: str, source: str, id_col: str, weights: Sequenc
     plain = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))  # no name of docs can clash below
     names = plain.columns
     own = dict(zip(docs.columns, names, strict=True))
-    rows = sized(plain.select("*", F.col(own[id_col]).alias("_id"), F.col(own[source]).alias("_source")), own[text], "_size")
+    rows = sized(plain.select("*", F.col(own[id_col]).alias("_id"), F.xxhash64(F.col(own[text]).cast("string")).alias("_key"), F.col(own[source]).cast("string").alias("_source")), own[text], "_size")
     rows, sums, sizes = bucket_sums(rows, docs.count())
-    sources = plan(sizes, weights=weights, max_repeats=max_repeats, block=block, seed=seed)
+    sources, total = plan(sizes, weights=weights, max_repeats=max_repeats, block=block)
     named = source_table(spark, sources).select("*", F.col("name").alias("source_name"))
     at = placed(rows, sums, named)
     others = [n for n in names if n != own[text]]
     white = np.zeros(256, bool)
     white[[9, 10, 11, 12, 13, 32]] = True
 
-    def cut(t: str, start: int) -> list[tuple[int, int, int, bytes]]:
-        """Block, words of the block before the part, words and bytes of each part of a text."""
+    def cut(t: str, start: int) -> list[tuple[int, int, int, str]]:
+        """Block, words of the block before the part, words and characters of each part of a text."""
         raw = t.encode("utf-8", "surrogatepass")
         held = np.concatenate([[False], ~white[np.frombuffer(raw, np.uint8)], [False]])
         turns = np.flatnonzero(held[1:] != held[:-1])
@@ -228,7 +206,7 @@ def mixed(docs: DataFrame, text: str, source: str, id_col: str, weights: Sequenc
         blocks = np.arange(start // block, (start + len(begin) - 1) // block + 1)
         lo = np.maximum(blocks * block - start, 0)
         hi = np.minimum((blocks + 1) * block - start, len(begin))
-        return [(k, start + i - k * block, j - i, raw[x:y]) for k, i, j, x, y in zip(blocks.tolist(), lo.tolist(), hi.tolist(), begin[lo].tolist(), end[hi - 1].tolist(), strict=True)]
+        return [(k, start + i - k * block, j - i, raw[x:y].decode("utf-8", "surrogatepass")) for k, i, j, x, y in zip(blocks.tolist(), lo.tolist(), hi.tolist(), begin[lo].tolist(), end[hi - 1].tolist(), strict=True)]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in base.slices(batches):
@@ -236,32 +214,20 @@ def mixed(docs: DataFrame, text: str, source: str, id_col: str, weights: Sequenc
             starts = b.column(1).to_pylist()
             for i, j in base.blocks(texts):
                 made = [(r, *part) for r in range(i, j) for part in cut(texts[r], starts[r])]
-                row, number, low, _, held = map(list, zip(*made, strict=True)) if made else ([], [], [], [], [])
+                row, number, low, words, held = map(list, zip(*made, strict=True)) if made else ([], [], [], [], [])
                 kept = b.select([0, 1, *range(3, b.num_columns)]).take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(number, pa.int64()), pa.array(low, pa.int64()), pa.array(held, pa.binary())], names=[*kept.schema.names, "block", "low", "part"])
-
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in base.slices(batches, 20_000):
-            parts, counts = [], []
-            for raw, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = raw.split()
-                if len(found) > n:  # a source's last slot
-                    raw, found = b" ".join(found[:n]), found[:n]
-                parts.append(raw.decode("utf-8", "surrogatepass"))
-                counts.append(len(found))
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(counts, pa.int64()), pa.array(parts, pa.string())], names=[*b.schema.names[2:], "words", own[text]])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(number, pa.int64()), pa.array(low, pa.int64()), pa.array(words, pa.int64()), pa.array(held, pa.string())], names=[*kept.schema.names, "block", "low", "words", "part"])
 
     from pyspark.sql.types import StructType
 
     placed_rows = at.filter("_size > 0").select("source_no", "start", own[text], "source_name", *others)
     fields = {f.name: f for f in placed_rows.schema}
-    cut_schema = StructType([fields[n] for n in ("source_no", "start", "source_name", *others)]).add("block", "long").add("low", "long").add("part", "binary")
-    taken = slots(spark, sources, seed=seed, block=block, shard_slots=shard_slots).withColumnRenamed("words", "most")
-    found = placed_rows.mapInArrow(explode, cut_schema).join(taken.hint("merge"), ["source_no", "block"]).filter("low < most")  # not broadcast: the planner takes slots for as few as draws
+    cut_schema = StructType([fields[n] for n in ("source_no", "start", "source_name", *others)]).add("block", "long").add("low", "long").add("words", "long").add("part", "string")
+    taken = slots(spark, sources, total, seed=seed, block=block, shard_slots=shard_slots, max_repeats=max_repeats)
+    found = placed_rows.mapInArrow(explode, cut_schema).join(taken.hint("merge"), ["source_no", "block"])  # not broadcast: the planner takes slots for as few as draws
     if ordered:
         found = found.orderBy("shard", "slot", "low")
-    found = found.select("part", (F.col("most") - F.col("low")).alias("room"), "shard", "slot", "source_no", "source_name", "block", "low", "start", *others)
-    return found.mapInArrow(shorten, StructType(found.schema.fields[2:]).add("words", "long").add(own[text], "string")), at, names
+    return found.withColumnRenamed("part", own[text]), at, names
 
 
 def mix(docs: DataFrame, *, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block: int = BLOCK_WORDS, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
