@@ -50,14 +50,31 @@ def test_weighted_jaccard_by_hand():
 
 
 def test_samples_agree_as_often_as_texts_are_similar():
+    """Over many pairs, the share of equal bands is the similarity to the power of the samples in a band."""
     rng = random.Random(3)
-    words = [f"w{rng.randint(0, 5000)}" for _ in range(600)]
-    other = [w if i % 40 else "edit" for i, w in enumerate(words)]
     idf = 1 + np.random.default_rng(1).random(minhash.BUCKETS)
-    s = minhash.weighted_sets([" ".join(words), " ".join(other)], idf)
-    keys = minhash.band_keys(minhash.shingles([" ".join(words), " ".join(other)], idf))
-    want = minhash.similarity(*s)
-    assert 0.6 < want < 0.95 and 1 - (1 - want**3) ** 10 - 0.4 < (keys[0] == keys[1]).mean() + 0.4
+    got, want = [], []
+    for gap in (200, 60, 25, 12):
+        same, near = [], []
+        for _ in range(150):
+            words = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+            other = [w if rng.randrange(gap) else f"e{rng.randint(0, 10**6)}" for w in words]
+            pair = [" ".join(words), " ".join(other)]
+            keys = minhash.band_keys(minhash.shingles(pair, idf))
+            same.append((keys[0] == keys[1]).mean())
+            near.append(minhash.similarity(*minhash.weighted_sets(pair, idf)) ** minhash.ROWS)
+        got.append(np.mean(same)), want.append(np.mean(near))
+    assert want[0] > 0.8 and want[-1] < 0.2 and np.allclose(got, want, atol=0.04)
+
+
+def test_deduplicate_keeps_wordless_rows_and_one_of_each_class(spark):
+    rows = [(2, None, "x"), (2, None, "x"), (3, "", "x"), (3, "", "x"), (4, "!!", "x"), (4, "!!", "x"), (5, "one two three four five six", "b"), (5, "one two three four five six", "a"), (1, "One two three, four five six", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rid string").withColumn("_row_rid", F.lit("clash"))
+    got = minhash.deduplicate(docs)
+    assert got.columns == docs.columns and got.count() == 7
+    assert got.filter("doc_id in (1, 5)").select("doc_id").collect()[0].doc_id == 1
+    twins = spark.createDataFrame(rows[6:8], "doc_id long, text string, rid string")
+    assert minhash.deduplicate(twins).collect() == minhash.deduplicate(twins.orderBy("rid")).collect()
 
 
 def test_large_groups_of_near_copies_meet(spark):
@@ -91,13 +108,37 @@ def test_packing_round_trip(spark, data, texts):
     assert sums.max() <= 2048 and (2048 - sums).sum() < 0.05 * sums.sum()
 
 
+def test_small_partitions_share_sequences(spark):
+    docs = spark.createDataFrame([(i, "one two three four five six seven eight nine ten eleven") for i in range(200)], "doc_id long, text string").repartition(100)
+    got = packing.pack(docs).toPandas()
+    tokens = got.length.sum()
+    assert got.sequence_id.nunique() == -(-tokens // 2048) and got.groupby("sequence_id").length.sum().max() <= 2048 and got.doc_id.nunique() == 200
+
+
+def test_only_documents_that_do_not_fit_are_cut(spark, data):
+    got = packing.pack(base.table(spark, data, "documents")).toPandas()
+    whole = got[got.doc_tokens < 2048].groupby("doc_id").size()
+    assert (whole == 1).mean() > 0.8  # more in larger tables, whose groups have more windows to choose from
+
+
 def test_differencing_is_near_equal():
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 257, 700).tolist()
     sets = packing.differencing(sizes, 50)
     sums = [sum(sizes[i] for i in s) for s in sets]
     assert sorted(i for s in sets for i in s) == list(range(700)) and max(sums) - min(sums) <= 10
-    assert packing.differencing([8, 7, 6, 5, 4], 2) and packing.windows([2000, 2000, 100], 2048) and len(packing.windows([2000, 2000, 100], 2048)) == 3
+    assert packing.differencing([8, 7, 6, 5, 4], 2)
+
+
+def test_the_window_count_rises_before_anything_is_cut():
+    assert sorted(packing.windows([2000, 2000, 100], 2048)) == [[(0, 0, 2000)], [(1, 0, 2000)], [(2, 0, 100)]]
+    sizes = [1500] * 7
+    found = packing.windows(sizes, 2048)
+    assert all(sum(n for _, _, n in w) <= 2048 for w in found) and len(found) == 7
+    parts = sorted(p for w in found for p in w)
+    for i in range(7):
+        own = [p for p in parts if p[0] == i]
+        assert sum(n for _, _, n in own) == 1500 and all(a[1] + a[2] == b[1] for a, b in zip(own, own[1:]))
 
 
 def test_quick_encoder_equals_exact():
@@ -107,7 +148,11 @@ def test_quick_encoder_equals_exact():
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     exact.encode_special_tokens = True
     encode = packing.byte_bpe()
-    for t in ("", " ", "a  b\n\n c", "it's I'LL <|endoftext|> x", "日本語テキスト 🙂", "ñandú x", "1234 5,6", "a" * 5000, "\t\n " * 300 + "x"):
+    rng = random.Random(7)
+    ranges = [(0, 0x20), (0x20, 0x7F), (0x7F, 0xA0), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x530), (0x590, 0x700), (0x900, 0xE00), (0xE00, 0x1200), (0x1E00, 0x2070), (0x2070, 0x2C00), (0x3000, 0x3100), (0x4E00, 0x5000), (0xAC00, 0xAD00), (0xE000, 0xE010), (0xFE00, 0x10000), (0x1F300, 0x1F700), (0xE0000, 0xE0080)]
+    mixed = ["".join(chr(rng.randrange(*rng.choice(ranges))) for _ in range(rng.randint(1, 60))) for _ in range(600)]
+    single = ["".join(chr(rng.randrange(*r)) for _ in range(80)) for r in ranges for _ in range(5)]
+    for t in (*mixed, *single, *(f"a{chr(c)}b {chr(c)}  {chr(c)}1" for c in range(0x20)), "", " ", "a  b\n\n c", "it's I'LL <|endoftext|> x", "日本語テキスト 🙂", "ñandú x", "1234 5,6", "a" * 5000, "\t\n " * 300 + "x"):
         assert encode(t).tolist() == exact.encode(t, add_special_tokens=False).ids
 
 
@@ -142,6 +187,32 @@ def test_neighbours_of_few_rows_and_beside_a_long_vector(spark, n, longest):
     assert np.mean(hits) >= (1.0 if n == 16 else 0.9)
 
 
+def test_the_share_of_scored_pairs_falls_as_rows_grow(spark):
+    shares = []
+    for n in (1_000, 12_000):
+        x = vectors.unit_rows(np.random.default_rng(n).normal(size=(n, 64)))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        scored = spark.sparkContext.accumulator(0)
+        every = n // 50
+        got = neighbours.neighbours(df, F.col("vec_id") % every == 0, scored=scored).toPandas()
+        asked = range(0, n, every)
+        s = x[list(asked)] @ x.T
+        s[range(len(asked)), list(asked)] = -np.inf
+        top = np.argsort(-s, axis=1)[:, :20]
+        recall = np.mean([len(set(top[i]) & set(got[got.query_id == q].vec_id)) / 20 for i, q in enumerate(asked)])
+        assert recall >= 0.9, (n, recall)
+        shares.append(scored.value / (len(asked) * n))
+    assert shares[1] < 0.7 * shares[0]
+
+
+def test_bucket_ranking_equals_all_sums():
+    rng = np.random.default_rng(1)
+    signed = [rng.normal(size=(5, n)) for n in (8, 6, 4)]
+    got = neighbours.ranked_buckets(signed, 10)
+    every = (signed[0][:, :, None, None] + signed[1][:, None, :, None] + signed[2][:, None, None, :]).reshape(5, -1)
+    assert [set(r) for r in got] == [set(np.argsort(-r)[:10]) for r in every]
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 64))
     assert np.allclose(np.linalg.norm(neighbours.turned(x, 1, 5), axis=1), np.linalg.norm(x, axis=1))
@@ -318,6 +389,76 @@ def test_matching_statistics_equal_brute_force():
             assert a.ends[state] and all(seqs[k][p + 1 - n : p + 1] == text[i + 1 - n : i + 1] for k, p in a.ends[state])
 
 
+def brute_chain(own, max_gap):
+    """The most words that a chain of matches covers, over all sets of matches."""
+    from itertools import combinations
+
+    best = 0
+    for r in range(1, len(own) + 1):
+        for some in combinations(sorted(own), r):
+            covered, ok = some[0][2], True
+            for (t0, p0, _), (te, pe, size) in zip(some, some[1:]):
+                new = min(size, te - t0, pe - p0)
+                ok = ok and new > 0 and te - new - t0 <= max_gap and pe - new - p0 <= max_gap
+                covered += new
+            if ok:
+                best = max(best, covered)
+    return best
+
+
+def test_chains_equal_brute_force():
+    rng = random.Random(16)
+    for _ in range(60):
+        own = {(e := rng.randint(2, 40), rng.randint(2, 20), rng.randint(1, 5)) for _ in range(7)}
+        found = licences.chains([(0, *m) for m in own], 6)
+        assert max(x[3] for x in found) == brute_chain(own, 6)
+        spans = sorted((a, b) for _, a, b, _ in found)
+        assert all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_labels_and_score_of_unseen_files(spark):
+    bsd, mit = licences.TEMPLATES[9][1], licences.TEMPLATES[1][1]
+    cut = mit.split()
+    gap = " ".join([*cut[:30], "and", "some", "more", *cut[30:]])
+    rows = [(1, f"/* {bsd} */ int x;"), (2, gap + " and then code"), (3, "mit license"), (4, "nothing of the kind"), (5, f"{bsd} x y z {bsd}"), (6, " ".join(cut[: len(cut) // 2])), (7, "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS")]
+    scanner = licences.Scanner()
+    got = licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), scanner).collect()
+    for r, (_, text) in zip(got, rows, strict=True):
+        want = {}
+        for k, (label, template) in enumerate(licences.TEMPLATES):  # matches by plain comparison of all places
+            w, t = licences.words_of(text), licences.words_of(template)
+            own = set()
+            for i in range(len(w)):
+                for j in range(len(t)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(t) and w[i + n] == t[j + n]:
+                        n += 1
+                    if n >= 3 and not (i and j and w[i - 1] == t[j - 1]):
+                        own.add((i + n - 1, j + n - 1, n))
+            if own and len(own) <= 12:
+                want[label] = max(want.get(label, 0), brute_chain(own, licences.MAX_GAP) / len(t))
+        have = {}
+        for s in r.spans:
+            have[s.label] = max(have.get(s.label, 0), s.coverage)
+        for label in want:
+            if max(want[label], have.get(label, 0)) >= 0.5:
+                assert have[label] == pytest.approx(want[label]), (r.doc_id, label)
+    by = {r.doc_id: [s for s in r.spans if s.coverage >= licences.MIN_COVERAGE] for r in got}
+    assert [s.label for s in by[1]] == ["bsd"] and [s.label for s in by[2]] == ["mit"] and len(by[5]) == 2 and not by[3] and not by[4] and not by[6]
+
+
+def test_repeated_lines_cost_time_in_proportion():
+    import time
+
+    scanner, took = licences.Scanner(), []
+    for n in (2_000, 16_000):
+        began = time.time()
+        found = scanner.scan(["released under the mit license. " * n])
+        took.append(time.time() - began)
+        assert len([s for s in found[0]["spans"] if s[3] == 1]) == n
+    assert took[1] < 30 * took[0]
+
+
 # 7
 def test_pages_held_out():
     model = pages.train()
@@ -336,6 +477,40 @@ def test_article_text(spark, data):
         assert got[r.page_id] == " ".join(pages.entities.unescape(re.sub(r"<[^>]*>?", " ", re.sub(r"</?b>", "", inner))).split())
 
 
+@pytest.mark.parametrize("middle", ['<svg class="x"/>', '<p>before<button class="b">press', "<select><option>one", '<object data="x">', "<svg-icon></svg-icon>", "<button-group><button>go</button></button-group>", "<svg><path d='M0'/></svg>", "<script>var a = '<p>';</script>", "<style>p{}</style >", "<textarea>a <p> b</textarea>", "<template><p>hidden words</p></template>"])
+def test_odd_elements_take_nothing_else_with_them(middle):
+    found = [b.text for b in pages.leaf_blocks(f"<article><p>First words here.</p>{middle}<p>Last words here.</p></article>")]
+    assert found[0] == "First words here." and found[-1] == "Last words here." and not any("hidden" in t or "var a" in t or "press" in t for t in found)
+
+
+def test_deep_pages_cost_time_in_proportion():
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        page = "".join(f'<div class="n{"abcdefghij"[i % 10]}{"klmnopqrst"[i // 10 % 10]} u{i}x">' for i in range(n)) + "<i>" * n + "<p>text" * n + "</div>" * n
+        began = time.time()
+        assert len(pages.leaf_blocks(page)) == n
+        took.append(time.time() - began)
+    assert took[1] < 24 * took[0]
+
+
+LAYOUTS = [
+    "<body><header><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></header><main>{}</main><footer>&copy; 2024 All rights reserved.</footer></body>",
+    '<div class="site-header"><a href="/">Logo</a></div><div id="content">{}</div><div class="sidebar"><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></div>',
+    '<nav><a href=a>A</a> <a href=b>B</a></nav><article>{}</article><section class="comments"><div class="comment"><p>I do not agree with any of this.</p></div></section>',
+    '<div class="cookie-notice">We use cookies to give you the best experience.</div><div class="post-body">{}</div><div class="ad-box">Buy one and get one free today.</div>',
+]
+
+
+@pytest.mark.parametrize("layout", range(len(LAYOUTS)))
+def test_article_of_other_layouts(layout):
+    blocks = ["A heading of the story", "The council met on Monday, and it spoke of the river for most of the day.", "Fish &amp; chips were   served;\nnobody left early, which is rare.", "In the end the vote was held, and the bridge will be built next year."]
+    inner = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+    got, _ = pages.main_text(pages.train(), LAYOUTS[layout].format(inner))
+    assert got == " ".join(" ".join(pages.entities.unescape(b).split()) for b in blocks)
+
+
 def test_viterbi_equals_enumeration():
     from itertools import product
 
@@ -385,6 +560,32 @@ def test_vector_links_equal_brute_force(spark):
         assert (got.kept == (got.index == got.component_id)).all()
 
 
+def test_vector_classes_equal_brute_force_by_label(spark, tmp_path):
+    """The query itself, on 4,000 rows of five labels: links, components and kept rows, and fewer pairs than all."""
+    rng = np.random.default_rng(19)
+    centres = rng.normal(size=(500, 64))
+    x = (centres[rng.integers(0, 500, 4_000)] + rng.normal(size=(4_000, 64)) * rng.choice([0.0, 0.05, 0.15, 0.3, 1.5], (4_000, 1))).astype(np.float32)
+    label = rng.integers(0, 5, 4_000)
+    label[label == 4] = 0  # a label with a hot share
+    df = spark.createDataFrame([(i, x[i].tolist(), int(label[i])) for i in range(4_000)], "vec_id long, embedding array<float>, label int")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = registry.QUERIES["op9_vector_duplicates"](spark, str(tmp_path)).toPandas().set_index("vec_id").loc[range(4_000)]
+    u = vectors.unit_rows(x.astype(float))
+    near = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
+    links = near.sum(1) - 1
+    root = np.arange(4_000)
+    while True:
+        new = np.where(near, root[None, :], 4_000).min(1)
+        if (new == root).all():
+            break
+        root = new
+    assert links.sum() > 5_000 and (got.n_links <= links).all() and got.n_links.sum() >= 0.98 * links.sum()
+    assert (got.component_id == root).mean() > 0.99 and (got.component_id >= root).all() and (got.kept == (got.index == got.component_id)).all()
+    scored = spark.sparkContext.accumulator(0)
+    vectors.near_duplicates(df, scored=scored)
+    assert scored.value < 0.35 * sum((label == k).sum() ** 2 / 2 for k in range(4))
+
+
 @pytest.mark.parametrize("dim,common", [(64, 0.75), (64, 0.0), (32, 0.5), (16, 0.0), (8, 0.0)])
 def test_links_are_found_about_any_mean(spark, dim, common):
     rng = np.random.default_rng(dim)
@@ -426,6 +627,43 @@ def test_language_viterbi_equals_enumeration():
             assert value(path[a : a + n]) == pytest.approx(max(map(value, product(range(3), repeat=int(n)))), abs=1e-4)
 
 
+def test_more_languages_than_a_byte_holds():
+    rng = np.random.default_rng(4)
+    for k, best in ((200, 150), (300, 299)):
+        s = rng.normal(size=(6, k)).astype(np.float32)
+        s[:, best] += 50
+        assert language.viterbi(s, np.array([3, 3]), 5.0).tolist() == [best] * 6
+
+
+def test_language_equals_a_plain_decoder(spark, data):
+    """Each text's language and score, from dictionaries of counts and a plain Viterbi, text by text."""
+    docs = base.table(spark, data, "documents").filter("length(text) between 1 and 400").limit(60)
+    model = language.train(base.table(spark, data, "documents"))
+    for text in [r.text for r in docs.collect()]:
+        w = language.split_words([text.lower()])
+        s = language.word_scores(model, w) if len(w.first) else np.zeros((0, len(model.langs)))
+        best, back = None, []
+        for row in s.tolist():
+            if best is None:
+                best = row
+                continue
+            j = max(range(len(row)), key=lambda k: best[k])
+            came = [k if best[k] >= best[j] - language.SWITCH_PENALTY else j for k in range(len(row))]
+            back.append(came)
+            best = [max(best[k], best[j] - language.SWITCH_PENALTY) + row[k] for k in range(len(row))]
+        (got, share, letters, _), = language.label_texts(model, [text])
+        if best is None:
+            assert got == "und"
+            continue
+        path = [max(range(len(best)), key=lambda k: best[k])]
+        for came in reversed(back):
+            path.append(came[path[-1]])
+        mass = Counter()
+        for k, n in zip(reversed(path), w.letters.tolist(), strict=True):
+            mass[k] += n
+        assert letters == sum(mass.values()) and share == pytest.approx(max(mass.values()) / letters) and mass[model.langs.index(got)] == max(mass.values())
+
+
 def test_spans_of_mixed_text(spark, data):
     docs = base.table(spark, data, "documents")
     model = language.train(docs)
@@ -440,7 +678,7 @@ def test_pipeline_keeps_and_drops(spark, data):
     docs = base.table(spark, data, "documents")
     rows = docs
     for name, stage in corpus_pipeline.STAGES[:3]:
-        before, rows = rows, base.materialise(stage(spark, rows, data), name)
+        before, rows = rows, base.Scratch(spark)(stage(spark, rows, data), name)
         assert rows.columns == list(corpus_pipeline.COLUMNS) and rows.count() <= before.count()
     classes = minhash.classes(before).toPandas()
     assert rows.count() == classes.class_id.nunique()

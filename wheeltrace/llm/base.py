@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -107,42 +106,63 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], schema: str, fn: Ca
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (as in tests), a new local one."""
+    """The folder that driver and executors share, as the session names it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="wheeltrace_shared_")
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Cut lineage: write the rows to the shared folder as Parquet and read them again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wheeltrace_{what}_{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Tables that cut lineage: rows are written to the shared folder as Parquet and read again, so that a lost executor costs
+    no more than a step. `last` writes a result and deletes the tables that led to it; `drop` deletes one."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
 
-def connected(edges: DataFrame, spark: SparkSession, max_rounds: int = 60) -> DataFrame:
+    def __call__(self, df: DataFrame, what: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/wheeltrace_{what}_{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            path = self.paths.pop(id(df))[0]
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def last(self, df: DataFrame, what: str) -> DataFrame:
+        before = [own for _, own in self.paths.values()]
+        out = self(df, what)
+        self.drop(*before)
+        return out
+
+
+def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for the ends of undirected `edges` (a, b): the smallest node that links can reach.
 
-    Minimum labels travel over the links, then along the labels themselves, which halves long chains at each round.
+    Minimum labels travel over the links, then along the labels themselves, which halves long chains at each round, so
+    rounds grow with the logarithm of the longest chain and always end: labels only ever fall.
     Each round is written to the shared folder. A node with very many links is only ever aggregated (a minimum with
     map-side partials) or joined (AQE splits it); no task gathers its neighbours.
     """
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")), "labels")
-    for _ in range(max_rounds):
+    both = scratch(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
+    labels = scratch(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")), "labels")
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
-        step = labels.join(near, "node", "left").select("node", F.least("component", "seen").alias("next"), F.col("component").alias("was"))
+        step = labels.select("node", "component").join(near, "node", "left").select("node", F.least("component", "seen").alias("next"), F.col("component").alias("was"))
         roots = labels.select(F.col("node").alias("root"), F.col("component").alias("up"))
         step = step.join(roots, step.next == roots.root, "left").select("node", F.least("next", "up").alias("component"), "was")
-        step = materialise(step, "labels")
-        labels = step.select("node", "component")
+        step = scratch(step, "labels")
+        scratch.drop(labels)
+        labels = step
         if step.filter("component <> was").isEmpty():
-            return labels
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+            scratch.drop(both)
+            return labels.select("node", "component")
 
 
 def sum_blocks(df: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,9 @@ candidate for a word only where it uses the word's script. Viterbi over a docume
 change of language, labels spans; the document takes the language with most letters.
 
 Null texts, texts without a letter and a model without languages give `und` and score 0. Repeated rows are labelled
-each on its own; further columns of the input play no part. The letter tables are fixed by the Unicode database.
+each on its own; further columns of the input play no part and may have any names. Of languages that tie the first in code-point order
+wins. An empty table gives no rows. Very long texts are split into words part by part and labelled whole, in time proportional to their length. The letter
+tables are fixed by the Unicode database.
 """
 
 from __future__ import annotations
@@ -145,8 +147,9 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
     start = (np.cumsum(sizes) - sizes)[order]
     longest = sizes[order]
     live = np.searchsorted(-longest, -np.arange(longest[0] if len(longest) else 0), side="left")  # texts with more than t words
-    came = np.zeros((n, k), np.int8)
-    own = np.arange(k, dtype=np.int8)
+    small = np.min_scalar_type(max(k - 1, 0))
+    came = np.zeros((n, k), small)
+    own = np.arange(k, dtype=small)
     v = np.zeros((len(sizes), k), np.float32)
     for t, m in enumerate(live):
         at = start[:m] + t
@@ -157,9 +160,9 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
         top = prev.argmax(1)
         best = prev[np.arange(m), top] - np.float32(penalty)
         stay = prev >= best[:, None]
-        came[at] = np.where(stay, own, top[:, None].astype(np.int8))
+        came[at] = np.where(stay, own, top[:, None].astype(small))
         v[:m] = np.where(stay, prev, best[:, None]) + scores[at]
-    path = np.zeros(n, np.int8)
+    path = np.zeros(n, small)
     state = v.argmax(1)
     for t in range(len(live) - 1, -1, -1):
         m = live[t]

@@ -2,16 +2,19 @@
 
 Each text is streamed through the automaton word by word, which gives at every word the longest run of words ending
 there that some template holds (matching statistics). Matches that cannot be extended and are long enough are chained,
-template by template, in the order of both text and template; the best chain's words over the template's words are its
-coverage. Base phrases are found at all their places, beside that.
+template by template, in the order of both text and template; a chain's words over the template's words are its
+coverage, and all chains that do not overlap a better one of their template are spans. Templates are paragraphs, so a file
+that holds part of a licence is found by that part. Base phrases are found at all their places, beside that.
 
 A text without words (or null) has n_words 0, no label and score 0. Very long texts cost time in proportion; words that
 no template holds end a match, so the automaton only walks over runs of template words. Repeated rows are scanned each
-on its own.
+on its own. Of chains that tie the earlier is taken first. An empty table gives no rows. Only the text is read and the
+columns to keep are passed on; others may have any names.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -25,7 +28,7 @@ from . import base
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Opening words and notices of public licences, by label.
+#: Notices and paragraphs of public licences, by label.
 TEMPLATES = (
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
@@ -39,10 +42,30 @@ TEMPLATES = (
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("isc", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("apache", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program. If not, see"),
+    ("gpl", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("lgpl", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("mpl", "Covered Software is provided under this License on an \"as is\" basis, without warranty of any kind, either expressed, implied, or statutory, including, without limitation, warranties that the Covered Software is free of defects, merchantable, fit for a particular purpose or non-infringing."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("unlicense", "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain."),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
 )
 MIN_MATCH = 3  #: shortest match, in words, that enters a chain
 MIN_COVERAGE = 0.75  #: share of a template that its chain must cover for the label
+PHRASE_SCORE = 0.5  #: score of a text with a base phrase and no better coverage of a template
 MAX_GAP = 12  #: words between two matches of a chain, in the text or the template
 
 _WORD_BYTE = np.zeros(256, bool)
@@ -144,24 +167,37 @@ def maximal_matches(a: Automaton, tokens: Sequence[int], min_match: int) -> list
 
 
 def chains(matches: list[tuple[int, int, int, int]], max_gap: int) -> list[tuple[int, int, int, int]]:
-    """Best chain for each template: (template, first text word, last text word, words covered).
-
-    matches: (template, end in text, end in template, length). A chain goes forward in both; overlaps count once."""
-    best: list[tuple[int, int, int, int]] = []
-    for k in sorted({m[0] for m in matches}):
-        own = sorted({m[1:] for m in matches if m[0] == k})
+    """(template, first text word, last text word, words covered): of each template the best chain, then the next best that
+    overlaps none before it, and so on; of equal ones the earlier.
+
+    matches: (template, end in text, end in template, length). A chain goes forward in both; overlaps count once. A match
+    looks back as far as a gap and the template's longest match reach, so time grows with the text and not with its square."""
+    out: list[tuple[int, int, int, int]] = []
+    by: dict[int, set[tuple[int, int, int]]] = {}
+    for k, *rest in matches:
+        by.setdefault(k, set()).add(tuple(rest))
+    for k in sorted(by):
+        own = sorted(by[k])
+        reach = max_gap + max(m[2] for m in own)
         score, first = [m[2] for m in own], [m[0] - m[2] + 1 for m in own]
+        low = 0
         for i, (te, pe, size) in enumerate(own):
-            for j in range(i - 1, -1, -1):
+            while own[low][0] < te - size - reach:
+                low += 1
+            for j in range(i - 1, low - 1, -1):
                 t0, p0, _ = own[j]
-                if te - size - t0 > max_gap + max(x[2] for x in own[: j + 1]):
-                    break
                 new = min(size, te - t0, pe - p0)
                 if new > 0 and te - new - t0 <= max_gap and pe - new - p0 <= max_gap and score[j] + new > score[i]:
                     score[i], first[i] = score[j] + new, first[j]
-        i = max(range(len(own)), key=lambda i: (score[i], -i))
-        best.append((k, first[i], own[i][0], score[i]))
-    return best
+        taken: list[tuple[int, int]] = []
+        for i in sorted(range(len(own)), key=lambda i: (-score[i], own[i][0])):
+            span = (first[i], own[i][0])
+            at = bisect.bisect(taken, span)
+            if (at and taken[at - 1][1] >= span[0]) or (at < len(taken) and taken[at][0] <= span[1]):
+                continue
+            taken.insert(at, span)
+            out.append((k, *span, score[i]))
+    return out
 
 
 class Scanner:
@@ -241,7 +277,7 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(F.transform("base", lambda b: b["word"])).alias("first_word"), F.array_max(F.transform("base", lambda b: b["word"])).alias("last_word"),
         names(base_labels).alias("base_labels"), names(F.concat(base_labels, own)).alias("labels"),
-        F.when(F.size("base") > 0, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0)))).alias("score"),
+        F.greatest(F.when(F.size("base") > 0, PHRASE_SCORE).otherwise(0.0), F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0)))).alias("score"),
     )
 
 

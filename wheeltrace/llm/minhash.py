@@ -13,7 +13,8 @@ component are compared with all its nodes, tile by tile. So every candidate pair
 it, and no list of all pairs is ever made. Classes are the connected components of the links.
 
 Texts without words (or null) are classes of their own. Repeated rows share a class. An empty table gives no rows. A very
-long text costs time in proportion to its length.
+long text costs time in proportion to its length. Ties: of equal ids in a class the row with the smallest hash of id and
+text, then of all columns, is kept; similarities of exactly 0.8 count as near. Only the named columns are read for classes, and columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import base
@@ -232,19 +234,19 @@ def row_id(id_col: str, text: str):
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, rid, class_id) of each row; class_id is the smallest id of the class."""
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, base.Scratch(docs.sparkSession)
     idf, _ = document_frequencies(docs.select(F.col(text).alias("text")))
-    rows = base.materialise(signed(docs, idf, id_col, text), "signed")
+    rows = scratch(signed(docs, idf, id_col, text), "signed")
     shared = spark.sparkContext.broadcast(idf)
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     members = nodes.select("node", "size", F.posexplode("bands").alias("band", "bucket"))
     leads = members.groupBy("band", "bucket").agg(F.min("node").alias("lead"), F.count("*").alias("held")).filter("held > 1").drop("held")
-    members = base.materialise(members.join(leads, ["band", "bucket"]), "buckets")
+    members = scratch(members.join(leads, ["band", "bucket"]), "buckets")
     pairs = members.filter("node <> lead").select("node", "lead").distinct()
     busy = members.select("node").distinct()
     keys = nodes.select("node", "key").join(busy, "node")
     texts = docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text")).join(keys, "key").groupBy("node").agg(F.first("text").alias("text"))
-    texts = base.materialise(texts, "texts")
+    texts = scratch(texts, "texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}
@@ -259,8 +261,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", thre
                 held.clear()
 
     sided = pairs.join(texts, "node").join(texts.select(F.col("node").alias("lead"), F.col("text").alias("lead_text")), "lead")
-    links = base.materialise(sided.select("node", "lead", "text", "lead_text").mapInArrow(verify, "a long, b long"), "links")
-    groups = base.connected(links, spark)
+    links = scratch(sided.select("node", "lead", "text", "lead_text").mapInArrow(verify, "a long, b long"), "links")
+    groups = base.connected(links, scratch)
 
     # buckets that these links leave in parts
     members = members.select("band", "bucket", "node", "size").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -283,24 +285,27 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", thre
         return pd.DataFrame({"a": c[[a for a, _ in found]], "b": c[[b for _, b in found]]}) if found else none
 
     more = every.union(minor).join(texts, "node").groupBy("band", "bucket", "i", "j").applyInPandas(tile, "a long, b long")
-    over = base.connected(base.materialise(more.distinct(), "more_links"), spark).select(F.col("node").alias("component"), F.col("component").alias("over"))
+    over = base.connected(scratch(more.distinct(), "more_links"), scratch).select(F.col("node").alias("component"), F.col("component").alias("over"))
     whole = groups.join(over, "component", "left").select("node", F.coalesce("over", "component").alias("component"))
     single = over.join(groups, over.component == groups.node, "left_anti").select(F.col("component").alias("node"), F.col("over").alias("component"))
     found = whole.union(single)
     rows = rows.select("doc_id", "rid", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = base.materialise(rows.select("doc_id", "rid", "component"), "components")
+    rows = scratch(rows.select("doc_id", "rid", "component"), "components")
     least = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(least, "component", "left").select("doc_id", "rid", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "component")
+    return scratch.last(rows.join(least, "component", "left").select("doc_id", "rid", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "component"), "classes")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one row of each class: the one with the smallest id (then the smallest hash of id and text). Rows without
-    words are classes of their own and stay."""
-    found = base.materialise(classes(docs, id_col=id_col, text=text, threshold=threshold), "classes")
-    keep = found.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select(F.col("m.rid").alias("_kept_rid"))
-    keep = keep.union(found.filter("component is null").select("rid").distinct())
-    marked = docs.withColumn("_row_rid", row_id(id_col, text))
-    return marked.join(keep, F.col("_row_rid") == F.col("_kept_rid")).dropDuplicates(["_row_rid"]).select(*docs.columns)
+    """docs with one row of each class: the one with the smallest id (then the smallest hash of id and text, then of all
+    columns). Rows without words are classes of their own and stay, each of them."""
+    found = classes(docs, id_col=id_col, text=text, threshold=threshold)
+    keep = found.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select(F.col("m.rid").alias("rid"))
+    plain = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))  # no name of docs can clash
+    own = dict(zip(docs.columns, plain.columns, strict=True))
+    worded = F.coalesce(F.col(own[text]).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(False))
+    first = W.partitionBy("rid").orderBy(F.xxhash64(*plain.columns))  # rows that tie in this are equal
+    kept = plain.filter(worded).withColumn("rid", row_id(own[id_col], own[text])).join(keep, "rid", "left_semi").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
+    return kept.select(*plain.columns).union(plain.filter(~worded)).toDF(*docs.columns)
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

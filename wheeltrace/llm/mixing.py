@@ -119,7 +119,7 @@ def bucket_sums(rows: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame, dic
     """rows (with _id, _key, _size, _source) with their bucket; the words of each source's buckets, stored; each source's words."""
     buckets = max(1, math.isqrt(n_rows))  # as many buckets as rows of one, so that neither sum is long
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("_id", "_key"), F.lit(buckets)).cast("int"))
-    sums = base.materialise(rows.groupBy("_source", "bucket").agg(F.sum("_size").alias("held")), "bucket_sums")
+    sums = base.Scratch(rows.sparkSession)(rows.groupBy("_source", "bucket").agg(F.sum("_size").alias("held")), "bucket_sums")
     found = sums.groupBy("_source").agg(F.sum("held").alias("n")).limit(MAX_SOURCES + 1).collect()  # a row for each source
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")

@@ -1,13 +1,17 @@
 """Packing documents into fixed-length token sequences by Karmarkar-Karp multiway differencing.
 
-Each document is its tokens and an end token. Whole windows are cut off first and fill a sequence each; what is left is
-cut into pieces of at most PIECE tokens, and pieces are gathered into groups of WINDOWS windows. Within a group the
+Each document is its tokens and an end token. Whole windows are cut off first and fill a sequence each; what is left of
+a document is one piece, and pieces are gathered into groups of about WINDOWS windows. Within a group the
 differencing method merges the two partial partitions with the largest imbalance, largest sums against smallest, until one
-partition with near-equal windows is left. If a window exceeds the capacity, the group is split into one window more.
-
-Groups never cross input partitions, so there is no shuffle and a lost executor's partitions are packed alike again.
-Null texts are empty: a lone end token. Repeated rows are packed each on its own. A long text costs memory for its own
-tokens only. An empty table gives no rows.
+partition with near-equal windows is left. If a window exceeds the capacity, the window count rises, by one
+at a time and at most a RISE-th; if one still does, the longest piece of each such window is halved. So only documents that do not fit are cut.
+
+Groups do not cross input partitions. What a partition has left beyond its last full group goes to a second step, in as many tasks as
+the rest has groups, so that many small partitions do not leave many windows half empty. Pieces of the first step are written to the shared
+folder before; a lost executor's partitions are packed alike again.
+Null texts are empty: a lone end token. Repeated rows are packed each on its own; of pieces of equal length the earlier goes
+first. A long text costs memory for its own tokens only. An empty table gives no rows. Only the text is read and the columns to
+keep are passed on, which must not be named as the new ones; others may have any names.
 """
 
 from __future__ import annotations
@@ -27,9 +31,10 @@ from . import base
 
 CAPACITY = 2048
 END_ID = 1
-PIECE = 256  #: longest piece of a document's rest
-WINDOWS = 192  #: windows of a group
-SLACK = 8  #: tokens that an average window of a full group leaves free
+WINDOWS = 96  #: windows of a group
+RISE = 32  #: the window count rises by at most this part of itself before documents are cut
+NAMES = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
+TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
 SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, `offset` long"
 
 
@@ -75,14 +80,25 @@ def differencing(sizes: Sequence[int], k: int) -> list[list[int]]:
     return [items(int(x)) for x in heap[0][3]] if heap else []
 
 
-def windows(sizes: Sequence[int], capacity: int) -> list[list[int]]:
-    """The fewest windows, from the least number that can hold all, whose largest does not exceed the capacity."""
+def windows(sizes: Sequence[int], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """Near-equal windows of at most `capacity`, as parts of items: (item, from, length). From the least number that can hold
+    all, the window count rises by at most a RISE-th; after that the longest part of a window that exceeds the capacity is halved."""
+    parts = [(i, 0, int(n)) for i, n in enumerate(sizes) if n]
     k = -(-sum(sizes) // capacity)
+    most = k + max(1, k // RISE)
     while True:
-        sets = differencing(sizes, k)
-        if max((sum(sizes[i] for i in s) for s in sets), default=0) <= capacity:
-            return [s for s in sets if s]
-        k += 1
+        sets = [s for s in differencing([n for _, _, n in parts], k) if s]
+        over = [s for s in sets if sum(parts[i][2] for i in s) > capacity]
+        if not over:
+            return [[parts[i] for i in s] for s in sets]
+        if k < most:
+            k += 1
+            continue
+        for s in over:
+            i = max(s, key=lambda i: (parts[i][2], -i))
+            item, at, n = parts[i]
+            parts[i] = (item, at, n - n // 2)
+            parts.append((item, at + n - n // 2, n // 2))
 
 
 def byte_bpe(ranks: str | None = None, exact: str | None = None) -> Callable[[str], np.ndarray]:
@@ -112,16 +128,15 @@ def byte_bpe(ranks: str | None = None, exact: str | None = None) -> Callable[[st
 
 
 class Packer:
-    """Packs the documents of one partition; sequence numbers start from `first`."""
+    """Packs the documents of one partition; sequence numbers start from `first`. Rows that `rest` gives have no sequence yet."""
 
-    def __init__(self, first: int, capacity: int, piece: int, group: int, slack: int):
-        self.next, self.capacity, self.piece = first, capacity, piece
-        self.full = group * (capacity - slack)
+    def __init__(self, first: int, capacity: int, group: int):
+        self.next, self.capacity, self.full = first, capacity, group * capacity
         self.pending: list[tuple[int, int, np.ndarray, int]] = []
         self.held = 0
         self.rows: list[tuple] = []
 
-    def emit(self, row: int, start: int, ids: np.ndarray, total: int, seq: int, offset: int) -> None:
+    def emit(self, row: int, start: int, ids: np.ndarray, total: int, seq: int | None, offset: int | None) -> None:
         self.rows.append((row, start, len(ids), ids.astype("<u4").tobytes(), total, seq, offset))
 
     def add(self, row: int, ids: np.ndarray) -> None:
@@ -130,80 +145,107 @@ class Packer:
             self.emit(row, at, ids[at : at + self.capacity], n, self.next, 0)
             self.next += 1
             at += self.capacity
-        for start in range(at, n, self.piece):  # equal pieces and a shorter last one: the mix of sizes evens out windows
-            self.hold(row, start, ids[start : start + self.piece], n)
+        if at < n:
+            self.hold(row, at, ids[at:], n)
 
     def hold(self, row: int, start: int, ids: np.ndarray, total: int) -> None:
-        room = self.full - self.held
-        if len(ids) >= room:
-            self.pending.append((row, start, ids[:room], total))
+        if self.held + len(ids) > self.full:
             self.flush()
-            start, ids = start + room, ids[room:]
-        if len(ids):
-            self.pending.append((row, start, ids, total))
-            self.held += len(ids)
+        self.pending.append((row, start, ids, total))
+        self.held += len(ids)
 
     def flush(self) -> None:
         for members in windows([len(p[2]) for p in self.pending], self.capacity):
             offset = 0
-            for i in members:
+            for i, at, n in members:
                 row, start, ids, total = self.pending[i]
-                self.emit(row, start, ids, total, self.next, offset)
-                offset += len(ids)
+                self.emit(row, start + at, ids[at : at + n], total, self.next, offset)
+                offset += n
             self.next += 1
         self.pending, self.held = [], 0
 
+    def rest(self) -> None:
+        for row, start, ids, total in self.pending:
+            self.emit(row, start, ids, total, None, None)
+        self.pending, self.held = [], 0
+
+
+class Kept:
+    """The kept columns of the rows that a packer still holds pieces of, and the batches of pieces that are ready."""
+
+    def __init__(self, packer: Packer):
+        self.packer, self.number = packer, 0
+        self.batches: dict[int, pa.RecordBatch] = {}  # by number of the first row
+
+    def put(self, batch: pa.RecordBatch) -> None:
+        self.batches[self.number] = batch
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        made, self.packer.rows = sorted(self.packer.rows, key=lambda r: r[0]), []
+        at = 0
+        for first in sorted(self.batches):
+            end = at
+            while end < len(made) and made[end][0] < first + self.batches[first].num_rows:
+                end += 1
+            if end > at:
+                columns = list(zip(*made[at:end], strict=True))
+                own = self.batches[first].take(pa.array([r - first for r in columns[0]], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, t) for c, t in zip(columns[1:], TYPES, strict=True))], names=[*own.schema.names, *NAMES])
+            at = end
+        oldest = min((p[0] for p in self.packer.pending), default=self.number)
+        for first in [f for f, b in self.batches.items() if f + b.num_rows <= min(oldest, self.number)]:
+            del self.batches[first]
 
-def pack(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, end_id: int = END_ID, piece: int = PIECE, group: int = WINDOWS, slack: int = SLACK, ranks: str | None = None, exact: str | None = None) -> DataFrame:
+
+def pack(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, end_id: int = END_ID, group: int = WINDOWS, ranks: str | None = None, exact: str | None = None) -> DataFrame:
     """One row for each piece: `keep` columns, its start in the document, length, ids (little-endian unsigned 32-bit),
     the document's tokens, its sequence and its place there."""
-
+    scratch = base.Scratch(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("_text"), *keep)
-    new = StructType.fromDDL(SCHEMA)
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(ranks, exact)
-        packer = Packer(TaskContext.get().partitionId() << 36, capacity, piece, group, slack)
-        kept: dict[int, pa.RecordBatch] = {}  # the kept columns of batches that pending pieces still need, by first row
-        number = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            made, packer.rows = sorted(packer.rows, key=lambda r: r[0]), []
-            at = 0
-            for first in sorted(kept):
-                end = at
-                while end < len(made) and made[end][0] < first + kept[first].num_rows:
-                    end += 1
-                if end > at:
-                    columns = list(zip(*made[at:end], strict=True))
-                    own = kept[first].take(pa.array([r - first for r in columns[0]], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, t) for c, t in zip(columns[1:], types, strict=True))], names=[*own.schema.names, *new.names])
-                at = end
-            oldest = min((p[0] for p in packer.pending), default=number)
-            for first in [f for f in kept if f + kept[f].num_rows <= min(oldest, number)]:
-                del kept[first]
+    schema = StructType([*rows.schema.fields[1:], *StructType.fromDDL(SCHEMA)])
+    base.small_batches(docs.sparkSession)
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, packer = byte_bpe(ranks, exact), Packer(TaskContext.get().partitionId() << 36, capacity, group)
+        kept = Kept(packer)
         for b in base.slices(batches):
-            kept[number] = b.select(list(range(1, b.num_columns)))
+            kept.put(b.select(list(range(1, b.num_columns))))
             size = 0
             for t in b.column(0).to_pylist():
-                packer.add(number, np.append(encode(t or ""), np.uint32(end_id)))
-                number += 1
+                packer.add(kept.number, np.append(encode(t or ""), np.uint32(end_id)))
+                kept.number += 1
                 size += len(t or "")
                 if size > base.BLOCK_CHARS:
-                    yield from out()
+                    yield from kept.out()
                     size = 0
-            yield from out()
-        if packer.pending:
-            packer.flush()
-        yield from out()
-
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], *new.fields]))
-
-
-def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+            yield from kept.out()
+        packer.rest()
+        yield from kept.out()
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer((1 << 62) + (TaskContext.get().partitionId() << 36), capacity, group)
+        kept = Kept(packer)
+        width = len(keep)
+        for b in base.slices(batches):
+            kept.put(b.select(list(range(width))))
+            for start, ids, total in zip(*(b.column(width + i).to_pylist() for i in (0, 2, 3)), strict=True):
+                packer.hold(kept.number, start, np.frombuffer(ids, "<u4"), total)
+                kept.number += 1
+            yield from kept.out()
+        packer.flush()
+        yield from kept.out()
+
+    first = scratch(rows.mapInArrow(whole, schema), "pieces")
+    rest = first.filter("sequence_id is null")
+    tokens = rest.agg(F.sum("length")).first()[0]
+    if not tokens:
+        return first
+    tasks, by = -(-tokens // (group * capacity)), F.xxhash64(*keep, "start", "ids")
+    return first.filter("sequence_id is not null").union(rest.repartition(tasks, by).sortWithinPartitions("doc_tokens", "start", by).mapInArrow(left, schema))
+
+
+def digest(pieces: DataFrame, *more: str) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *more)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,18 @@ Viterbi picks the blocks of the article. Weights are learned by maximum likeliho
 labelled pages that `labelled_pages` writes by rule over many layouts and namings; a fixed seed makes them repeatable.
 
 Null or empty html, or a page whose blocks are all rejected, gives the empty text. Unclosed tags, truncated pages and
-stray `<` are read as browsers do, in one pass; nothing is capped. Repeated rows are each read on their own.
+stray `<` are read much as browsers do, in one pass and in time proportional to the page, however long or deep it is; nothing is capped. A
+missing end tag of a button, select, svg or object ends at the next block. Of decodings that tie Viterbi takes the one that
+leaves text out first. Repeated rows are each read on their own. An empty table gives no rows. Only the html is read and the columns to keep
+are passed on; others may have any names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -29,20 +33,40 @@ CLOSED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}),
 }
+#: Elements whose text is no markup up to their own end tag, or else to the page's end.
+RAW_TAGS = "script|style|textarea|title|iframe|xmp|noembed|noframes"
+#: Elements whose text is no part of a page. The first kind holds no blocks, so that a block inside means that its end tag is missing.
+SKIPPED = frozenset("button select svg math object canvas audio video".split())
+SKIPPED_WHOLE = frozenset("noscript template".split())
 TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|title|button)\b[^>]*>(?:.*?</\1\s*>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|([^>]*)(?:>|\Z))",
+    rf"<!--(?:.*?-->|.*\Z)|<({RAW_TAGS})(?=[\s/>])[^>]*>(?:.*?</\1(?=[\s/>])[^>]*>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|([^>]*)(?:>|\Z))",
     re.S | re.I,
 )
 ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+class Node:
+    """An open block element: its parent, the features that no ancestor has, its tag, and (once scored) their weight."""
+
+    __slots__ = ("leaf", "own", "up", "weight")
+
+    def __init__(self, up: Node | None, own: tuple[str, ...], leaf: str):
+        self.up, self.own, self.leaf, self.weight = up, own, leaf, None
+
+    def path(self) -> tuple[str, ...]:
+        out, node = [f"leaf={self.leaf}"], self
+        while node is not None:
+            out += node.own
+            node = node.up
+        return tuple(out)
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    node: Node
     text: str
     link_chars: int = 0
-    feats: list[str] = field(default_factory=list)
 
 
 def names(attrs: str) -> list[str]:
@@ -51,36 +75,50 @@ def names(attrs: str) -> list[str]:
 
 
 def leaf_blocks(page: str) -> list[Block]:
+    """The page's leaf blocks in order, in time proportional to its length: each open element knows its place on the stack
+    and each block only the features that it adds to its ancestors'."""
     out: list[Block] = []
-    tags, paths = ["#"], [("t=#",)]
-    open_tags: dict[str, int] = {}
+    stack: list[tuple[str, Node]] = [("#", Node(None, ("t=#",), "#"))]
+    places: dict[str, list[int]] = {}  # of the open elements of each name
+    blocks = [0]  # places of the open block elements
+    held: dict[str, int] = {"t=#": 1}  # features of the open block elements
     buf: list[str] = []
-    link_chars = anchors = 0
-    seen: dict[tuple, tuple] = {}
+    link_chars = hidden = 0
 
     def flush() -> None:
         nonlocal link_chars
         if buf:
             text = " ".join(entities.unescape("".join(buf)).split())
             if text:
-                out.append(Block(paths[-1], text, link_chars))
+                out.append(Block(stack[-1][1], text, link_chars))
             buf.clear()
         link_chars = 0
 
     def pop(n: int) -> None:
-        nonlocal anchors
-        for t in tags[n:]:
-            open_tags[t] -= 1
-            anchors -= t == "a"
-        del tags[n:], paths[n:]
+        nonlocal hidden
+        while len(stack) > n:
+            tag, node = stack.pop()
+            places[tag].pop()
+            hidden -= tag in SKIPPED or tag in SKIPPED_WHOLE
+            if blocks[-1] == len(stack):
+                blocks.pop()
+                for f in node.own:
+                    del held[f]
+
+    def last(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def add(piece: str) -> None:
+        nonlocal link_chars
+        if not hidden:
+            buf.append(piece)
+            if places.get("a"):
+                link_chars += len(piece)
 
     pos = 0
     for m in TOKEN.finditer(page):
         if m.start() > pos:
-            piece = page[pos : m.start()]
-            buf.append(piece)
-            if anchors:
-                link_chars += len(piece)
+            add(page[pos : m.start()])
         pos = m.end()
         if m[3] is None:
             if m[1]:
@@ -89,44 +127,34 @@ def leaf_blocks(page: str) -> list[Block]:
         tag = m[3].lower()
         block = tag in BLOCK_TAGS
         if block:
+            if hidden and not m[2] and (at := last(SKIPPED)) > last(SKIPPED_WHOLE):
+                pop(at)
             flush()
         elif tag == "br":
             buf.append(" ")
         if m[2]:
-            if open_tags.get(tag):
-                pop(len(tags) - 1 - tags[::-1].index(tag))
+            if places.get(tag):
+                pop(places[tag][-1])
             continue
-        if block and open_tags.get("p"):
-            n = len(tags) - 1
-            while tags[n] not in BLOCK_TAGS and n:
-                n -= 1
-            if tags[n] == "p":
-                pop(n)
+        if block and stack[blocks[-1]][0] == "p":
+            pop(blocks[-1])
         if tag in CLOSED_BY:
             own, stop = CLOSED_BY[tag]
-            n = len(tags) - 1
-            while n and tags[n] not in stop and tags[n] not in own:
-                n -= 1
-            if tags[n] in own:
-                pop(n)
+            if last(own) > last(stop):
+                pop(last(own))
         if tag in VOID_TAGS or (m[4] or "").endswith("/"):
             continue
-        tags.append(tag)
-        open_tags[tag] = open_tags.get(tag, 0) + 1
-        anchors += tag == "a"
+        up = stack[blocks[-1]][1]
         if block:
-            own_parts = ["t=" + tag, *names(m[4] or m[5] or "")]
-            up = paths[-1]
-            key = (up, *own_parts)
-            if key not in seen:
-                known = set(up)
-                seen[key] = (*(x for x in up if not x.startswith("leaf=")), *(x for x in dict.fromkeys(own_parts) if x not in known), "leaf=" + tag)
-            paths.append(seen[key])
-        else:
-            paths.append(paths[-1])
+            own = tuple(f for f in dict.fromkeys(["t=" + tag, *names(m[4] or m[5] or "")]) if f not in held)
+            held.update(dict.fromkeys(own, 1))
+            blocks.append(len(stack))
+            up = Node(up, own, tag)
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, up))
+        hidden += tag in SKIPPED or tag in SKIPPED_WHOLE
     if pos < len(page):
-        buf.append(page[pos:])
-        link_chars += len(page) - pos if anchors else 0
+        add(page[pos:])
     flush()
     return out
 
@@ -144,17 +172,20 @@ def text_features(b: Block, i: int, n: int) -> list[str]:
 class Model:
     weights: dict[str, float]  # of "article" against "other"
     step: np.ndarray  # 2 x 2
-    memo: dict = field(default_factory=dict)
+
+    def weight(self, node: Node) -> float:
+        todo = []
+        while node is not None and node.weight is None:
+            todo.append(node)
+            node = node.up
+        total = node.weight if node is not None else 0.0
+        for n in reversed(todo):
+            total += sum(self.weights.get(f, 0.0) for f in n.own)
+            n.weight = total
+        return total
 
     def scores(self, found: list[Block]) -> list[float]:
-        out = []
-        for i, b in enumerate(found):
-            if b.path not in self.memo:
-                if len(self.memo) > 50_000:
-                    self.memo.clear()
-                self.memo[b.path] = sum(self.weights.get(f, 0.0) for f in b.path)
-            out.append(self.memo[b.path] + sum(self.weights.get(f, 0.0) for f in text_features(b, i, len(found))))
-        return out
+        return [self.weight(b.node) + self.weights.get(f"leaf={b.node.leaf}", 0.0) + sum(self.weights.get(f, 0.0) for f in text_features(b, i, len(found))) for i, b in enumerate(found)]
 
     def decode(self, found: list[Block]) -> list[bool]:
         """Viterbi over two labels."""
@@ -253,7 +284,7 @@ def labelled_pages(n: int, seed: int = 11) -> list[list[tuple[Block, bool]]]:
 def train(n_pages: int = 900, seed: int = 11, rounds: int = 200, ridge: float = 0.3) -> Model:
     """Maximum likelihood with a ridge, by Adam; pages of like length take the forward and backward steps together."""
     pages = labelled_pages(n_pages, seed)
-    rows = [[*b.path, *text_features(b, i, len(p))] for p in pages for i, (b, _) in enumerate(p)]
+    rows = [[*b.node.path(), *text_features(b, i, len(p))] for p in pages for i, (b, _) in enumerate(p)]
     number: dict[str, int] = {}
     for r in rows:
         for f in r:

@@ -344,7 +344,7 @@ def machine(instances: DataFrame, words: Sequence[str], steps: int, start: tuple
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic, of the rows to learn from. The sample is drawn by hashes of the ids."""
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, base.Scratch(docs.sparkSession)
     nothing = Model(None, 0.0, NO_LEVEL)
     marked = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
@@ -352,7 +352,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return nothing
     chosen = base.hash_sample(marked.filter("toxic = 1"), "doc_id", base.sample_fraction(counts[1], POSITIVE_DOCS)).union(base.hash_sample(marked.filter("toxic = 0"), "doc_id", base.sample_fraction(counts[0], NEGATIVE_DOCS)))
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # the sample's size bounds what is broadcast
-    sample = base.materialise(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).repartition(TASKS), "toxic_sample")
+    sample = scratch(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).repartition(TASKS), "toxic_sample")
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return nothing
@@ -369,7 +369,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     # a token of many texts counts by its share of the texts of a label; one that few texts hold tells little either way
     table = sample.mapInPandas(tokens, "window string, clean long, toxic long").filter("length(window) >= 3").groupBy("window").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    table = base.materialise(table.select("window", (F.col("toxic") * COST / sizes[1]).alias("pos"), (F.col("clean") * COST * NEUTRAL / sizes[0]).alias("neg")).repartition(TASKS), "toxic_tokens")
+    table = scratch(table.select("window", (F.col("toxic") * COST / sizes[1]).alias("pos"), (F.col("clean") * COST * NEUTRAL / sizes[0]).alias("neg")).repartition(TASKS), "toxic_tokens")
     hashed = F.xxhash64(F.lit("landmark"), "window")
     picks = [table.orderBy(F.desc(F.col("pos") - F.col("neg")), "window").limit(LANDMARKS // 2), table.orderBy(F.desc(F.col("pos") + F.col("neg")), "window").limit(LANDMARKS // 4), table.orderBy(hashed, "window").limit(LANDMARKS // 4)]
     words = sorted({r.window for p in picks for r in p.select("window").collect()})
@@ -392,8 +392,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
         found = sample.mapInPandas(best, "window string, toxic int").groupBy("window").agg((F.sum("toxic") * COST / sizes[1]).alias("pos"), (F.sum(1 - F.col("toxic")) * COST / sizes[0]).alias("neg"))
         clean = table.filter("neg > 0").select("window", F.lit(0.0).alias("pos"), (F.col("neg") / NEUTRAL).alias("neg"))
-        instances = base.materialise(clean.union(found).repartition(TASKS), "toxic_instances")
+        instances = scratch(clean.union(found).repartition(TASKS), "toxic_instances")
         alpha, bias = machine(instances, words, steps, (alpha, bias))
+        scratch.drop(instances)
     raw = Model(fold(alpha), bias, NO_LEVEL)
     shared = spark.sparkContext.broadcast(raw)
 
@@ -404,6 +405,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             yield pd.DataFrame({"top": seen[:, 1], "hits": seen[:, 2], "size": seen[:, 3], "toxic": pdf.toxic})
 
     seen = sample.mapInPandas(evidence, "top double, hits double, size double, toxic int").toPandas().sort_values(["top", "hits", "size", "toxic"])  # four numbers for each row of the sample
+    scratch.drop(table, sample)
     x = np.column_stack([np.ones(len(seen)), seen.top, seen.hits, seen["size"]])
     return Model(raw.weights, bias, tuple(map(float, newton_logistic(x, seen.toxic.to_numpy(float)))))
 
