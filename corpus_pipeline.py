@@ -1,7 +1,12 @@
 """A training-data pipeline over `documents`: language, toxicity, near-duplicates, mixing of sources, packing.
 
 Each stage takes and (but for the last) returns the columns of documents; what it rejects is gone for the next. run()
-writes each stage's rows to the shared folder and reads them again, so a lost executor costs no more than a stage.
+writes each stage's rows to the shared folder and reads them again, so a lost executor costs no more than a stage; a stage's
+rows are deleted once the next one's are written.
+
+All stages read whole texts, in time proportional to their length, take null texts as empty, treat repeated rows each on its own (but
+for the third stage, which keeps one row of a class), and give no rows for an empty table. Further columns are dropped and
+may have any names. Ties are settled as the operators' docstrings say, so that a rerun keeps the same rows.
 """
 
 from __future__ import annotations
@@ -21,35 +26,39 @@ MAX_TOXICITY = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a known language holds enough letters; a text without a letter goes."""
+    """Documents in which a known language holds enough letters; a text that is null, empty or without a letter goes, and so do
+    all where no row has a language to learn from."""
     base.small_batches(spark)
     found = language.identify(docs, language.train(docs), keep=COLUMNS)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a machine trained on the labels does not call toxic."""
+    """Documents that a machine trained on the labels does not call toxic; without labels of both kinds all stay. Texts that are
+    null or empty are scored as texts without evidence. Rows with null ids stay but teach nothing."""
     base.small_batches(spark)
     model = toxicity.train(docs.select("doc_id", "text"), base.table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score(docs, model, keep=COLUMNS).filter(F.col("score") < MAX_TOXICITY).select(*COLUMNS)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that with the smallest id."""
+    """One document of each class of near-duplicates, that with the smallest id (null ids last); texts without words stay."""
     base.small_batches(spark)
     return minhash.deduplicate(docs.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: for each pass over a document, the words that the source's share takes of it."""
+    """The mix: the blocks of text that the shards draw, in shard and slot order, a row for each document in a block. A null source is a source of
+    its own; texts without words are in no block and go."""
     base.small_batches(spark)
     return mixing.mix_texts(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
+    """Pieces of documents in sequences of at most 2048 tokens, with their token ids (binary, little-endian unsigned 32-bit)."""
     base.small_batches(spark)
-    return packing.digest(packing.pack(docs))
+    pieces = packing.pack(docs)
+    return packing.digest(pieces, "ids")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -61,7 +70,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to `documents`."""
-    docs = base.table(spark, sf_dir, "documents")
+    docs, scratch = base.table(spark, sf_dir, "documents"), base.Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = base.materialise(stage(spark, docs, sf_dir), name)
+        docs = scratch.last(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
