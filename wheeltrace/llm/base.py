@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -106,10 +107,13 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], schema: str, fn: Ca
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
+    """The folder that driver and executors share, as the session names it. Where it names none, a local session, whose
+    driver and executors are one process, gets a new folder; a cluster is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="wheeltrace_shared_")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
