@@ -3,12 +3,13 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wheeltrace.config import CLASSES, Thresholds
 from wheeltrace.functions import geo, numeric
-from wheeltrace.operators import events, features, gps, intervals, labels, metrics, reporting, samples, splits
+from wheeltrace.operators import events, features, gps, intervals, labels, metrics, reporting, samples, splits, temporal
 from wheeltrace.sources import scans, sinks
 
 
@@ -194,3 +195,48 @@ def test_files(spark, tmp_path):
     assert sorted((r.part, r.route_id) for r in scans.split_lists(spark, str(tmp_path / "split.json")).collect()) == [("train", "a"), ("train", "b"), ("val", "c")]
     (tmp_path / "results.json").write_text(json.dumps({"task": "t", "seed": 7, "test_metrics": {"f1": 0.5}}))
     assert scans.run_results(spark, str(tmp_path)).first().test_metrics == {"f1": 0.5}
+
+
+def test_components_come_from_the_training_rows_only(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6)) * [5, 3, 2, 1, 0.5, 0.1] + 7
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    train = x[:200] - x[:200].mean(0)
+    val, vec = np.linalg.eigh(train.T @ train)
+    got = features.pca(df, "id", "vec", 3, train=df.filter("id < 200")).orderBy("id").collect()
+    want = (x - x[:200].mean(0)) @ vec[:, ::-1][:, :3]
+    have = np.array([r.pc for r in got])
+    assert np.allclose(have * np.sign((have * want).sum(0)), want, atol=1e-6)
+    shares = [r.share for r in features.explained_variance(df.filter("id < 200"), "vec", 3).orderBy("component").collect()]
+    assert shares == pytest.approx((val[::-1] / val.sum())[:3].tolist())
+
+
+def test_balanced_logistic_regression_by_newton_steps(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 2))
+    y = (x[:, 0] - 0.5 * x[:, 1] + rng.normal(size=400) > 1).astype(float)
+    df = spark.createDataFrame([(i, float(a), float(b), int(t)) for i, ((a, b), t) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, y int")
+    got = np.array([r.probability for r in features.logistic(df, "id", ["a", "b"], "y").orderBy("id").collect()])
+    weight = np.where(y == 1, 200 / y.sum(), 200 / (400 - y.sum()))
+    z = np.column_stack([x / x.std(0, ddof=1), np.ones(400)])  # the library scales columns before the ridge
+    w = np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        ridge = np.diag([1, 1, 0]) * weight.sum() / 400
+        w -= np.linalg.solve(z.T @ (z * (weight * p * (1 - p))[:, None]) + ridge, z.T @ (weight * (p - y)) + ridge @ w)
+    assert np.allclose(got, 1 / (1 + np.exp(-z @ w)), atol=0.01)
+
+
+def test_greedy_gap_of_a_large_key_streams(spark):
+    rng = np.random.default_rng(7)
+    times = {k: np.sort(rng.integers(0, 200_000, n) / 4.0) for k, n in (("hot", 30_000), ("a", 3), (None, 50))}
+    df = spark.createDataFrame([(k, float(t)) for k, ts in times.items() for t in ts] + [("a", None)], "key string, t double")
+    got = {}
+    for r in temporal.greedy_gap(df, ["key"], "t", 2.5).collect():
+        got.setdefault(r.key, []).append(r.t)
+    for k, ts in times.items():
+        want = []
+        for t in ts:
+            if not want or t - want[-1] >= 2.5:
+                want.append(t)
+        assert sorted(got[k]) == want

@@ -42,9 +42,11 @@ def norm_stats(vectors: DataFrame, vec: str) -> DataFrame:
 
 
 def zscore(vectors: DataFrame, stats: DataFrame, key: str, vec: str) -> DataFrame:
-    """(key, dim, z): (x - mean) / (std + 1e-8). stats has one row for each component."""
-    x = vectors.select(key, F.posexplode(vec).alias("dim", "x"))
-    return x.join(F.broadcast(stats), "dim").select(key, "dim", ((F.col("x").cast("double") - F.col("mean")) / (F.col("std") + 1e-8)).alias("z"))
+    """(key, z): each vector as an array of (x - mean) / (std + 1e-8). stats has one row for each component; they travel as
+    one row of arrays, and vectors are never taken apart."""
+    whole = stats.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))).alias("_s"))
+    scaled = F.zip_with(vec, "_s", lambda x, s: (x.cast("double") - s["mean"]) / (s["std"] + 1e-8))
+    return vectors.crossJoin(F.broadcast(whole)).select(key, scaled.alias("z"))
 
 
 def class_weights(df: DataFrame, label: str, classes: Sequence[str], cap: float) -> DataFrame:
@@ -56,9 +58,11 @@ def class_weights(df: DataFrame, label: str, classes: Sequence[str], cap: float)
 
 
 def pos_weight(df: DataFrame, label: str, cap: float) -> DataFrame:
-    """Negatives over positives, at most cap, 1 without positives."""
-    s = df.agg(F.count("*").alias("_n"), F.sum(label).alias("n_pos"))
-    return s.select("n_pos", (F.col("_n") - F.col("n_pos")).alias("n_neg"), F.when(F.col("n_pos") == 0, 1.0).otherwise(F.least(F.try_divide(F.col("_n") - F.col("n_pos"), F.col("n_pos")), F.lit(cap))).alias("pos_weight"))
+    """Negatives over positives, at most cap, 1 without positives; and uncapped over at least one positive, as tree learners
+    take it."""
+    s = df.agg(F.count("*").alias("_n"), F.coalesce(F.sum(label), F.lit(0)).alias("n_pos"))
+    negative = F.col("_n") - F.col("n_pos")
+    return s.select("n_pos", negative.alias("n_neg"), F.when(F.col("n_pos") == 0, 1.0).otherwise(F.least(F.try_divide(negative, F.col("n_pos")), F.lit(cap))).alias("pos_weight"), (negative / F.greatest(F.col("n_pos"), F.lit(1))).alias("tree_weight"))
 
 
 def null_groups(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -76,14 +80,34 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def pca(vectors: DataFrame, key: str, vec: str, k: int) -> DataFrame:
-    """(key, pc): centred principal components, by the library's own fit."""
+def pca_fit(train: DataFrame, vec: str, k: int):
+    """(scaler, components): centred principal components, by the library's own fit, on the rows of `train` only. The model's
+    `explainedVariance` has each component's share of the variance."""
     from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = vectors.select(key, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("raw"))
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="x").fit(rows).transform(rows)
-    return PCA(k=k, inputCol="x", outputCol="pc").fit(centred).transform(centred).select(key, vector_to_array("pc").alias("pc"))
+    rows = _as_vectors(train, vec)
+    scaler = StandardScaler(withMean=True, withStd=False, inputCol="_raw", outputCol="_x").fit(rows)
+    return scaler, PCA(k=k, inputCol="_x", outputCol="_pc").fit(scaler.transform(rows))
+
+
+def _as_vectors(df: DataFrame, vec: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    return df.withColumn("_raw", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
+
+
+def pca(vectors: DataFrame, key: str, vec: str, k: int, train: DataFrame | None = None) -> DataFrame:
+    """(key, pc) of all rows, from components that were fitted on `train` (or on all rows)."""
+    from pyspark.ml.functions import vector_to_array
+
+    scaler, components = pca_fit(vectors if train is None else train, vec, k)
+    return components.transform(scaler.transform(_as_vectors(vectors, vec))).select(key, vector_to_array("_pc").alias("pc"))
+
+
+def explained_variance(train: DataFrame, vec: str, k: int) -> DataFrame:
+    """(component, share): the share of the variance that each component explains."""
+    shares = pca_fit(train, vec, k)[1].explainedVariance.toArray().tolist()  # k numbers
+    return train.sparkSession.createDataFrame(list(enumerate(shares)), "component int, share double")
 
 
 def logistic(df: DataFrame, key: str, features: Sequence[str], label: str, *, c: float = 1.0, rounds: int = 100) -> DataFrame:

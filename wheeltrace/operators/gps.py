@@ -14,6 +14,7 @@ from ..functions import geo
 from ..functions.numeric import half_even
 
 KEYS = ("route_id",)
+MATCH_ROWS = 20  #: fewest valid rows of a route that is matched with a road graph
 
 
 def clean(raw: DataFrame, th: Thresholds, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -32,14 +33,15 @@ def clean(raw: DataFrame, th: Thresholds, keys: Sequence[str] = KEYS) -> DataFra
 
 
 def quality(raw: DataFrame, cleaned: DataFrame, th: Thresholds) -> DataFrame:
-    """For each route: source, rows, coverage, median accuracy, jumps and tier."""
+    """For each route: source, rows, coverage, median accuracy and position, jumps and tier; enough_rows tells whether it can be
+    matched with a road graph (MATCH_ROWS valid rows or more)."""
     w = W.partitionBy(*KEYS).orderBy("time_s", "i")
     far = (F.abs(F.col("lat") - F.lag("lat").over(w)) > th.gps_quality_jump_deg) | (F.abs(F.col("lon") - F.lag("lon").over(w)) > th.gps_quality_jump_deg)
-    own = cleaned.withColumn("_far", far).groupBy(*KEYS).agg(F.min("source").alias("gps_source"), F.count("*").alias("valid_rows"), F.median("gps_hacc").alias("_m"), F.count_if("_far").alias("n_jumps"))
+    own = cleaned.withColumn("_far", far).groupBy(*KEYS).agg(F.min("source").alias("gps_source"), F.count("*").alias("valid_rows"), F.median("gps_hacc").alias("_m"), F.median("lat").alias("_lat"), F.median("lon").alias("_lon"), F.count_if("_far").alias("n_jumps"))
     q = raw.groupBy(*KEYS).agg(F.count("*").alias("total_rows")).join(own, list(KEYS), "left")
     share = F.col("valid_rows") / F.col("total_rows")
     tier = F.when(F.col("valid_rows").isNull(), "none").when((share > 0.9) & (F.col("n_jumps") < 5), "good").when(share > 0.5, "moderate").otherwise("poor")
-    return q.select(*KEYS, F.coalesce("gps_source", F.lit("none")).alias("gps_source"), "total_rows", F.coalesce("valid_rows", F.lit(0)).alias("valid_rows"), half_even(F.coalesce(share, F.lit(0.0)), 4).alias("coverage_frac"), half_even(F.col("_m"), 2).alias("median_hacc"), F.coalesce("n_jumps", F.lit(0)).alias("n_jumps"), tier.alias("quality_tier"))
+    return q.select(*KEYS, F.coalesce("gps_source", F.lit("none")).alias("gps_source"), "total_rows", F.coalesce("valid_rows", F.lit(0)).alias("valid_rows"), half_even(F.coalesce(share, F.lit(0.0)), 4).alias("coverage_frac"), half_even(F.col("_m"), 2).alias("median_hacc"), F.coalesce("n_jumps", F.lit(0)).alias("n_jumps"), tier.alias("quality_tier"), half_even(F.col("_lat"), 6).alias("lat_center"), half_even(F.col("_lon"), 6).alias("lon_center"), (F.coalesce("valid_rows", F.lit(0)) >= MATCH_ROWS).alias("enough_rows"))
 
 
 def bounding_box(cleaned: DataFrame, buffer_m: float = 500.0) -> DataFrame:

@@ -31,6 +31,12 @@ def seed_aggregate(results: DataFrame, metrics: str, group: Sequence[str] = GROU
     return long.groupBy(*group, "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).join(n, list(group))
 
 
+def configuration_counts(results: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
+    """(n_runs, n_configurations): all runs, and distinct configurations whatever their seed."""
+    one = results.groupBy(*group).agg(F.count("*").alias("_n"))
+    return one.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_runs"), F.count("*").alias("n_configurations"))
+
+
 def report_table(aggregated: DataFrame, wanted: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """wanted configurations with one column of `mean +/- std` for each metric, a dash where there is none."""
     cell = F.concat(fixed(F.col("mean"), 4), F.lit(" +/- "), fixed(F.col("std"), 4))

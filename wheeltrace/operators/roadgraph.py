@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,14 +9,9 @@ from pyspark.sql import functions as F
 from ..config import Thresholds
 from ..functions import geo
 from ..functions.numeric import half_even
+from .lineage import cut
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the session's shared folder; only where it names none (in tests), in a new one."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wheeltrace_"))
-    return df.checkpoint()
+LIMIT_DROP = 5  #: km/h by which a limit ahead must be lower
 
 
 def bounded_paths(edges: DataFrame, sources: DataFrame, cutoff: float) -> DataFrame:
@@ -26,11 +19,11 @@ def bounded_paths(edges: DataFrame, sources: DataFrame, cutoff: float) -> DataFr
     that the last one improved, over distinct sources only."""
     e = edges.groupBy("u", "v").agg(F.min("length").alias("length"))
     best = sources.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0.0).alias("dist")).distinct()
-    fresh = best = _cut(best)
+    fresh = best = cut(best)
     while not fresh.isEmpty():
         more = fresh.join(e, F.col("dst") == F.col("u")).select("src", F.col("v").alias("dst"), (F.col("dist") + F.col("length")).alias("dist")).filter(F.col("dist") <= cutoff).groupBy("src", "dst").agg(F.min("dist").alias("dist"))
-        more = _cut(more.join(best.withColumnRenamed("dist", "_was"), ["src", "dst"], "left").filter(F.col("_was").isNull() | (F.col("dist") < F.col("_was"))).select("src", "dst", "dist"))
-        best = _cut(best.unionByName(more).groupBy("src", "dst").agg(F.min("dist").alias("dist")))
+        more = cut(more.join(best.withColumnRenamed("dist", "_was"), ["src", "dst"], "left").filter(F.col("_was").isNull() | (F.col("dist") < F.col("_was"))).select("src", "dst", "dist"))
+        best = cut(best.unionByName(more).groupBy("src", "dst").agg(F.min("dist").alias("dist")))
         fresh = more
     return best
 
@@ -42,7 +35,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def ahead(edges: DataFrame, paths: DataFrame, th: Thresholds) -> DataFrame:
     """For each source: intersections in reach, distance to the nearest, density, and changes of road type, ramps and the
-    lowest limit on edges between nodes in reach, out of the 50 nearest."""
+    lowest limit on edges between nodes in reach, out of the 50 nearest; of repeated sources one row."""
     d = paths.join(degrees(edges).select(F.col("node_id").alias("dst"), "degree"), "dst", "left")
     crossing = (F.col("degree") >= th.intersection_degree) & (F.col("dist") > 0)
     nodes = d.groupBy("src").agg(F.count("*").alias("density"), F.count_if(crossing).alias("n_intersections"), half_even(F.coalesce(F.min(F.when(crossing, F.col("dist"))), F.lit(th.intersection_horizon_m)), 1).alias("dist_to_intersection"))
@@ -52,6 +45,23 @@ def ahead(edges: DataFrame, paths: DataFrame, th: Thresholds) -> DataFrame:
     return nodes.join(changes, "src", "left").select("src", "density", "n_intersections", "dist_to_intersection", F.coalesce("road_type_changes", F.lit(0)).alias("road_type_changes"), F.coalesce("ramp_ahead", F.lit(0)).alias("ramp_ahead"), "lowest_limit")
 
 
+def trace_context(points: DataFrame, edges: DataFrame, nodes: DataFrame, around: DataFrame, beyond: DataFrame, th: Thresholds) -> DataFrame:
+    """For matched trace points (point_id, u, v, key, heading_deg): density as the larger number of nodes around either end of the edge,
+    what lies ahead of the end that the heading points to, and whether a limit ahead is more than LIMIT_DROP below the edge's own.
+
+    around: paths of the edge ends up to the density's radius; beyond: paths up to the horizon."""
+    place = lambda end: nodes.select(F.col("node_id").alias(end), F.col("y").alias(f"{end}_lat"), F.col("x").alias(f"{end}_lon"))
+    rows = points.join(edges.select("u", "v", "key", geo.speed_limit(F.col("maxspeed")).alias("own_limit")), ["u", "v", "key"]).join(place("u"), "u").join(place("v"), "v")
+    bearing = geo.bearing(F.col("u_lat"), F.col("u_lon"), F.col("v_lat"), F.col("v_lon"))
+    rows = rows.withColumn("src", F.when(F.abs(geo.turn(F.col("heading_deg"), bearing)) < 90, F.col("v")).otherwise(F.col("u")))
+    held = around.groupBy("src").agg(F.count("*").alias("_held"))
+    for end in ("u", "v"):
+        rows = rows.join(held.select(F.col("src").alias(end), F.col("_held").alias(f"_{end}")), end, "left")
+    found = rows.join(ahead(edges, beyond, th).drop("density"), "src", "left")
+    falls = F.coalesce(F.col("lowest_limit") < F.col("own_limit") - LIMIT_DROP, F.lit(False)).cast("int")
+    return found.select("point_id", F.col("src").alias("forward_node"), F.greatest("_u", "_v").alias("road_network_density"), "n_intersections", "dist_to_intersection", "road_type_changes", "ramp_ahead", falls.alias("speed_limit_decreases"))
+
+
 def intersection_distance(edges: DataFrame, reach: DataFrame, th: Thresholds) -> DataFrame:
     """For each edge: half its length where an end is an intersection; where that is over 100, the nearest intersection in
     reach of its ends; 999 without any. And whether it is near."""

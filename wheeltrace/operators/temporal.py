@@ -5,8 +5,10 @@ As-of joins are a union and one running window, so they cost one shuffle on the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,11 +78,35 @@ def merged_runs(runs: DataFrame, keys: Sequence[str], order: str = "start_s", st
 
 
 def greedy_gap(df: DataFrame, keys: Sequence[str], t: str, min_gap: float) -> DataFrame:
-    """The times that stay when each must lie min_gap or more after the last one kept. The fold needs a key's times in
-    one row: events of one route and type, not its samples."""
-    times = df.groupBy(*keys).agg(F.array_sort(F.collect_list(t)).alias("_ts"))
-    kept = F.aggregate("_ts", F.array().cast("array<double>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= min_gap), F.concat(acc, F.array(x))).otherwise(acc))
-    return times.select(*keys, F.explode(kept).alias(t))
+    """The times that stay when each must lie min_gap or more after the last one kept (null times never stay). Rows are sorted by key and time and
+    read as a stream that remembers one key and one time, so a key of any size takes constant memory and time in proportion."""
+    rows = df.select(*keys, F.col(t).cast("double").alias(t)).filter(F.col(t).isNotNull()).repartition(*keys).sortWithinPartitions(*keys, t)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, -np.inf
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            own, times = pdf[list(keys)], pdf[t].to_numpy()
+            changed = ((own != own.shift()) & ~(own.isna() & own.shift().isna())).any(axis=1).to_numpy(copy=True)
+            changed[0] = True
+            first = np.flatnonzero(changed)
+            kept = []
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(pdf)], strict=True):
+                now = tuple(None if pd.isna(v) else v for v in own.iloc[i])
+                if now != key:
+                    key, last = now, -np.inf
+                while i < j:
+                    i += int(np.searchsorted(times[i:j], last + min_gap - 1e-6)) if last > -np.inf else 0
+                    while i < j and times[i] - last < min_gap:
+                        i += 1
+                    if i < j:
+                        kept.append(i)
+                        last = times[i]
+                        i += 1
+            yield pdf.iloc[kept]
+
+    return rows.mapInPandas(fold, rows.schema)
 
 
 def grid(bounds: DataFrame, *, start: Column, n: Column, step: float, name: str = "time_s", index: str = "s") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Thresholds
 from ..operators import events, labels, samples, splits, temporal
+from ..operators.lineage import cut
 from ..sources import views
 
 TH = Thresholds(sample_rate=2.0)  #: the uniform view's clock
@@ -26,7 +27,7 @@ def routes_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transition_events(spark: SparkSession, d: str) -> DataFrame:
-    return events.numbered(events.transitions(_samples(spark, d), TH)).select("event_id", "route_id", "event_type", "time_s")
+    return events.numbered(cut(events.transitions(_samples(spark, d), TH))).select("event_id", "route_id", "event_type", "time_s")
 
 
 def debounced_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -78,6 +79,12 @@ def task1_windows_majority(spark: SparkSession, d: str) -> DataFrame:
     return at.select("route_id", "start_s", "end_s", "label", F.col("state").alias("current_adas_state"))
 
 
+def task1_sample_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The samples of task 1, numbered in the order of their routes and starts."""
+    found = temporal.sequential_ids(cut(task1_windows_majority(spark, d)), "route_id", ["start_s"], prefix="T1", width=7, name="sample_id")
+    return found.select("sample_id", "route_id", "start_s", "end_s", F.lit(TH.input_window_s).cast("double").alias("input_window_sec"), "label", "current_adas_state")
+
+
 def _positives(kind: str, state: int, horizon: float):
     def query(spark: SparkSession, d: str) -> DataFrame:
         s = _samples(spark, d)
@@ -129,13 +136,13 @@ def stratified_sample_gap(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (routes_summary, transition_events, debounced_runs, episodes_merged, raw_state_segments, greedy_gap_events, grid_1hz_asof_forward, asof_backward_state, asof_nearest_row, action_labels, action_histogram, task1_windows_majority, split_by_driver, split_by_vehicle, split_random, split_event_counts, split_leakage_check, stratified_sample_gap)
+    for f in (routes_summary, transition_events, debounced_runs, episodes_merged, raw_state_segments, greedy_gap_events, grid_1hz_asof_forward, asof_backward_state, asof_nearest_row, action_labels, action_histogram, task1_windows_majority, task1_sample_ids, split_by_driver, split_by_vehicle, split_random, split_event_counts, split_leakage_check, stratified_sample_gap)
 }
 for _h in (1, 3, 5):
     QUERIES[f"task2_positives_h{_h}"] = _positives("activation", 0, float(_h))
     QUERIES[f"task3_positives_h{_h}"] = _positives("takeover", 1, float(_h))
-QUERIES["task2_negatives_h3"] = _negatives("activation", 0, 3.0)
-QUERIES["task3_negatives_h3"] = _negatives("takeover", 1, 3.0)
+    QUERIES[f"task2_negatives_h{_h}"] = _negatives("activation", 0, float(_h))
+    QUERIES[f"task3_negatives_h{_h}"] = _negatives("takeover", 1, float(_h))
 
 # The same in SQL.
 _W = "OVER (PARTITION BY route_id ORDER BY time_s, i)"
@@ -247,6 +254,7 @@ SELECT route_id, n_rows, {_H("d", 1)} AS duration_s, {_H("sh", 4)} AS adas_frac,
     "action_labels": _STATE + _LABELS + " SELECT * FROM lab",
     "action_histogram": _STATE + _LABELS + f" SELECT action_label, count(*) AS n, {_H('100.0::DOUBLE * count(*) / sum(count(*)) OVER ()', 2)} AS pct FROM lab GROUP BY action_label",
     "task1_windows_majority": _STATE + _TASK1 + " SELECT * FROM task1",
+    "task1_sample_ids": _STATE + _TASK1 + " SELECT 'T1_' || printf('%07d', row_number() OVER (ORDER BY route_id, start_s)) AS sample_id, route_id, start_s, end_s, 5.0::DOUBLE AS input_window_sec, label, current_adas_state FROM task1",
     "split_by_driver": _ROUTES + _split_sql("driver_id", 42) + " SELECT * FROM parts",
     "split_by_vehicle": _ROUTES + _split_sql("vehicle_model", 43) + " SELECT * FROM parts",
     "split_random": _ROUTES + _RANDOM + " SELECT * FROM rp",
@@ -254,5 +262,5 @@ SELECT route_id, n_rows, {_H("d", 1)} AS duration_s, {_H("sh", 4)} AS adas_frac,
     "split_leakage_check": _ROUTES + _RANDOM + "".join(f" {u} SELECT '{k}' AS key, count(*) AS n_values, count(*) FILTER (p > 1) AS n_leaking FROM (SELECT {k}, count(DISTINCT part) AS p FROM routes JOIN rp USING (route_id) GROUP BY {k})" for u, k in (("", "driver_id"), ("UNION ALL", "vehicle_model"))),
     "stratified_sample_gap": _STATE + _TASK1 + _greedy("th", "(SELECT DISTINCT label, route_id, start_s FROM task1)", "label, route_id", "start_s", "5.0") + " SELECT label, route_id, start_s FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || route_id || ':' || CAST(start_s * 1000 AS BIGINT)), route_id, start_s) AS rn FROM th) WHERE rn <= 50",
     **{f"task{t}_positives_h{h}": _pos_sql(kind, state, h) for t, kind, state in ((2, "activation", 0), (3, "takeover", 1)) for h in (1, 3, 5)},
-    **{f"task{t}_negatives_h3": _neg_sql(kind, state, 3) for t, kind, state in ((2, "activation", 0), (3, "takeover", 1))},
+    **{f"task{t}_negatives_h{h}": _neg_sql(kind, state, h) for t, kind, state in ((2, "activation", 0), (3, "takeover", 1)) for h in (1, 3, 5)},
 }

@@ -66,10 +66,10 @@ def file_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
-    """Users with clicks or purchases but without errors among the first hundred events."""
+    """Users with clicks or purchases but without errors of a high value."""
     e = views.table(spark, d, "events")
     some = e.filter("event_type = 'click'").select("user_id").unionByName(e.filter("event_type = 'purchase'").select("user_id")).distinct()
-    return some.exceptAll(e.filter("event_type = 'error' and event_id < 100").select("user_id").distinct())
+    return some.exceptAll(e.filter("event_type = 'error' and value > 100").select("user_id").distinct())
 
 
 def reenriched(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +109,7 @@ SELECT label, route_id, start_s FROM rk, q WHERE rn <= CASE WHEN label = 1 THEN
     "duration_picks": views.with_views("tel_u") + ", b AS (SELECT route_id, max(time_s) - min(time_s) AS dur FROM tel_u GROUP BY route_id HAVING count(*) >= 2), r AS (SELECT route_id, row_number() OVER (ORDER BY dur, route_id) - 1 AS r, count(*) OVER () AS n FROM b) SELECT CASE WHEN r = 0 THEN 'short' WHEN r = n // 2 THEN 'median' ELSE 'long' END AS pick, route_id FROM r WHERE r IN (0, n // 2, n - 1)",
     "one_hot_logits": driving._STATE + driving._LABELS + " SELECT route_id, timestamp, CAST(list_position([" + ", ".join(f"'{c}'" for c in CLASSES) + "], action_label) - 1 AS INTEGER) AS class_id, 1.0::DOUBLE AS score FROM lab",
     "file_names": "SELECT c_mktsegment || '/' || c_name AS route_id, replace(c_mktsegment || '/' || c_name, '/', '__') AS file_name, c_mktsegment || '/' || c_name AS back FROM customer",
-    "set_operations": "SELECT user_id FROM events WHERE event_type IN ('click', 'purchase') EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND event_id < 100",
+    "set_operations": "SELECT user_id FROM events WHERE event_type IN ('click', 'purchase') EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 100",
     "reenriched": signals._LABELLED + ", g AS (SELECT shard, count(quality) + count(toxic) = 0 AS lone FROM lb GROUP BY shard) SELECT shard, count(*) AS n_rows, count(CASE WHEN lone THEN doc_id % 2 ELSE quality END) AS n_values, bool_or(CASE WHEN lone THEN doc_id IS NOT NULL ELSE quality IS NOT NULL END) AS covered FROM lb JOIN g USING (shard) GROUP BY shard",
     "first_event_of_route": driving._EVENTS + " SELECT route_id, event_type, time_s FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY time_s, event_type) AS rn FROM tr) WHERE rn = 1",
 }

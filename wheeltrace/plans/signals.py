@@ -48,7 +48,8 @@ def norm_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def zscore_features(spark: SparkSession, d: str) -> DataFrame:
     e = views.table(spark, d, "embeddings")
-    return _round(features.zscore(e, features.norm_stats(e, "embedding"), "vec_id", "embedding"), "z", d=5)
+    z = features.zscore(e, features.norm_stats(e, "embedding"), "vec_id", "embedding")
+    return _round(z.select("vec_id", F.posexplode("z").alias("dim", "z")), "z", d=5)
 
 
 def class_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +58,7 @@ def class_weights(spark: SparkSession, d: str) -> DataFrame:
 
 def pos_weight(spark: SparkSession, d: str) -> DataFrame:
     e = views.table(spark, d, "events").select((F.col("event_type") == "purchase").cast("int").alias("y"))
-    return _round(features.pos_weight(e, "y", TH.max_weight), "pos_weight")
+    return _round(features.pos_weight(e, "y", TH.max_weight), "pos_weight", "tree_weight")
 
 
 def gps_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -105,6 +106,14 @@ def intersections_ahead(spark: SparkSession, d: str) -> DataFrame:
     return roadgraph.ahead(edges, bounded_paths(spark, d), GRAPH)
 
 
+def trace_context(spark: SparkSession, d: str) -> DataFrame:
+    """Every edge as the match of a trace point with a heading of its own."""
+    nodes, edges = views.road_graph(spark, d)
+    nodes = nodes.withColumn("x", F.col("x") / 1000).withColumn("y", F.col("y") / 1000)
+    points = edges.select((F.col("u") * 1000 + F.col("v") * 10 + F.col("key")).alias("point_id"), "u", "v", "key", ((F.col("u") * 37 + F.col("v") * 11) % 360 + 0.3).alias("heading_deg"))
+    return roadgraph.trace_context(points, edges, nodes, roadgraph.bounded_paths(edges, nodes, TH.reach_m), bounded_paths(spark, d), GRAPH)
+
+
 def intersection_distance(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = views.road_graph(spark, d)
     return roadgraph.intersection_distance(edges, roadgraph.bounded_paths(edges, nodes, TH.reach_m), replace(TH, intersection_degree=6))
@@ -198,6 +207,10 @@ def seed_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return _round(reporting.seed_aggregate(_results(spark, d), "metrics"), "mean", "std")
 
 
+def configuration_counts(spark: SparkSession, d: str) -> DataFrame:
+    return reporting.configuration_counts(_results(spark, d))
+
+
 def report_pivot(spark: SparkSession, d: str) -> DataFrame:
     wanted = spark.createDataFrame([(t, m) for t in ("click", "view", "merge") for m in ("struct", "video")], "task string, modality string")
     wanted = wanted.select("task", "modality", F.lit("gru").alias("model"), F.lit("cross_driver").alias("split"), F.lit(3).alias("horizon"))
@@ -210,7 +223,7 @@ def segment_timing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frame_times(spark: SparkSession, d: str) -> DataFrame:
-    u = views.uniform(spark, d).filter("i < 12")
+    u = views.uniform(spark, d)
     return reporting.frame_times(u.select("route_id", F.col("i").alias("seg_num"), (F.col("k") % 4).alias("n_frames"), F.when(F.col("k") % 7 == 0, F.col("i") * 61.0).alias("start_s")))
 
 
@@ -263,7 +276,7 @@ _ANSWERS = ("", " Stopped", " lane change", " laneCHANGE then turning", " brakin
 
 QUERIES = {
     f.__name__: f
-    for f in (resample_linear_grid, window_slice_padded, window_stats, norm_stats, zscore_features, class_weights, pos_weight, gps_clean, gps_quality, gps_bbox, savgol_smooth, gps_trajectory, maneuver_lookahead, sparse_ffill, road_attributes, bounded_paths, intersections_ahead, intersection_distance, nearest_edge, null_group_find, coverage_recheck, done_antijoin, upsert_partition, metric_confusion, metric_f1, metric_pr_curve, metric_auc, metric_ap, metric_best_threshold, metric_p_at_r, metric_at_threshold, seed_aggregate, report_pivot, segment_timing, frame_times, feature_validation, vlm_parse_label, vlm_parse_binary, text_summary, experiment_matrix, pca_project, lr_fit)
+    for f in (resample_linear_grid, window_slice_padded, window_stats, norm_stats, zscore_features, class_weights, pos_weight, gps_clean, gps_quality, gps_bbox, savgol_smooth, gps_trajectory, maneuver_lookahead, sparse_ffill, road_attributes, bounded_paths, intersections_ahead, trace_context, intersection_distance, nearest_edge, null_group_find, coverage_recheck, done_antijoin, upsert_partition, metric_confusion, metric_f1, metric_pr_curve, metric_auc, metric_ap, metric_best_threshold, metric_p_at_r, metric_at_threshold, seed_aggregate, configuration_counts, report_pivot, segment_timing, frame_times, feature_validation, vlm_parse_label, vlm_parse_binary, text_summary, experiment_matrix, pca_project, lr_fit)
 }
 
 # The same in SQL.
@@ -355,12 +368,12 @@ SELECT route_id, s, time_s, {_H("CASE WHEN ta IS NULL THEN vb WHEN tb IS NULL OR
     "norm_stats": _EMB + f" SELECT dim, {_H('mean', 6)} AS mean, {_H('std', 6)} AS std FROM s",
     "zscore_features": _EMB + f" SELECT vec_id, dim, {_H('(x - mean) / (std + 1e-8::DOUBLE)', 5)} AS z FROM x JOIN s USING (dim)",
     "class_weights": f"WITH c AS (SELECT t.event_type, greatest(count(e.event_id), 1) AS n FROM (SELECT unnest({_LIST(CLASSES)}) AS event_type) t LEFT JOIN events e USING (event_type) GROUP BY t.event_type) SELECT event_type, n, {_H('greatest(1.0::DOUBLE, least(10.0::DOUBLE, max(n) OVER () / n))', 6)} AS weight FROM c",
-    "pos_weight": f"WITH s AS (SELECT count(*) FILTER (event_type = 'purchase') AS n_pos, count(*) FILTER (event_type <> 'purchase') AS n_neg FROM events) SELECT n_pos, n_neg, CASE WHEN n_pos = 0 THEN 1.0::DOUBLE ELSE {_H('least(n_neg / n_pos, 10.0::DOUBLE)', 6)} END AS pos_weight FROM s",
+    "pos_weight": f"WITH s AS (SELECT count(*) FILTER (event_type = 'purchase') AS n_pos, count(*) FILTER (event_type <> 'purchase') AS n_neg FROM events) SELECT n_pos, n_neg, CASE WHEN n_pos = 0 THEN 1.0::DOUBLE ELSE {_H('least(n_neg / n_pos, 10.0::DOUBLE)', 6)} END AS pos_weight, {_H('n_neg / greatest(n_pos, 1)', 6)} AS tree_weight FROM s",
     "gps_clean": _CLEAN + " SELECT * FROM cl",
     "gps_quality": _CLEAN + f""",
 q0 AS (SELECT *, abs(lat - lag(lat) OVER o) > 0.001::DOUBLE OR abs(lon - lag(lon) OVER o) > 0.001::DOUBLE AS far FROM cl {_O}),
-q1 AS (SELECT route_id, min(source) AS src, count(*) AS v, median(gps_hacc) AS m, count(*) FILTER (far) AS j FROM q0 GROUP BY route_id), q2 AS (SELECT route_id, count(*) AS n FROM gps_raw GROUP BY route_id)
-SELECT route_id, COALESCE(src, 'none') AS gps_source, n AS total_rows, COALESCE(v, 0) AS valid_rows, {_H("COALESCE(v / n, 0)", 4)} AS coverage_frac, {_H("m", 2)} AS median_hacc, COALESCE(j, 0) AS n_jumps, CASE WHEN v IS NULL THEN 'none' WHEN v / n > 0.9::DOUBLE AND j < 5 THEN 'good' WHEN v / n > 0.5 THEN 'moderate' ELSE 'poor' END AS quality_tier FROM q2 LEFT JOIN q1 USING (route_id)""",
+q1 AS (SELECT route_id, min(source) AS src, count(*) AS v, median(gps_hacc) AS m, count(*) FILTER (far) AS j, median(lat) AS la, median(lon) AS lo FROM q0 GROUP BY route_id), q2 AS (SELECT route_id, count(*) AS n FROM gps_raw GROUP BY route_id)
+SELECT route_id, COALESCE(src, 'none') AS gps_source, n AS total_rows, COALESCE(v, 0) AS valid_rows, {_H("COALESCE(v / n, 0)", 4)} AS coverage_frac, {_H("m", 2)} AS median_hacc, COALESCE(j, 0) AS n_jumps, CASE WHEN v IS NULL THEN 'none' WHEN v / n > 0.9::DOUBLE AND j < 5 THEN 'good' WHEN v / n > 0.5 THEN 'moderate' ELSE 'poor' END AS quality_tier, {_H("la", 6)} AS lat_center, {_H("lo", 6)} AS lon_center, COALESCE(v, 0) >= 20 AS enough_rows FROM q2 LEFT JOIN q1 USING (route_id)""",
     "gps_bbox": _CLEAN + f""",
 f AS (SELECT route_id, quantile_cont(lat, [0.05, 0.95]) AS qa, quantile_cont(lon, [0.05, 0.95]) AS qo FROM cl GROUP BY route_id),
 k AS (SELECT cl.* FROM cl JOIN f USING (route_id) WHERE lat BETWEEN qa[1] - 1.5::DOUBLE * (qa[2] - qa[1]) AND qa[2] + 1.5::DOUBLE * (qa[2] - qa[1]) AND lon BETWEEN qo[1] - 1.5::DOUBLE * (qo[2] - qo[1]) AND qo[2] + 1.5::DOUBLE * (qo[2] - qo[1]))
@@ -381,6 +394,16 @@ ou AS (SELECT n.src, {_class_sql("e.highway")} AS rc, e.highway LIKE '%link%' AS
 oc AS (SELECT src, CAST(count(DISTINCT rc) > 1 AS INTEGER) AS rt, max(CAST(lk AS INTEGER)) AS ra, min(sl) AS ll FROM ou GROUP BY src),
 nc AS (SELECT p.src, count(*) AS density, count(*) FILTER (d.degree >= 5 AND p.dist > 0) AS n_intersections, {_H("COALESCE(min(CASE WHEN d.degree >= 5 AND p.dist > 0 THEN p.dist END), 300)", 1)} AS dist_to_intersection FROM paths p LEFT JOIN deg d ON d.node_id = p.dst GROUP BY p.src)
 SELECT nc.src, density, n_intersections, dist_to_intersection, COALESCE(rt, 0) AS road_type_changes, COALESCE(ra, 0) AS ramp_ahead, ll AS lowest_limit FROM nc LEFT JOIN oc USING (src)""",
+    "trace_context": _GRAPH + _paths(300) + f""",
+pg AS (SELECT u * 1000 + v * 10 + key AS point_id, u, v, key, (u * 37 + v * 11) % 360 + 0.3::DOUBLE AS h, {_limit_sql("maxspeed")} AS own FROM edges),
+pb AS (SELECT pg.*, radians(a.y / 1000) AS la, radians(b.y / 1000) AS lb, radians((b.x - a.x) / 1000) AS dl FROM pg JOIN nodes a ON a.node_id = u JOIN nodes b ON b.node_id = v),
+pf AS (SELECT *, CASE WHEN abs({_TURN("h", _MOD("degrees(atan2(sin(dl) * cos(lb), cos(la) * sin(lb) - sin(la) * cos(lb) * cos(dl))) + 360"))}) < 90 THEN v ELSE u END AS src FROM pb),
+hd AS (SELECT src, count(*) AS n FROM paths WHERE dist <= 200 GROUP BY src),
+nr AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rn FROM paths) WHERE rn <= 50),
+ou AS (SELECT n.src, {_class_sql("e.highway")} AS rc, e.highway LIKE '%link%' AS lk, {_limit_sql("e.maxspeed")} AS sl FROM nr n JOIN edges e ON e.u = n.dst WHERE EXISTS (SELECT 1 FROM paths p WHERE p.src = n.src AND p.dst = e.v)),
+oc AS (SELECT src, CAST(count(DISTINCT rc) > 1 AS INTEGER) AS rt, max(CAST(lk AS INTEGER)) AS ra, min(sl) AS ll FROM ou GROUP BY src),
+nc AS (SELECT p.src, count(*) FILTER (d.degree >= 5 AND p.dist > 0) AS n_intersections, {_H("COALESCE(min(CASE WHEN d.degree >= 5 AND p.dist > 0 THEN p.dist END), 300)", 1)} AS dist_to_intersection FROM paths p LEFT JOIN deg d ON d.node_id = p.dst GROUP BY p.src)
+SELECT point_id, pf.src AS forward_node, greatest(a.n, b.n) AS road_network_density, n_intersections, dist_to_intersection, COALESCE(rt, 0) AS road_type_changes, COALESCE(ra, 0) AS ramp_ahead, CAST(COALESCE(ll < own - 5, false) AS INTEGER) AS speed_limit_decreases FROM pf LEFT JOIN hd a ON a.src = u LEFT JOIN hd b ON b.src = v LEFT JOIN nc ON nc.src = pf.src LEFT JOIN oc ON oc.src = pf.src""",
     "intersection_distance": _GRAPH + _paths(200) + f""",
 nx AS (SELECT src, min(dist) AS d FROM paths JOIN deg ON node_id = dst WHERE degree >= 6 GROUP BY src),
 ed AS (SELECT e.*, CASE WHEN a.degree >= 6 OR b.degree >= 6 THEN least(999.0, length * 0.5) ELSE 999.0::DOUBLE END AS own, x.d AS dx, y.d AS dy FROM edges e JOIN deg a ON a.node_id = e.u JOIN deg b ON b.node_id = e.v LEFT JOIN nx x ON x.src = e.u LEFT JOIN nx y ON y.src = e.v)
@@ -408,12 +431,13 @@ SELECT {_H("CAST(sum(h) AS DOUBLE) / sum(t)", 6)} AS accuracy, {_H("avg(f) FILTE
     "metric_p_at_r": _CURVE + f" SELECT {_H('max(tp / (tp + fp))', 6)} AS precision_at_recall FROM c WHERE tp / n_pos >= 0.8::DOUBLE",
     "metric_at_threshold": views.with_views("ev") + f", t AS (SELECT event_type = 'purchase' AS y, k / 100.0::DOUBLE >= 0.25::DOUBLE AS p FROM ev) SELECT {_H('2.0::DOUBLE * count(*) FILTER (y AND p) / (count(*) FILTER (p) + count(*) FILTER (y))', 6)} AS f1, {_H('count(*) FILTER (y = p) / count(*)', 6)} AS accuracy, count(*) FILTER (y) AS n_pos, count(*) FILTER (NOT y) AS n_neg FROM t",
     "seed_aggregate": _SEEDS + f" SELECT a.task, a.modality, model, split, horizon, metric, {_H('mean', 6)} AS mean, {_H('std', 6)} AS std, n_seeds FROM ag a JOIN sn USING (task, modality)",
+    "configuration_counts": views.with_views("tel_x") + " SELECT CAST(sum(n) AS BIGINT) AS n_runs, count(*) AS n_configurations FROM (SELECT event_type, k % 2 AS m, count(*) AS n FROM tel_x GROUP BY event_type, COALESCE(k % 2, 1), k % 2)",
     "report_pivot": _SEEDS + f""",
 w AS (SELECT t.task, m.modality FROM (VALUES ('click'), ('view'), ('merge')) t(task), (VALUES ('struct'), ('video')) m(modality))
 SELECT w.task, w.modality, """ + ", ".join(f"COALESCE((SELECT {_P('mean', 4)} || ' +/- ' || {_P('std', 4)} FROM ag WHERE ag.task = w.task AND ag.modality = w.modality AND metric = '{m}'), '—') AS {m}" for m in ("auc_roc", "f1")) + ", COALESCE(n_seeds, 0) AS n_seeds FROM w LEFT JOIN sn USING (task, modality)",
     "segment_timing": views.with_views("tel_u") + " SELECT route_id, i AS seg_num, e - d AS start_s, e AS end_s FROM (SELECT *, sum(d) OVER (PARTITION BY route_id ORDER BY i) AS e FROM (SELECT *, 1.0::DOUBLE + k % 5 * 0.5::DOUBLE AS d FROM tel_u))",
     "frame_times": views.with_views("tel_u") + """,
-s0 AS (SELECT route_id, i AS seg_num, k % 4 AS nf, COALESCE(CASE WHEN k % 7 = 0 THEN i * 61.0::DOUBLE END, sum(CASE WHEN k % 4 > 0 THEN (k % 4) / 2.0::DOUBLE ELSE 60.0::DOUBLE END) OVER (PARTITION BY route_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS st FROM tel_u WHERE i < 12)
+s0 AS (SELECT route_id, i AS seg_num, k % 4 AS nf, COALESCE(CASE WHEN k % 7 = 0 THEN i * 61.0::DOUBLE END, sum(CASE WHEN k % 4 > 0 THEN (k % 4) / 2.0::DOUBLE ELSE 60.0::DOUBLE END) OVER (PARTITION BY route_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS st FROM tel_u)
 SELECT route_id, seg_num, CAST(frame AS INTEGER) AS frame, st + frame / 2.0::DOUBLE AS time_s FROM (SELECT *, unnest(generate_series(0, nf - 1)) AS frame FROM s0 WHERE nf > 0)""",
     "feature_validation": views.with_views("tel_u") + """,
 fr AS (SELECT route_id, i, i * 0.5::DOUBLE - CASE WHEN k = 50 AND route_id % 2 = 0 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS ts, CASE WHEN route_id % 11 = 0 AND i = 3 THEN 63 ELSE 64 END AS dim FROM tel_u),

@@ -50,8 +50,10 @@ def write_results(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").json(path)
 
 
-def markdown(df: DataFrame, limit: int = 200) -> str:
-    """A small aggregate (at most `limit` rows) as a table for a report."""
-    rows = df.limit(limit).collect()
+def markdown(df: DataFrame, limit: int = 10_000) -> str:
+    """An aggregate as a table for a report, all its rows; one of more than `limit` rows is no report and is refused."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report table of more than {limit} rows")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
