@@ -539,10 +539,62 @@ def test_scores_equal_brute_force(spark, data, texts):
     assert held.score.sum() > held.base_score.sum()  # the model knows more than the words' counts
 
 
+def small_model():
+    rng = np.random.default_rng(0)
+    c = scoring.Counts(5_000, 400, rng.integers(0, 1 << 62, 300, dtype=np.uint64), np.sort(rng.integers(1, 900, 300))[::-1], rng.integers(0, 50, scoring.KINDS), rng.integers(0, 9, scoring.KINDS), 70)
+    m = scoring.LogBilinear.new(c)
+    m.params = [p + rng.normal(0, 0.3, p.shape).astype(np.float32) for p in m.params]
+    return c, m
+
+
 def test_probabilities_add_up():
-    counts = np.random.default_rng(0).integers(0, 3, scoring.SYMBOLS**3)
-    p = 10 ** scoring.train(counts).log10_table().reshape(-1, scoring.SYMBOLS)
-    assert np.allclose(p.sum(1), 1) and (p[:, scoring.START] == 0).all()
+    c, m = small_model()
+    before = np.random.default_rng(1).integers(0, c.n_symbols + 1, (5, scoring.CONTEXT))
+    for row in before:
+        p = 10 ** m.log10(c, np.tile(row, (c.n_symbols, 1)), np.arange(c.n_symbols))
+        assert p.sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_model_scores_equal_a_plain_computation():
+    c, m = small_model()
+    rng = np.random.default_rng(2)
+    before, symbol = rng.integers(0, c.n_symbols + 1, (40, scoring.CONTEXT)), rng.integers(0, c.n_symbols, 40)
+    vectors, places, class_out, class_bias, out, bias = (p.astype(float) for p in m.params)
+    want = []
+    for b, w in zip(before, symbol):
+        x = sum(vectors[b[j]] * places[j] for j in range(scoring.CONTEXT))
+        live = sorted(set(c.of.tolist()))
+        top = {k: np.exp(x @ class_out[k] + class_bias[k]) for k in live}
+        own = {v: np.exp(x @ out[v] + bias[v]) for v in range(c.n_symbols) if c.of[v] == c.of[w]}
+        want.append(np.log10(top[c.of[w]] / sum(top.values()) * own[w] / sum(own.values())))
+    assert np.allclose(m.log10(c, before, symbol), want, atol=1e-4)
+
+
+def test_contexts_stop_at_the_start_of_a_text():
+    got = scoring.contexts(np.array([5, 6, 7, 8, 9]), np.array([2, 3]), 99)
+    assert got[:, 0].tolist() == [99, 5, 99, 7, 8] and got[:, 1].tolist() == [99, 99, 99, 99, 7]
+
+
+def test_the_model_learns_what_follows_what(spark):
+    """Texts of one word order: the model's gain over the words' counts is large, and counts do not depend on the ranges."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        at, words = rng.randrange(40), []
+        for _ in range(150):
+            words.append(f"w{at}")
+            at = (at * 3 + rng.randrange(2)) % 40
+        rows.append((i, " ".join(words), i % 5 == 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    whole = scoring.score(docs).toPandas().set_index("doc_id").sort_index()
+    held = whole[whole.held_out]
+    assert (held.score.sum() - held.base_score.sum()) / held.n_tokens.sum() > 0.15
+    size, scoring.RANGE_WORDS = scoring.RANGE_WORDS, 7
+    try:
+        parts = scoring.score(docs).toPandas().set_index("doc_id").sort_index()
+    finally:
+        scoring.RANGE_WORDS = size
+    assert (parts[["n_tokens", "n_known", "train_tokens"]] == whole[["n_tokens", "n_known", "train_tokens"]]).all().all() and np.allclose(parts.base_score, whole.base_score)
 
 
 # 9
