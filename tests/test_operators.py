@@ -240,3 +240,52 @@ def test_greedy_gap_of_a_large_key_streams(spark):
             if not want or t - want[-1] >= 2.5:
                 want.append(t)
         assert sorted(got[k]) == want
+
+
+def test_wide_boxes_shrink_to_the_median_and_hold_their_nodes(spark):
+    from wheeltrace.operators import gps
+    from wheeltrace.sources import scans
+
+    rows = [(1, 40.0 + i * 0.01, -75.0) for i in range(100)] + [(2, 40.0 + i * 0.0001, -75.0) for i in range(20)] + [(3, 40.0, -75.0)] * 9
+    box = gps.bounding_box(spark.createDataFrame(rows, "route_id long, lat double, lon double"))
+    got = {r.route_id: r for r in box.collect()}
+    assert set(got) == {1, 2}  # nine points make no box
+    assert abs(got[1].north - (40.495 + 5000 / 111320)) < 1e-5 and abs(got[1].south - (40.495 - 5000 / 111320)) < 1e-5
+    assert abs(got[2].north - (40.0019 + 500 / 111320)) < 1e-5
+    places = [(i, -75.0 + (i % 7 - 3) * 0.004, 39.99 + i * 0.002) for i in range(300)]
+    found = scans.within_box(spark.createDataFrame(places, "node_id long, x double, y double"), box)
+    want = sorted((n, k) for n, x, y in places for k, r in got.items() if r.west <= x <= r.east and r.south <= y <= r.north)
+    assert sorted((r.node_id, r.route_id) for r in found.collect()) == want
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sensor_context_has_the_sections_of_the_streams_with_rows(spark):
+    from wheeltrace.operators import reporting
+
+    w = spark.createDataFrame([(1, 0.0, 5.0), (1, 0.0, 5.0), (2, 0.0, 5.0)], "route_id long, start_s double, end_s double")
+    car = spark.createDataFrame([(1, 0, -0.6, 9.0, 9.0), (1, 1, 0.25, 1.0, -2.0), (1, 2, -0.25, 3.0, 0.0), (1, 3, 5.5, 4.0, float("nan")), (1, 4, 5.6, 8.0, 8.0)], "route_id long, i int, time_s double, vEgo double, aEgo double")
+    plan = spark.createDataFrame([(1, 0, 5.0, "off", None), (1, 1, 9.0, "1", 0.5)], "route_id long, i int, time_s double, laneChangeState string, laneLeft_prob double")
+    got = {r.route_id: r.context for r in reporting.sensor_context(w, {"planning": plan, "vehicle_dynamics": car}).collect()}
+    car_text = "## Vehicle (5.0s window)\nSpeed: 1.0 → 1.0 → 4.0 m/s | Accel: mean=-1.0, peak=2.0 m/s²\nSteering: 0.0 → 0.0 → 0.0 deg | Brake: OFF | Gas: 0.00\nBlinkers: none | DAS: enabled=no, lat_active=no"
+    plan_text = "## Planning\nDesired curvature: 0.000 | Lane change: none\nLane conf: L=N/A R=0.00"
+    assert got == {1: car_text + "\n\n" + plan_text, 2: reporting.UNAVAILABLE}
+    assert {r.context for r in reporting.sensor_context(w, {}).collect()} == {reporting.UNAVAILABLE}
+
+
+def test_configurations_and_reports_of_metrics(spark):
+    from wheeltrace import config
+    from wheeltrace.operators import features, metrics
+
+    assert len(config.CONFIGURATIONS) == 16 and len(config.columns_of("Full-Struct")) == 55 and len(config.columns_of("Full-All")) == 73 and config.columns_of("FV") == []
+    one = features.select_configuration(spark.createDataFrame([(1, "2.5")], "route_id long, leadOne_vRel string"), ["route_id"], "Int").first()
+    assert (one.leadOne_vRel, one.leadOne_dRel, one.hasLead) == (2.5, 999.0, 0.0)
+    rows = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.7), (0, 0.1)], "y int, s double")
+    c = metrics.curve(rows, "y", "s")
+    want = {"auc_roc": 0.75, "auprc": (1 + 2 / 3) / 2, "f1": 0.8, "accuracy": 0.75, "threshold": 0.7, "precision_at_recall_0.8": 2 / 3, "n_pos": 2.0, "n_neg": 2.0}
+    for got, expected in ((metrics.binary_report(c), want), (metrics.binary_report(c, 0.85), want | {"f1": 2 / 3, "threshold": 0.85})):
+        m = got.first().metrics
+        assert set(m) == set(expected) and all(abs(m[k] - v) < 1e-12 for k, v in expected.items())
+    none = metrics.binary_report(metrics.curve(rows.filter("y > 1"), "y", "s")).first().metrics
+    assert (none["auc_roc"], none["auprc"], none["threshold"], none["n_pos"]) == (0.5, 0.0, 0.5, 0.0)
+    classes = metrics.class_report(metrics.confusion(spark.createDataFrame([(0, 0), (1, 1), (1, 0)], "t int, p int"), "t", "p", 3), ("a", "b", "c")).first().metrics
+    assert abs(classes["accuracy"] - 2 / 3) < 1e-12 and abs(classes["f1_a"] - 2 / 3) < 1e-12 and classes["f1_c"] == 0.0 and abs(classes["macro_f1"] - 2 / 3) < 1e-12

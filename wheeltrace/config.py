@@ -52,3 +52,44 @@ MODALITIES = {
 }
 #: Defaults of missing signals, where they are not 0.
 SIGNAL_DEFAULTS = {"leadOne_dRel": 999.0, "leadTwo_dRel": 999.0}
+#: Columns of the GPS features.
+GPS_COLUMNS = ("gps_speed_mps", "heading_deg", "heading_change_rate", "curvature", "is_stopped", "stopped_duration_s", "road_type_enc", "is_highway", "speed_limit_kph", "n_lanes", "is_on_ramp", "dist_to_intersection_m", "is_near_intersection", "road_network_density", "bearing_vs_road", "hw_dist_to_intersection_m", "hw_n_intersections_300m", "hw_is_ramp_ahead_300m")
+
+
+@dataclass(frozen=True)
+class Configuration:
+    """What an experiment reads: signal streams, GPS features, the front and the cabin camera."""
+
+    streams: tuple[str, ...] = ()
+    gps: bool = False
+    front_video: bool = False
+    cabin_video: bool = False
+
+
+_OUTSIDE = ("planning", "radar")
+_ALL = ("vehicle_dynamics", *_OUTSIDE, "driver_state", "imu")
+#: The 16 configurations.
+CONFIGURATIONS = {
+    "Veh": Configuration(("vehicle_dynamics",)),
+    "Drv": Configuration(("driver_state",)),
+    "Int": Configuration(_OUTSIDE),
+    "Veh+Int": Configuration(("vehicle_dynamics", *_OUTSIDE)),
+    "Veh+Int+Drv": Configuration(("vehicle_dynamics", *_OUTSIDE, "driver_state")),
+    "Full-Struct": Configuration(_ALL),
+    "Full-Struct+GPS": Configuration(_ALL, gps=True),
+    "Full-Struct+FV": Configuration(_ALL, front_video=True),
+    "Full-Struct+CV": Configuration(_ALL, cabin_video=True),
+    "Full-Multimodal": Configuration(_ALL, front_video=True, cabin_video=True),
+    "Full-All": Configuration(_ALL, gps=True, front_video=True, cabin_video=True),
+    "Ctx": Configuration(gps=True),
+    "IMU": Configuration(("imu",)),
+    "FV": Configuration(front_video=True),
+    "CV": Configuration(cabin_video=True),
+    "FV+CV": Configuration(front_video=True, cabin_video=True),
+}
+
+
+def columns_of(configuration: str) -> list[str]:
+    """The input columns of a configuration, stream by stream, GPS features last."""
+    c = CONFIGURATIONS[configuration]
+    return [x for s in c.streams for x in MODALITIES[s]] + list(GPS_COLUMNS if c.gps else ())

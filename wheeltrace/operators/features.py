@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import SIGNAL_DEFAULTS, columns_of
+from ..functions.numeric import number
 from . import temporal
 
 
@@ -49,6 +51,13 @@ def zscore(vectors: DataFrame, stats: DataFrame, key: str, vec: str) -> DataFram
     return vectors.crossJoin(F.broadcast(whole)).select(key, scaled.alias("z"))
 
 
+def select_configuration(df: DataFrame, keys: Sequence[str], configuration: str) -> DataFrame:
+    """The keys and the columns of a named configuration, in its order; missing columns and unreadable values take their default."""
+    columns, have = columns_of(configuration), set(df.columns)
+    value = lambda c: number(F.col(c), SIGNAL_DEFAULTS.get(c, 0.0)) if c in have else F.lit(SIGNAL_DEFAULTS.get(c, 0.0))
+    return df.select(*keys, *(value(c).alias(c) for c in columns))
+
+
 def class_weights(df: DataFrame, label: str, classes: Sequence[str], cap: float) -> DataFrame:
     """Inverse frequency over the least, at most `cap`; a class without rows counts as one row."""
     every = df.sparkSession.createDataFrame([(c,) for c in classes], f"{label} string")

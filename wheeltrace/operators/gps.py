@@ -44,16 +44,22 @@ def quality(raw: DataFrame, cleaned: DataFrame, th: Thresholds) -> DataFrame:
     return q.select(*KEYS, F.coalesce("gps_source", F.lit("none")).alias("gps_source"), "total_rows", F.coalesce("valid_rows", F.lit(0)).alias("valid_rows"), half_even(F.coalesce(share, F.lit(0.0)), 4).alias("coverage_frac"), half_even(F.col("_m"), 2).alias("median_hacc"), F.coalesce("n_jumps", F.lit(0)).alias("n_jumps"), tier.alias("quality_tier"), half_even(F.col("_lat"), 6).alias("lat_center"), half_even(F.col("_lon"), 6).alias("lon_center"), (F.coalesce("valid_rows", F.lit(0)) >= MATCH_ROWS).alias("enough_rows"))
 
 
-def bounding_box(cleaned: DataFrame, buffer_m: float = 500.0) -> DataFrame:
-    """Box around each route's points within 1.5 times the 5-95 % range of both coordinates; routes with 10 such points."""
+def bounding_box(cleaned: DataFrame, buffer_m: float = 500.0, *, max_span_km: float = 50.0, radius_m: float = 5_000.0) -> DataFrame:
+    """Box around each route's points within 1.5 times the 5-95 % range of both coordinates, with a buffer; routes with 10 such
+    points. A box that spans more than max_span_km either way gives way to one of radius_m around the points' median."""
     q = lambda c: F.percentile(c, F.array(F.lit(0.05), F.lit(0.95)))
     fence = cleaned.groupBy(*KEYS).agg(q("lat").alias("qa"), q("lon").alias("qo"))
     inside = lambda c, p: F.col(c).between(F.col(p)[0] - 1.5 * (F.col(p)[1] - F.col(p)[0]), F.col(p)[1] + 1.5 * (F.col(p)[1] - F.col(p)[0]))
     kept = cleaned.join(fence, list(KEYS)).filter(inside("lat", "qa") & inside("lon", "qo"))
-    box = kept.groupBy(*KEYS).agg(F.count("*").alias("n_points"), F.max("lat").alias("n"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.min("lon").alias("w"), F.avg("lat").alias("m")).filter("n_points >= 10")
-    wide = F.lit(buffer_m) / (geo.DEGREE_M * F.cos(F.radians("m")))
-    tall = F.lit(buffer_m / geo.DEGREE_M)
-    return box.select(*KEYS, "n_points", half_even(F.col("n") + tall, 6).alias("north"), half_even(F.col("s") - tall, 6).alias("south"), half_even(F.col("e") + wide, 6).alias("east"), half_even(F.col("w") - wide, 6).alias("west"))
+    box = kept.groupBy(*KEYS).agg(F.count("*").alias("n_points"), F.max("lat").alias("n"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.min("lon").alias("w"), F.avg("lat").alias("m"), F.median("lat").alias("y"), F.median("lon").alias("x")).filter("n_points >= 10")
+    flat = F.cos(F.radians("m"))
+    tall, wide = F.lit(buffer_m / geo.DEGREE_M), F.lit(buffer_m) / (geo.DEGREE_M * flat)
+    box = box.select("*", (F.col("n") + tall).alias("north"), (F.col("s") - tall).alias("south"), (F.col("e") + wide).alias("east"), (F.col("w") - wide).alias("west"))
+    km = geo.DEGREE_M / 1000
+    far = ((F.col("north") - F.col("south")) * km > max_span_km) | ((F.col("east") - F.col("west")) * km * flat > max_span_km)
+    up, aside = F.lit(radius_m / geo.DEGREE_M), F.lit(radius_m) / (geo.DEGREE_M * F.cos(F.radians("y")))
+    near = {"north": F.col("y") + up, "south": F.col("y") - up, "east": F.col("x") + aside, "west": F.col("x") - aside}
+    return box.select(*KEYS, "n_points", *(half_even(F.when(far, v).otherwise(F.col(c)), 6).alias(c) for c, v in near.items()))
 
 
 def savgol_weights(size: int = 11, degree: int = 2) -> np.ndarray:

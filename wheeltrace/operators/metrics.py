@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,3 +75,36 @@ def at_threshold(df: DataFrame, truth: str, score: str, threshold: float) -> Dat
     y, p = F.col(truth) == 1, F.col(score) >= threshold
     s = df.agg(F.count_if(y & p).alias("tp"), F.count_if(p).alias("called"), F.count_if(y).alias("n_pos"), F.count("*").alias("n"), F.count_if(y == p).alias("right"))
     return s.select(ratio(2.0 * F.col("tp"), F.col("called") + F.col("n_pos")).alias("f1"), ratio(F.col("right").cast("double"), F.col("n")).alias("accuracy"), "n_pos", (F.col("n") - F.col("n_pos")).alias("n_neg"))
+
+
+def class_report(matrix: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row: a map of accuracy, macro_f1 and f1_<name> of each class, in the classes' order of `matrix`."""
+    entries = [F.lit("accuracy"), F.col("accuracy"), F.lit("macro_f1"), F.col("macro_f1")]
+    for i, name in enumerate(names):
+        entries += [F.lit(f"f1_{name}"), F.coalesce(F.try_element_at("f1", F.lit(i)), F.lit(0.0))]
+    return f1_report(matrix).select(F.create_map(*entries).alias("metrics"))
+
+
+def binary_report(c: DataFrame, threshold: DataFrame | float | None = None, least: float = 0.8) -> DataFrame:
+    """One row: a map of all metrics of a curve at a threshold: a number, a row of best_threshold (chosen on other rows, as on
+    val for test), or the curve's own best one. Everything is one aggregation over the curve."""
+    if threshold is None:
+        threshold = best_threshold(c)
+    if isinstance(threshold, DataFrame):
+        c = c.crossJoin(F.broadcast(threshold.select(F.col("threshold").alias("_t"))))  # one row
+    else:
+        c = c.withColumn("_t", F.lit(float(threshold)))
+    called, hit = F.col("threshold") >= F.col("_t"), F.col("tp").cast("double")
+    reached = ratio(hit, F.col("n_pos")) >= least
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    s = c.agg(
+        F.max("n_pos").alias("p"), F.max("n_neg").alias("q"), F.max("_t").alias("t"), F.sum(F.col("pos") * (F.col("n_neg") - F.col("fp") + F.col("neg") / 2)).alias("u"),
+        zero(F.sum(F.try_divide("pos", "n_pos") * hit / (F.col("tp") + F.col("fp")))).alias("ap"), zero(F.max(F.when(reached, ratio(hit, F.col("tp") + F.col("fp"))))).alias("pr"),
+        F.sum(F.when(called, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(called, F.col("neg")).otherwise(0)).alias("fp"),
+    )
+    p, q, tp, fp = (F.coalesce(x, F.lit(0)).cast("double") for x in ("p", "q", "tp", "fp"))
+    out = {
+        "auc_roc": F.when((p > 0) & (q > 0), F.try_divide("u", p * q)).otherwise(0.5), "auprc": F.col("ap"), "f1": ratio(2 * tp, tp + fp + p), "accuracy": ratio(tp + q - fp, p + q),
+        "threshold": F.coalesce("t", F.lit(0.5)), f"precision_at_recall_{least:g}": F.col("pr"), "n_pos": p, "n_neg": q,
+    }
+    return s.select(F.create_map(*(x for k, v in out.items() for x in (F.lit(k), v))).alias("metrics"))

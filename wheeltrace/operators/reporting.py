@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import PARSE_ORDER
 from ..functions.numeric import half_even
-from . import intervals, temporal
+from . import intervals
 
 #: Metric names that tables leave out, by part of the name.
 EXCLUDED = ("n_pos", "n_neg", "threshold")
@@ -101,21 +101,81 @@ def positive_score(pred: Column, conf: Column) -> Column:
     return F.when(pred == 1, conf).otherwise(1 - conf)
 
 
-def vehicle_context(windows: DataFrame, samples: DataFrame, *, margin: float = 0.5) -> DataFrame:
-    """(route_id, start_s, end_s, context): a text of each window: speed and steering at start, middle and end, the
-    acceleration's mean and peak over the window and its margins, and flags at the end."""
-    w = windows.select("route_id", "start_s", "end_s").withColumn("_lo", F.col("start_s") - margin).withColumn("_hi", F.col("end_s") + margin)
-    over = intervals.interval_join(samples.select("route_id", "time_s", "a_ego"), w, ["route_id"], t="time_s", low="_lo", high="_hi", bucket=8.0).groupBy("route_id", "start_s", "end_s").agg(half_even(F.avg("a_ego"), 8).alias("mean"), F.max(F.abs("a_ego")).alias("peak"))
-    cols = ["v_ego", "steer", "brake", "left_blinker", "cruise_en", "cc_lat", "lead_status", "d_rel"]
-    probes = w.select("route_id", "start_s", "end_s", F.explode(F.array(*(F.struct(F.lit(n).alias("at"), t.alias("time_s")) for n, t in (("a", F.col("start_s")), ("m", (F.col("start_s") + F.col("end_s")) / 2), ("z", F.col("end_s")))))).alias("p")).select("route_id", "start_s", "end_s", "p.at", "p.time_s")
-    near = temporal.asof_nearest(probes, samples, ["route_id"], cols=cols)
-    snap = near.groupBy("route_id", "start_s", "end_s").agg(*(F.max(F.when(F.col("at") == n, F.struct(*cols))).alias(n) for n in ("a", "m", "z")))
-    j = snap.join(over, ["route_id", "start_s", "end_s"])
-    three = lambda c: F.concat_ws(" → ", *(fixed(F.col(f"{n}.{c}"), 1) for n in "amz"))
-    onoff = lambda c, y, n: F.when(F.col(f"z.{c}") > 0.5, y).otherwise(n)
-    vehicle = F.concat(F.lit("## Vehicle\nSpeed: "), three("v_ego"), F.lit(" m/s | Accel: mean="), fixed(F.col("mean"), 1), F.lit(", peak="), fixed(F.col("peak"), 1), F.lit("\nSteering: "), three("steer"), F.lit(" deg | Brake: "), onoff("brake", "ON", "OFF"), F.lit("\nBlinkers: "), onoff("left_blinker", "left", "none"), F.lit(" | DAS: enabled="), onoff("cruise_en", "yes", "no"), F.lit(", lat_active="), onoff("cc_lat", "yes", "no"))
-    lead = F.concat(F.lit("## Lead Vehicle\nLead #1: "), F.when(F.col("z.lead_status") > 0.5, F.concat(F.lit("detected, dist="), fixed(F.col("z.d_rel"), 1), F.lit("m"))).otherwise("not detected"))
-    return j.select("route_id", "start_s", "end_s", F.concat_ws("\n\n", vehicle, lead).alias("context"))
+def _snap(at: str, name: str) -> Column:
+    return F.col(f"{at}.{name}")
+
+
+def _vehicle_section() -> Column:
+    three = lambda c: F.concat_ws(" → ", *(fixed(_snap(at, c), 1) for at in ("first", "middle", "last")))
+    yes = lambda c, y, n: F.when(_snap("last", c) > 0.5, y).otherwise(n)
+    text = [
+        "## Vehicle (5.0s window)\nSpeed: ", three("vEgo"), " m/s | Accel: mean=", fixed(F.col("mean_aEgo"), 1), ", peak=", fixed(F.col("peak_aEgo"), 1), " m/s²\nSteering: ", three("steeringAngleDeg"),
+        " deg | Brake: ", yes("brakePressed", "ON", "OFF"), " | Gas: ", fixed(_snap("last", "gas"), 2), "\nBlinkers: ", yes("leftBlinker", "left", yes("rightBlinker", "right", "none")),
+        " | DAS: enabled=", yes("cruiseState_enabled", "yes", "no"), ", lat_active=", yes("cc_latActive", "yes", "no"),
+    ]
+    return _joined(text)
+
+
+def _radar_section() -> Column:
+    lead = lambda n, *more: F.when(_snap("last", f"lead{n}_status") > 0.5, _joined(["detected, dist=", fixed(_snap("last", f"lead{n}_dRel"), 1), "m", *more])).otherwise("not detected")
+    return _joined(["## Lead Vehicle\nLead #1: ", lead("One", ", rel_speed=", fixed(_snap("last", "leadOne_vRel"), 1), " m/s"), "\nLead #2: ", lead("Two")])
+
+
+def _driver_section() -> Column:
+    of = lambda c, d: fixed(_snap("last", c), d)
+    return _joined(["## Driver State\nFace: detected (", of("faceProb", 2), ") | Yaw: ", of("face_yaw", 1), "° Pitch: ", of("face_pitch", 1), "°\nEyes: L=", of("leftEyeProb", 2), " R=", of("rightEyeProb", 2)])
+
+
+def _planning_section() -> Column:
+    state = F.coalesce(_snap("last", "laneChangeState").try_cast("double").try_cast("int"), F.lit(0))
+    return _joined(["## Planning\nDesired curvature: ", fixed(_snap("last", "model_desiredCurvature"), 3), " | Lane change: ", F.when(state == 0, "none").otherwise(F.concat(F.lit("state="), state.cast("string"))), "\nLane conf: L=", fixed(_snap("last", "laneLeft_prob"), 2), " R=", fixed(_snap("last", "laneRight_prob"), 2)])
+
+
+def _imu_section() -> Column:
+    axes = lambda kind, d: F.concat_ws(" ", *(_joined([f"{x}=", fixed(F.col(f"mean_{kind}_{x}"), d)]) for x in "xyz"))
+    return _joined(["## IMU\nAccel: ", axes("accel", 1), " | Gyro: ", axes("gyro", 2)])
+
+
+def _joined(parts: Sequence[Column | str]) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+#: Sections in their order: stream, columns that are read at single times, columns that are averaged, text.
+SECTIONS = (
+    ("vehicle_dynamics", ("vEgo", "steeringAngleDeg", "brakePressed", "gas", "leftBlinker", "rightBlinker", "cruiseState_enabled", "cc_latActive"), ("aEgo",), _vehicle_section),
+    ("radar", ("leadOne_status", "leadOne_dRel", "leadOne_vRel", "leadTwo_status", "leadTwo_dRel"), (), _radar_section),
+    ("driver_state", ("faceProb", "face_yaw", "face_pitch", "leftEyeProb", "rightEyeProb"), (), _driver_section),
+    ("planning", ("model_desiredCurvature", "laneChangeState", "laneLeft_prob", "laneRight_prob"), (), _planning_section),
+    ("imu", (), ("accel_x", "accel_y", "accel_z", "gyro_x", "gyro_y", "gyro_z"), _imu_section),
+)
+UNAVAILABLE = "[Sensor data unavailable]"
+
+
+def sensor_context(windows: DataFrame, streams: Mapping[str, DataFrame], *, margin: float = 0.5) -> DataFrame:
+    """(route_id, start_s, end_s, context): a text of each window, with a section for each stream that has rows in the window and
+    its margins, in the order of SECTIONS. Values at the start, middle and end are those of the nearest such row, on a tie the one
+    that comes first in its stream (i); streams have route_id, i, time_s and their modality's columns, of which missing ones take 0.
+
+    One range join and one aggregation with partial sums for each stream; the sections of a window, five at most, meet in one more."""
+    w = windows.select("route_id", "start_s", "end_s").distinct()
+    probe = w.withColumn("_lo", F.col("start_s") - margin).withColumn("_hi", F.col("end_s") + margin)
+    times = {"first": F.col("start_s"), "middle": (F.col("start_s") + F.col("end_s")) / 2, "last": F.col("end_s")}
+    keys, sections = ["route_id", "start_s", "end_s"], None
+    for place, (name, single, averaged, text) in enumerate(SECTIONS):
+        if name not in streams:
+            continue
+        have = set(streams[name].columns)
+        rows = streams[name].select("route_id", "i", "time_s", *(F.col(c) if c in have else F.lit(0.0).alias(c) for c in (*single, *averaged)))
+        near = intervals.interval_join(rows, probe, ["route_id"], t="time_s", low="_lo", high="_hi", bucket=8.0)
+        means = [half_even(F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None))), 8).alias(f"mean_{c}") for c in averaged]
+        peaks = [F.max(F.nanvl(F.abs(c).cast("double"), F.lit(None))).alias(f"peak_{c}") for c in averaged if c == "aEgo"]
+        snaps = [F.min_by(F.struct(*single), F.struct(F.abs(F.col("time_s") - t), "i")).alias(at) for at, t in times.items()] if single else []
+        one = near.groupBy(*keys).agg(*means, *peaks, *snaps).select(*keys, F.struct(F.lit(place).alias("place"), text().alias("text")).alias("_s"))
+        sections = one if sections is None else sections.unionAll(one)
+    if sections is None:
+        return w.withColumn("context", F.lit(UNAVAILABLE))
+    whole = sections.groupBy(*keys).agg(F.array_sort(F.collect_list("_s")).alias("_s")).select(*keys, F.array_join(F.transform("_s", lambda s: s.text), "\n\n").alias("context"))
+    return w.join(whole, keys, "left").select(*keys, F.coalesce("context", F.lit(UNAVAILABLE)).alias("context"))
 
 
 def road_context(row_type: Column, limit: Column, lanes: Column, highway: Column, near: Column, dist: Column, ramp: Column, curvature: Column, rate: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Thresholds
+from ..config import MODALITIES, SIGNAL_DEFAULTS, Thresholds, columns_of
 from ..functions import geo
 from ..functions.numeric import half_even
 from ..operators import features, gps, intervals, labels, metrics, reporting, roadgraph, temporal
@@ -16,6 +16,7 @@ from ..sources import views
 TH = Thresholds(sample_rate=2.0)
 GRAPH = replace(TH, intersection_degree=5)
 HZ = 4
+MODALITY = "Full-Struct"
 CLASSES = ("click", "error", "purchase", "refund", "signup", "view")
 
 
@@ -249,9 +250,44 @@ def vlm_parse_binary(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", pred.alias("prediction"), conf.alias("confidence"), half_even(reporting.positive_score(pred, conf), 6).alias("score"))
 
 
+def _streams(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The uniform view's signals under the streams' own names; some streams are on slower clocks, and some routes lack them."""
+    u = views.uniform(spark, d).withColumns({
+        "vEgo": F.col("v_ego"), "aEgo": F.col("a_ego"), "steeringAngleDeg": F.col("steer"), "brakePressed": F.col("brake"), "gas": F.col("k") / 128, "leftBlinker": F.col("left_blinker"), "rightBlinker": (F.col("k") % 5 == 0).cast("int"),
+        "cruiseState_enabled": F.col("cruise_en"), "cc_latActive": F.col("cc_lat"), "leadOne_status": F.col("lead_status"), "leadOne_dRel": F.col("d_rel"), "leadOne_vRel": (F.col("k") - 50) / 8, "leadTwo_status": (F.col("k") % 4 == 1).cast("int"),
+        "leadTwo_dRel": F.col("d_rel") * 2, "faceProb": F.col("k") / 128, "face_yaw": (F.col("k") - 50) / 8, "face_pitch": (50 - F.col("k")) / 16, "leftEyeProb": F.col("k") / 256, "rightEyeProb": F.col("k") / 512,
+        "model_desiredCurvature": (F.col("k") - 50) / 1024, "laneChangeState": F.col("lcs") * 2, "laneLeft_prob": F.col("k") / 128, "laneRight_prob": (100 - F.col("k")) / 128,
+        **{f"accel_{x}": (F.col("k") - n) / 64 for x, n in (("x", 50), ("y", 20), ("z", 90))}, **{f"gyro_{x}": (F.col("k") - n) / 512 for x, n in (("x", 50), ("y", 20), ("z", 90))},
+    })
+    rows = {"vehicle_dynamics": F.lit(True), "radar": F.col("i") % 2 == 0, "driver_state": F.col("route_id") % 5 != 0, "planning": F.col("i") % 3 == 0, "imu": F.col("route_id") % 2 == 0}
+    return {name: u.filter((F.col("route_id") % 11 != 0) & rows[name]).select("route_id", "i", "time_s", *(c for c in MODALITIES[name] if c in u.columns)) for name in rows}
+
+
 def text_summary(spark: SparkSession, d: str) -> DataFrame:
     w = _windows(spark, d).withColumn("end_s", F.col("start_s") + 5.0)
-    return reporting.vehicle_context(w, views.uniform(spark, d))
+    return reporting.sensor_context(w, _streams(spark, d))
+
+
+def modality_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The input columns of a configuration, of the uniform view's signals; those that it lacks take their defaults."""
+    streams = _streams(spark, d)
+    wide = streams["vehicle_dynamics"]
+    for name in ("driver_state", "imu"):
+        wide = wide.join(streams[name], ["route_id", "i", "time_s"], "left")
+    return features.select_configuration(wide, ["route_id", "i"], MODALITY)
+
+
+def metric_map(spark: SparkSession, d: str) -> DataFrame:
+    """All metrics of the odd routes at the threshold that the even ones choose, a row for each."""
+    e = _scored(spark, d)
+    val, test = e.filter("route_id % 2 = 0"), e.filter("route_id % 2 = 1")
+    chosen = metrics.best_threshold(metrics.curve(val, "y", "s"))
+    found = metrics.binary_report(metrics.curve(test, "y", "s"), chosen)
+    return _round(found.select(F.explode("metrics").alias("metric", "value")), "value")
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return views.irregular(spark, d).select("route_id", (F.col("event_type") == "purchase").cast("int").alias("y"), (F.col("k") / 100).alias("s")).filter("s is not null")
 
 
 def experiment_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -276,7 +312,7 @@ _ANSWERS = ("", " Stopped", " lane change", " laneCHANGE then turning", " brakin
 
 QUERIES = {
     f.__name__: f
-    for f in (resample_linear_grid, window_slice_padded, window_stats, norm_stats, zscore_features, class_weights, pos_weight, gps_clean, gps_quality, gps_bbox, savgol_smooth, gps_trajectory, maneuver_lookahead, sparse_ffill, road_attributes, bounded_paths, intersections_ahead, trace_context, intersection_distance, nearest_edge, null_group_find, coverage_recheck, done_antijoin, upsert_partition, metric_confusion, metric_f1, metric_pr_curve, metric_auc, metric_ap, metric_best_threshold, metric_p_at_r, metric_at_threshold, seed_aggregate, configuration_counts, report_pivot, segment_timing, frame_times, feature_validation, vlm_parse_label, vlm_parse_binary, text_summary, experiment_matrix, pca_project, lr_fit)
+    for f in (resample_linear_grid, window_slice_padded, window_stats, norm_stats, zscore_features, class_weights, pos_weight, gps_clean, gps_quality, gps_bbox, savgol_smooth, gps_trajectory, maneuver_lookahead, sparse_ffill, road_attributes, bounded_paths, intersections_ahead, trace_context, intersection_distance, nearest_edge, null_group_find, coverage_recheck, done_antijoin, upsert_partition, metric_confusion, metric_f1, metric_pr_curve, metric_auc, metric_ap, metric_best_threshold, metric_p_at_r, metric_at_threshold, seed_aggregate, configuration_counts, report_pivot, segment_timing, frame_times, feature_validation, vlm_parse_label, vlm_parse_binary, text_summary, modality_columns, metric_map, experiment_matrix, pca_project, lr_fit)
 }
 
 # The same in SQL.
@@ -354,8 +390,22 @@ _SEEDS = views.with_views("ev") + """,
 rs AS (SELECT event_type AS task, CASE WHEN k % 2 = 0 THEN 'struct' ELSE 'video' END AS modality, 'gru' AS model, 'cross_driver' AS split, 3 AS horizon, value / 500 AS f1, CASE WHEN k = 5 THEN NULL ELSE k / 100.0::DOUBLE END AS auc FROM ev),
 lg AS (SELECT task, modality, model, split, horizon, 'f1' AS metric, f1 AS v FROM rs UNION ALL SELECT task, modality, model, split, horizon, 'auc_roc', auc FROM rs),
 ag AS (SELECT task, modality, model, split, horizon, metric, avg(v) AS mean, stddev_pop(v) AS std FROM lg WHERE v IS NOT NULL GROUP BY ALL), sn AS (SELECT task, modality, count(*) AS n_seeds FROM rs GROUP BY ALL)"""
-_SNAP = lambda n, t: f"(SELECT w.route_id, w.start_s, arg_min(u, (abs(u.time_s - {t}), u.time_s, u.i)) AS {n} FROM win w JOIN tel_u u USING (route_id) GROUP BY w.route_id, w.start_s)"
-_THREE = lambda c: " || ' → ' || ".join(_P(f"{n}.{c}", 1) for n in "amz")
+_AT = lambda n, t: f"arg_min(en, (abs(time_s - {t}), i)) AS {n}"
+_N = lambda x, d: f"COALESCE({_P(x, d)}, 'N/A')"
+_THREE = lambda c: " || ' → ' || ".join(_N(f"{n}.{c}", 1) for n in "amz")
+_FROM_VIEW = {
+    "vEgo": "v_ego", "aEgo": "a_ego", "steeringAngleDeg": "steer", "gas": "k / 128.0::DOUBLE", "brake": "brake", "brakePressed": "brake", "cruiseState_enabled": "cruise_en", "cc_latActive": "cc_lat", "leftBlinker": "left_blinker", "rightBlinker": "CAST(k % 5 = 0 AS INTEGER)",
+    "face_yaw": "CASE WHEN route_id % 5 <> 0 THEN (k - 50) / 8.0::DOUBLE END", "face_pitch": "CASE WHEN route_id % 5 <> 0 THEN (50 - k) / 16.0::DOUBLE END", "faceProb": "CASE WHEN route_id % 5 <> 0 THEN k / 128.0::DOUBLE END",
+    "leftEyeProb": "CASE WHEN route_id % 5 <> 0 THEN k / 256.0::DOUBLE END", "rightEyeProb": "CASE WHEN route_id % 5 <> 0 THEN k / 512.0::DOUBLE END",
+    **{f"{kind}_{x}": f"CASE WHEN route_id % 2 = 0 THEN (k - {n}) / {by}.0::DOUBLE END" for kind, by in (("accel", 64), ("gyro", 512)) for x, n in (("x", 50), ("y", 20), ("z", 90))},
+}
+_SIGNAL = lambda c: f"COALESCE(CAST({_FROM_VIEW.get(c, 'NULL')} AS DOUBLE), {SIGNAL_DEFAULTS.get(c, 0.0)}::DOUBLE)"
+_BINARY = views.with_views("ev") + """,
+sc AS (SELECT route_id, CAST(event_type = 'purchase' AS INTEGER) AS y, k / 100.0::DOUBLE AS s FROM ev WHERE k IS NOT NULL),
+va AS (SELECT * FROM sc WHERE route_id % 2 = 0), te AS (SELECT * FROM sc WHERE route_id % 2 = 1),
+tn AS (SELECT count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg FROM te),
+th AS (SELECT c.s AS t FROM (SELECT DISTINCT s FROM va) c JOIN va ON true GROUP BY c.s ORDER BY 2.0::DOUBLE * count(*) FILTER (va.y = 1 AND va.s >= c.s) / (count(*) FILTER (va.y = 1) + count(*) FILTER (va.s >= c.s)) DESC, c.s LIMIT 1),
+tc AS (SELECT c.s, count(*) FILTER (te.s = c.s AND te.y = 1) AS p, count(*) FILTER (te.s >= c.s AND te.y = 1) AS tp, count(*) FILTER (te.s >= c.s AND te.y = 0) AS fp FROM (SELECT DISTINCT s FROM te) c JOIN te ON true GROUP BY c.s)"""
 ORACLE_SQL = {
     "resample_linear_grid": views.with_views("tel_x") + f""",
 b AS (SELECT route_id, min(time_s) AS t0, max(time_s) AS t1 FROM tel_x GROUP BY route_id),
@@ -376,8 +426,10 @@ q1 AS (SELECT route_id, min(source) AS src, count(*) AS v, median(gps_hacc) AS m
 SELECT route_id, COALESCE(src, 'none') AS gps_source, n AS total_rows, COALESCE(v, 0) AS valid_rows, {_H("COALESCE(v / n, 0)", 4)} AS coverage_frac, {_H("m", 2)} AS median_hacc, COALESCE(j, 0) AS n_jumps, CASE WHEN v IS NULL THEN 'none' WHEN v / n > 0.9::DOUBLE AND j < 5 THEN 'good' WHEN v / n > 0.5 THEN 'moderate' ELSE 'poor' END AS quality_tier, {_H("la", 6)} AS lat_center, {_H("lo", 6)} AS lon_center, COALESCE(v, 0) >= 20 AS enough_rows FROM q2 LEFT JOIN q1 USING (route_id)""",
     "gps_bbox": _CLEAN + f""",
 f AS (SELECT route_id, quantile_cont(lat, [0.05, 0.95]) AS qa, quantile_cont(lon, [0.05, 0.95]) AS qo FROM cl GROUP BY route_id),
-k AS (SELECT cl.* FROM cl JOIN f USING (route_id) WHERE lat BETWEEN qa[1] - 1.5::DOUBLE * (qa[2] - qa[1]) AND qa[2] + 1.5::DOUBLE * (qa[2] - qa[1]) AND lon BETWEEN qo[1] - 1.5::DOUBLE * (qo[2] - qo[1]) AND qo[2] + 1.5::DOUBLE * (qo[2] - qo[1]))
-SELECT route_id, count(*) AS n_points, {_H("max(lat) + 500.0::DOUBLE / 111320.0::DOUBLE", 6)} AS north, {_H("min(lat) - 500.0::DOUBLE / 111320.0::DOUBLE", 6)} AS south, {_H("max(lon) + 500.0::DOUBLE / (111320.0::DOUBLE * cos(radians(avg(lat))))", 6)} AS east, {_H("min(lon) - 500.0::DOUBLE / (111320.0::DOUBLE * cos(radians(avg(lat))))", 6)} AS west FROM k GROUP BY route_id HAVING count(*) >= 10""",
+k AS (SELECT cl.* FROM cl JOIN f USING (route_id) WHERE lat BETWEEN qa[1] - 1.5::DOUBLE * (qa[2] - qa[1]) AND qa[2] + 1.5::DOUBLE * (qa[2] - qa[1]) AND lon BETWEEN qo[1] - 1.5::DOUBLE * (qo[2] - qo[1]) AND qo[2] + 1.5::DOUBLE * (qo[2] - qo[1])),
+b AS (SELECT route_id, count(*) AS n_points, max(lat) + 500.0::DOUBLE / 111320.0::DOUBLE AS n, min(lat) - 500.0::DOUBLE / 111320.0::DOUBLE AS s, max(lon) + 500.0::DOUBLE / (111320.0::DOUBLE * cos(radians(avg(lat)))) AS e, min(lon) - 500.0::DOUBLE / (111320.0::DOUBLE * cos(radians(avg(lat)))) AS w, cos(radians(avg(lat))) AS f, median(lat) AS y, median(lon) AS x FROM k GROUP BY route_id HAVING count(*) >= 10),
+c AS (SELECT *, (n - s) * 111.32::DOUBLE > 50 OR (e - w) * 111.32::DOUBLE * f > 50 AS far, 5000.0::DOUBLE / 111320.0::DOUBLE AS up, 5000.0::DOUBLE / (111320.0::DOUBLE * cos(radians(y))) AS aside FROM b)
+SELECT route_id, n_points, {_H("CASE WHEN far THEN y + up ELSE n END", 6)} AS north, {_H("CASE WHEN far THEN y - up ELSE s END", 6)} AS south, {_H("CASE WHEN far THEN x + aside ELSE e END", 6)} AS east, {_H("CASE WHEN far THEN x - aside ELSE w END", 6)} AS west FROM c""",
     "savgol_smooth": _SMOOTH + f" SELECT route_id, i, {_H('lat_s', 7)} AS lat_s, {_H('lon_s', 7)} AS lon_s FROM sm",
     "gps_trajectory": _TRAJ + " SELECT * FROM traj",
     "maneuver_lookahead": _TRAJ + f""",
@@ -451,10 +503,30 @@ b AS (SELECT conv_id, turn, CASE WHEN t IS NOT NULL THEN COALESCE(TRY_CAST(COALE
  CASE WHEN t IS NOT NULL THEN COALESCE(TRY_CAST(COALESCE(nullif(regexp_extract(t, '\{[^}]*"prediction"\s*:\s*([01])[^}]*"confidence"\s*:\s*([\d.]+)[^}]*\}', 2), ''), nullif(regexp_extract(t, '\{[^}]*"confidence"\s*:\s*([\d.]+)[^}]*"prediction"\s*:\s*([01])[^}]*\}', 1), '')) AS DOUBLE), 0.5::DOUBLE) END AS confidence FROM a)
 SELECT conv_id, turn, prediction, confidence, round_even(CASE WHEN prediction = 1 THEN confidence ELSE 1 - confidence END * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE AS score FROM b""",
     "text_summary": _WIN + f""",
-sa AS {_SNAP("a", "w.start_s")}, sm AS {_SNAP("m", "(w.start_s + 2.5)")}, sz AS {_SNAP("z", "(w.start_s + 5.0)")},
-ov AS (SELECT w.route_id, w.start_s, {_H("avg(u.a_ego)", 8)} AS mean, max(abs(u.a_ego)) AS peak FROM win w JOIN tel_u u ON u.route_id = w.route_id AND u.time_s BETWEEN w.start_s - 0.5 AND w.start_s + 5.5 GROUP BY w.route_id, w.start_s)
-SELECT route_id, start_s, start_s + 5.0::DOUBLE AS end_s, '## Vehicle\nSpeed: ' || {_THREE("v_ego")} || ' m/s | Accel: mean=' || {_P("mean", 1)} || ', peak=' || {_P("peak", 1)} || '\nSteering: ' || {_THREE("steer")} || ' deg | Brake: ' || CASE WHEN z.brake > 0.5 THEN 'ON' ELSE 'OFF' END || '\nBlinkers: ' || CASE WHEN z.left_blinker > 0.5 THEN 'left' ELSE 'none' END || ' | DAS: enabled=' || CASE WHEN z.cruise_en > 0.5 THEN 'yes' ELSE 'no' END || ', lat_active=' || CASE WHEN z.cc_lat > 0.5 THEN 'yes' ELSE 'no' END
- || '\n\n## Lead Vehicle\nLead #1: ' || CASE WHEN z.lead_status > 0.5 THEN 'detected, dist=' || {_P("z.d_rel", 1)} || 'm' ELSE 'not detected' END AS context FROM sa JOIN sm USING (route_id, start_s) JOIN sz USING (route_id, start_s) JOIN ov USING (route_id, start_s)""",
+en AS (SELECT w.start_s, u.* FROM win w JOIN tel_u u ON u.route_id = w.route_id AND u.time_s BETWEEN w.start_s - 0.5 AND w.start_s + 5.5 WHERE w.route_id % 11 <> 0),
+ve AS (SELECT route_id, start_s, {_H("avg(a_ego)", 8)} AS mean, max(abs(a_ego)) AS peak, {_AT("a", "start_s")}, {_AT("m", "(start_s + 2.5)")}, {_AT("z", "(start_s + 5.0)")} FROM en GROUP BY route_id, start_s),
+ra AS (SELECT route_id, start_s, {_AT("z", "(start_s + 5.0)")} FROM en WHERE i % 2 = 0 GROUP BY route_id, start_s),
+pl AS (SELECT route_id, start_s, {_AT("z", "(start_s + 5.0)")} FROM en WHERE i % 3 = 0 GROUP BY route_id, start_s),
+im AS (SELECT route_id, start_s, avg(k) AS k FROM en WHERE route_id % 2 = 0 GROUP BY route_id, start_s),
+tx AS (
+SELECT route_id, start_s, 0 AS place, '## Vehicle (5.0s window)\nSpeed: ' || {_THREE("v_ego")} || ' m/s | Accel: mean=' || {_N("mean", 1)} || ', peak=' || {_N("peak", 1)} || ' m/s²\nSteering: ' || {_THREE("steer")} || ' deg | Brake: ' || CASE WHEN z.brake > 0.5 THEN 'ON' ELSE 'OFF' END || ' | Gas: ' || {_N("z.k / 128.0::DOUBLE", 2)}
+ || '\nBlinkers: ' || CASE WHEN z.left_blinker > 0.5 THEN 'left' WHEN z.k % 5 = 0 THEN 'right' ELSE 'none' END || ' | DAS: enabled=' || CASE WHEN z.cruise_en > 0.5 THEN 'yes' ELSE 'no' END || ', lat_active=' || CASE WHEN z.cc_lat > 0.5 THEN 'yes' ELSE 'no' END AS t FROM ve
+UNION ALL SELECT route_id, start_s, 1, '## Lead Vehicle\nLead #1: ' || CASE WHEN z.lead_status > 0.5 THEN 'detected, dist=' || {_N("z.d_rel", 1)} || 'm, rel_speed=' || {_N("(z.k - 50) / 8.0::DOUBLE", 1)} || ' m/s' ELSE 'not detected' END || '\nLead #2: ' || CASE WHEN z.k % 4 = 1 THEN 'detected, dist=' || {_N("z.d_rel * 2", 1)} || 'm' ELSE 'not detected' END FROM ra
+UNION ALL SELECT route_id, start_s, 2, '## Driver State\nFace: detected (' || {_N("z.k / 128.0::DOUBLE", 2)} || ') | Yaw: ' || {_N("(z.k - 50) / 8.0::DOUBLE", 1)} || '° Pitch: ' || {_N("(50 - z.k) / 16.0::DOUBLE", 1)} || '°\nEyes: L=' || {_N("z.k / 256.0::DOUBLE", 2)} || ' R=' || {_N("z.k / 512.0::DOUBLE", 2)} FROM ve WHERE route_id % 5 <> 0
+UNION ALL SELECT route_id, start_s, 3, '## Planning\nDesired curvature: ' || {_N("(z.k - 50) / 1024.0::DOUBLE", 3)} || ' | Lane change: ' || CASE WHEN z.lcs > 0 THEN 'state=2' ELSE 'none' END || '\nLane conf: L=' || {_N("z.k / 128.0::DOUBLE", 2)} || ' R=' || {_N("(100 - z.k) / 128.0::DOUBLE", 2)} FROM pl
+UNION ALL SELECT route_id, start_s, 4, '## IMU\nAccel: ' || {" || ' ' || ".join(f"'{x}=' || " + _N(_H(f"(k - {n}) / 64.0::DOUBLE", 8), 1) for x, n in (("x", 50), ("y", 20), ("z", 90)))} || ' | Gyro: ' || {" || ' ' || ".join(f"'{x}=' || " + _N(_H(f"(k - {n}) / 512.0::DOUBLE", 8), 2) for x, n in (("x", 50), ("y", 20), ("z", 90)))} FROM im),
+jo AS (SELECT route_id, start_s, string_agg(t, '\n\n' ORDER BY place) AS t FROM tx GROUP BY route_id, start_s)
+SELECT w.route_id, w.start_s, w.start_s + 5.0::DOUBLE AS end_s, COALESCE(t, '[Sensor data unavailable]') AS context FROM win w LEFT JOIN jo ON jo.route_id = w.route_id AND jo.start_s = w.start_s""",
+    "modality_columns": views.with_views("tel_u") + " SELECT route_id, i, " + ", ".join(f"{_SIGNAL(c)} AS {c}" for c in columns_of(MODALITY)) + " FROM tel_u WHERE route_id % 11 <> 0",
+    "metric_map": _BINARY + f"""
+SELECT metric, {_H("CAST(value AS DOUBLE)", 6)} AS value FROM (
+ SELECT 'auc_roc' AS metric, (SELECT count(*) FILTER (a.s > b.s) + count(*) FILTER (a.s = b.s) / 2.0::DOUBLE FROM te a, te b WHERE a.y = 1 AND b.y = 0) / (n_pos * n_neg) AS value FROM tn
+ UNION ALL SELECT 'auprc', (SELECT sum(p * tp / (tp + fp)) FROM tc) / n_pos FROM tn
+ UNION ALL SELECT 'f1', 2.0::DOUBLE * count(*) FILTER (y = 1 AND s >= t) / (count(*) FILTER (y = 1) + count(*) FILTER (s >= t)) FROM te, th
+ UNION ALL SELECT 'accuracy', count(*) FILTER ((y = 1) = (s >= t)) / CAST(count(*) AS DOUBLE) FROM te, th
+ UNION ALL SELECT 'threshold', t FROM th
+ UNION ALL SELECT 'precision_at_recall_0.8', max(tp / CAST(tp + fp AS DOUBLE)) FROM tc, tn WHERE tp >= 0.8::DOUBLE * n_pos
+ UNION ALL SELECT 'n_pos', n_pos FROM tn UNION ALL SELECT 'n_neg', n_neg FROM tn)""",
     "experiment_matrix": views.with_views("ev") + """,
 dn AS (SELECT DISTINCT 'task' || (k % 3 + 1) AS task, event_type AS model, CASE WHEN k % 2 = 0 THEN 'struct' ELSE 'video' END AS modality FROM ev WHERE k < 4)
 SELECT t.task, m.model, o.modality FROM (VALUES ('task1'), ('task2'), ('task3')) t(task), (VALUES ('click'), ('view'), ('gru')) m(model), (VALUES ('struct'), ('video'), ('gps')) o(modality) WHERE NOT EXISTS (SELECT 1 FROM dn WHERE dn.task = t.task AND dn.model = m.model AND dn.modality = o.modality)""",

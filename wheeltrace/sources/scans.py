@@ -108,6 +108,11 @@ def run_results(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(RESULT).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "results.json").json(root)
 
 
-def within_box(nodes: DataFrame, box: DataFrame) -> DataFrame:
-    """Road nodes (x, y as degrees) inside each route's box; boxes are one row for each route."""
-    return nodes.join(box, (nodes.x.between(box.west, box.east)) & (nodes.y.between(box.south, box.north)))
+def within_box(nodes: DataFrame, box: DataFrame, cell: float = 0.05) -> DataFrame:
+    """Road nodes (x, y as degrees) inside each route's box; boxes are one row for each route. Boxes go to all cells of a grid
+    that they touch, nodes to one, so this is an equal join."""
+    at = lambda c: F.floor(F.col(c) / cell)
+    span = lambda a, b: F.explode(F.sequence(at(a), at(b)))
+    b = box.withColumn("_cx", span("west", "east")).withColumn("_cy", span("south", "north"))
+    inside = F.col("x").between(F.col("west"), F.col("east")) & F.col("y").between(F.col("south"), F.col("north"))
+    return nodes.withColumn("_cx", at("x")).withColumn("_cy", at("y")).join(b, ["_cx", "_cy"]).filter(inside).drop("_cx", "_cy")
