@@ -38,7 +38,7 @@ BANDS, ROWS = 10, 3
 BUCKETS = 1 << 18  #: of the table of document frequencies
 BLOCK = 1 << 15
 TILE_MINOR, TILE_ALL = 250_000, 400_000  #: shingles of a tile's rows outside the largest component, and of all its rows
-SALTS = 16  #: parts over which the members of one bucket are dealt in joins
+SALTS = 16  #: parts over which the rows of one bucket or class are dealt in joins
 _U16 = 1 << 16
 
 
@@ -233,11 +233,11 @@ def row_id(id_col: str, text: str):
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.coalesce(F.col(text), F.lit("\0")))
 
 
-def by_bucket(members: DataFrame, facts: DataFrame) -> DataFrame:
-    """members with the facts of their bucket (one row each): members are dealt over SALTS parts of a bucket and facts go to all
-    of them, so that the members of one bucket meet in no single task."""
-    dealt = members.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), "node"), F.lit(SALTS)).cast("int"))
-    return dealt.join(facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["band", "bucket", "_salt"]).drop("_salt")
+def dealt_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """rows with the facts of their keys (one row each): the rows of a key are dealt over SALTS parts and its facts go to all of
+    them, so that the rows of one key meet in no single task."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), by), F.lit(SALTS)).cast("int"))
+    return dealt.join(facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "_salt"], how).drop("_salt")
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -249,7 +249,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", thre
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     members = nodes.select("node", "size", F.posexplode("bands").alias("band", "bucket"))
     leads = members.groupBy("band", "bucket").agg(F.min("node").alias("lead"), F.count("*").alias("held")).filter("held > 1").drop("held")
-    members = scratch(by_bucket(members, leads), "buckets")
+    members = scratch(dealt_join(members, leads, ["band", "bucket"], "node"), "buckets")
     pairs = members.filter("node <> lead").select("node", "lead").distinct()
     busy = members.select("node").distinct()
     keys = nodes.select("node", "key").join(busy, "node")
@@ -277,7 +277,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", thre
     parts = members.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     major = parts.groupBy("band", "bucket").agg(F.max(F.struct("n", "component", "size")).alias("m"), F.count("*").alias("parts"), F.sum("size").alias("held")).filter("parts > 1")
     major = major.select("band", "bucket", F.col("m.component").alias("major"), F.ceil(F.col("held") / TILE_ALL).cast("int").alias("ta"), F.ceil((F.col("held") - F.col("m.size")) / TILE_MINOR).cast("int").alias("tm"))
-    open_ = by_bucket(members, major)
+    open_ = dealt_join(members, major, ["band", "bucket"], "node")
     salt = lambda n, by: F.pmod(F.xxhash64(F.lit(by), "node"), F.col(n)).cast("int")
     every = open_.select("band", "bucket", "node", "component", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("tm") - 1)).alias("i"), salt("ta", "all").alias("j"))
     minor = open_.filter("component <> major").select("band", "bucket", "node", "component", F.lit(True).alias("minor"), salt("tm", "minor").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ta") - 1)).alias("j"))
@@ -299,8 +299,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", thre
     found = whole.union(single)
     rows = rows.select("doc_id", "rid", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = scratch(rows.select("doc_id", "rid", "component"), "components")
-    least = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return scratch.last(rows.join(least, "component", "left").select("doc_id", "rid", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "component"), "classes")
+    least = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).filter("class_size > 1")
+    return scratch.last(dealt_join(rows, least, ["component"], "rid", "left").select("doc_id", "rid", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "component"), "classes")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
