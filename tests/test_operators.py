@@ -1,7 +1,7 @@
 """Metrics on known inputs, numeric helpers, splits, samples, geography, scans and sinks."""
 
+import datetime as dt
 import json
-import math
 
 import numpy as np
 import pytest
@@ -176,7 +176,46 @@ def test_streaming_transitions(spark, tmp_path):
     finally:
         q.stop()
     assert sorted((r.time_s, r.state) for r in spark.sql("select * from live").collect()) == [(4.0, 1), (9.0, 0)]
-    assert math.isfinite(1.0)
+
+
+def test_streaming_transitions_wait_for_late_samples_and_expire(spark, tmp_path):
+    from wheeltrace.streaming import transitions
+
+    schema = "route_id long, time_s double, state int, ts timestamp"
+    on = {4, 5, 6, 7, 8, 13, 14}
+    batches = [[0, 1, 2, 4, 5], [3, 6, 7, 8], [10, 9, 11, 12, 2], [13, 14]]  # 3 and 9 come late, 2 comes again and far too late
+    rows = [[(1, float(i), int(i in on), dt.datetime.fromtimestamp(i, dt.UTC)) for i in b] for b in batches]
+    rows.append([(2, 100.0, 0, dt.datetime.fromtimestamp(100, dt.UTC))])  # the watermark leaves route 1 behind, which still holds 13 and 14
+    (tmp_path / "in").mkdir()
+    live = transitions.live_transitions(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), min_samples=2, late_s=3.0, ts="ts", idle="10 seconds")
+    q = live.writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    seen = []
+    try:
+        for k, own in enumerate(rows):
+            spark.createDataFrame(own, schema).coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
+            for f in (tmp_path / f"b{k}").glob("*.parquet"):
+                f.rename(tmp_path / "in" / f"{k}.parquet")
+            q.processAllAvailable()
+            seen.append(sorted((r.time_s, r.state) for r in spark.sql("select * from late").collect()))
+    finally:
+        q.stop()
+    assert seen[-2] == [(4.0, 1), (9.0, 0)]
+    assert seen[-1] == [(4.0, 1), (9.0, 0), (13.0, 1)]
+
+
+def test_signal_files_are_split_and_quoted_cells_read(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    n = 4000
+    lines = ['"note, of the car",leadOne_dRel,time_s,leadOne_status', *(f'"x ""{i}"", y",{i}.5,{i * 0.05:.2f},"1"' for i in range(n)), "", 'z,1,never,1']
+    (tmp_path / "a" / "radar.csv").write_text("\r\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = scans.signals(spark, str(tmp_path), "radar").orderBy("i").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.i, round(r.time_s, 2), r.leadOne_dRel, r.leadOne_status) for r in got] == [(i, round(i * 0.05, 2), i + 0.5, 1.0) for i in range(n)]
+    assert one(spark, c=scans.cells(F.lit('"a ""b"", c",,d'))).c == ['a "b", c', "", "d"]
 
 
 def test_road_text_and_messages(spark):

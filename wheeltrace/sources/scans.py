@@ -45,15 +45,25 @@ def conform(df: DataFrame, columns: Sequence[str], defaults: Mapping[str, float]
     return df.select(*(c for c in df.columns if c not in columns), *((number(F.col(c), defaults.get(c, 0.0)) if c in have else F.lit(defaults.get(c, 0.0))).alias(c) for c in columns))
 
 
+def cells(line: Column) -> Column:
+    """The cells of a line of comma-separated values; quotes around a cell go, doubled ones inside become one."""
+    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return F.transform(parts, lambda x: F.when(x.rlike(r'^\s*".*"\s*$'), F.replace(F.regexp_replace(x, r'^\s*"|"\s*$', ""), F.lit('""'), F.lit('"'))).otherwise(x))
+
+
 def signals(spark: SparkSession, root: str, modality: str) -> DataFrame:
     """(dir, i, time_s, columns) of one modality's files below root. Headers are matched by name; rows without a readable
-    time go. i is the row's place in its file."""
+    time go. i is the row's place in its file.
+
+    Files are read line by line, so a large one is split over tasks; a quoted cell may hold commas, but no line break. The
+    first line of a file reaches its others through one running window by file."""
     columns = MODALITIES[modality]
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{modality}.csv").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = raw.select("path", F.filter(F.split("value", r"\r?\n"), lambda x: x != "").alias("rows"))
-    cells = lines.select("path", F.split(F.element_at("rows", 1), ",").alias("head"), F.posexplode(F.slice("rows", 2, F.greatest(F.lit(0), F.size("rows") - 1))).alias("i", "row"))
-    cell = lambda c: F.try_element_at(F.split("row", ",", -1), F.nullif(F.array_position("head", c), F.lit(0)).cast("int"))
-    table = cells.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "i", cell("time_s").try_cast("double").alias("time_s"), *(cell(c).alias(c) for c in columns))
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{modality}.csv").text(root).filter("value <> ''")
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), cells(F.col("value")).alias("row"))
+    w = W.partitionBy("path").orderBy("_block", "_at")
+    numbered = lines.withColumn("head", F.first("row").over(w)).withColumn("i", F.row_number().over(w) - 2).filter("i >= 0")
+    cell = lambda c: F.try_element_at("row", F.nullif(F.array_position("head", c), F.lit(0)).cast("int"))
+    table = numbered.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "i", cell("time_s").try_cast("double").alias("time_s"), *(cell(c).alias(c) for c in columns))
     if "laneChangeState" in columns:  # an enumeration: 0 for off and empty, else 1
         state = F.coalesce(F.nullif("laneChangeState", F.lit("")), F.lit("off"))
         table = table.withColumn("laneChangeState", F.when(state == "off", 0.0).otherwise(1.0))
