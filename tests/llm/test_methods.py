@@ -22,8 +22,9 @@ def run(spark, data, name):
     return registry.QUERIES[name](spark, data).toPandas()
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+def test_one_query_for_each_operator():
+    found = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES)
+    assert found == list(range(1, len(found) + 1)) and len(found) >= 10
 
 
 # 1
