@@ -96,7 +96,6 @@ def test_packing_round_trip(spark, data, texts):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     got = run(spark, data, "op2_packing")
     for r in texts.itertuples():
         ids = np.array([*exact.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
@@ -147,14 +146,17 @@ def test_quick_encoder_equals_exact():
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
-    encode = packing.byte_bpe()
+    encode, plain = packing.byte_bpe(), packing.byte_bpe(special=False)
     rng = random.Random(7)
     ranges = [(0, 0x20), (0x20, 0x7F), (0x7F, 0xA0), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x530), (0x590, 0x700), (0x900, 0xE00), (0xE00, 0x1200), (0x1E00, 0x2070), (0x2070, 0x2C00), (0x3000, 0x3100), (0x4E00, 0x5000), (0xAC00, 0xAD00), (0xE000, 0xE010), (0xFE00, 0x10000), (0x1F300, 0x1F700), (0xE0000, 0xE0080)]
     mixed = ["".join(chr(rng.randrange(*rng.choice(ranges))) for _ in range(rng.randint(1, 60))) for _ in range(600)]
     single = ["".join(chr(rng.randrange(*r)) for _ in range(80)) for r in ranges for _ in range(5)]
-    for t in (*mixed, *single, *(f"a{chr(c)}b {chr(c)}  {chr(c)}1" for c in range(0x20)), "", " ", "a  b\n\n c", "it's I'LL <|endoftext|> x", "日本語テキスト 🙂", "ñandú x", "1234 5,6", "a" * 5000, "\t\n " * 300 + "x"):
+    for t in (*mixed, *single, *(f"a{chr(c)}b {chr(c)}  {chr(c)}1" for c in range(0x20)), "", " ", "a  b\n\n c", "it's I'LL <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|> <|endoftext|b", "日本語テキスト 🙂", "ñandú x", "1234 5,6", "a" * 5000, "\t\n " * 300 + "x"):
+        exact.encode_special_tokens = False
         assert encode(t).tolist() == exact.encode(t, add_special_tokens=False).ids
+        exact.encode_special_tokens = True
+        assert plain(t).tolist() == exact.encode(t, add_special_tokens=False).ids
+    assert encode("a <|endoftext|>").tolist()[-1] == 50256 and 50256 not in plain("a <|endoftext|>")
 
 
 # 3

@@ -31,6 +31,7 @@ from . import base
 
 CAPACITY = 2048
 END_ID = 1
+SPECIAL = "<|endoftext|>"  #: the vocabulary's special token, its last id
 WINDOWS = 96  #: windows of a group
 RISE = 32  #: the window count rises by at most this part of itself before documents are cut
 NAMES = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
@@ -101,27 +102,37 @@ def windows(sizes: Sequence[int], capacity: int) -> list[list[tuple[int, int, in
             parts.append((item, at + n - n // 2, n // 2))
 
 
-def byte_bpe(ranks: str | None = None, exact: str | None = None) -> Callable[[str], np.ndarray]:
+def byte_bpe_tokens(ranks: str | None = None) -> list[bytes]:
+    """The bytes of each id of the vocabulary, its one special token last."""
+    import public_tokenizers
+
+    with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        found = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+    return [found[i] for i in range(len(found))] + [SPECIAL.encode()]
+
+
+def byte_bpe(ranks: str | None = None, exact: str | None = None, *, special: bool = True) -> Callable[[str], np.ndarray]:
     """An encoder of a public byte-level BPE vocabulary. ranks: its ranks, for the quick library; exact: its definition,
-    which encodes the texts that the quick one refuses. Both give the same ids."""
+    which encodes the texts that the quick one refuses. Both give the same ids. special: whether the special token's string in a text
+    becomes its id, as the definition has it, or is plain text."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
-    with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    quick = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    tokens = byte_bpe_tokens(ranks)
+    quick = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens[:-1])}, special_tokens={SPECIAL: len(tokens) - 1})
+    allowed = {SPECIAL} if special else set()
     slow: list[Tokenizer] = []
 
     def encode(text: str) -> np.ndarray:
         try:
-            return quick.encode_to_numpy(text, disallowed_special=())
+            return quick.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
         except BaseException as e:  # its panics are no Exception
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
             if not slow:
                 slow.append(Tokenizer.from_file(exact or public_tokenizers.path("byte_bpe_50k.json")))
-                slow[0].encode_special_tokens = True
+                slow[0].encode_special_tokens = not special
             return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
