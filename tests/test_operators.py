@@ -1,6 +1,7 @@
 """Metrics on known inputs, numeric helpers, splits, samples, geography, scans and sinks."""
 
 import datetime as dt
+import hashlib
 import json
 
 import numpy as np
@@ -218,6 +219,21 @@ def test_signal_files_are_split_and_quoted_cells_read(spark, tmp_path):
     assert one(spark, c=scans.cells(F.lit('"a ""b"", c",,d'))).c == ['a "b", c', "", "d"]
 
 
+def test_signal_files_with_many_cells_and_line_breaks(spark, tmp_path):
+    for d in ("a b", "c+[1]", "e", "f"):
+        (tmp_path / d).mkdir()
+    wide = ",".join(f'"{i},"' for i in range(20_000))
+    (tmp_path / "a b" / "radar.csv").write_text(f"time_s,leadOne_dRel,{wide}\n0.5,7,{wide}\n1.5,8,{wide}\n")
+    (tmp_path / "c+[1]" / "radar.csv").write_text('time_s,note,leadOne_dRel\n0.0,"two\nlines",1\n1.0,"more ""of\nthem""",2\n2.0,x,3\n')
+    (tmp_path / "e" / "radar.csv").write_text('"time_s","of\ntwo lines",leadOne_dRel,leadOne_dRel\n4.0,x,5,6\n')
+    (tmp_path / "f" / "radar.csv").write_text("")
+    got = sorted((r.dir.rsplit("/", 1)[1], r.i, r.time_s, r.leadOne_dRel) for r in scans.signals(spark, str(tmp_path), "radar").collect())
+    assert got == [("a%20b", 0, 0.5, 7.0), ("a%20b", 1, 1.5, 8.0), ("c+%5B1%5D", 0, 0.0, 1.0), ("c+%5B1%5D", 1, 1.0, 2.0), ("c+%5B1%5D", 2, 2.0, 3.0), ("e", 0, 4.0, 5.0)]
+    plan = scans.signals(spark, str(tmp_path / "a b"), "radar")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    assert scans.signals(spark, str(tmp_path / "f"), "radar").count() == 0 == scans.signals(spark, str(tmp_path), "imu").count()
+
+
 def test_road_text_and_messages(spark):
     n = F.lit(None).cast("double")
     r = one(spark, t=reporting.road_context(F.lit(None).cast("string"), F.lit(50.0), n, F.lit(1), F.lit(0), F.lit(12.5), n, F.lit(0.0125), F.lit(-0.04)), m=reporting.messages(F.lit("s"), F.lit("u"), F.array(F.lit(b"x"))))
@@ -328,3 +344,90 @@ def test_configurations_and_reports_of_metrics(spark):
     assert (none["auc_roc"], none["auprc"], none["threshold"], none["n_pos"]) == (0.5, 0.0, 0.5, 0.0)
     classes = metrics.class_report(metrics.confusion(spark.createDataFrame([(0, 0), (1, 1), (1, 0)], "t int, p int"), "t", "p", 3), ("a", "b", "c")).first().metrics
     assert abs(classes["accuracy"] - 2 / 3) < 1e-12 and abs(classes["f1_a"] - 2 / 3) < 1e-12 and classes["f1_c"] == 0.0 and abs(classes["macro_f1"] - 2 / 3) < 1e-12
+
+
+def exchanges(df):
+    """Shuffles in the plan before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_all_channels_are_packed_in_one_shuffle(spark):
+    rng = np.random.default_rng(3)
+    names, rows, want = [f"c{k}" for k in range(55)], [], {}
+    for route, n in ((1, 300), (2, 2), (3, 1), (4, 40)):
+        t = np.round(np.cumsum(rng.uniform(0.01, 0.09, n)), 3)
+        t[5:7] = t[5] if n > 7 else t[5:7]  # two samples at one time
+        v = rng.normal(size=(n, 55))
+        v[rng.random((n, 55)) < 0.05] = np.nan
+        rows += [(route, i, float(t[i]), *(None if np.isnan(x) and i % 2 else float(x) for x in v[i])) for i in range(n)]
+        grid = t[0] + 0.02 * np.arange(int(np.ceil((t[-1] - t[0]) / 0.02 + 0.5)))
+        want[route] = (t[0], np.stack([np.interp(grid, t, np.nan_to_num(v[:, k], nan=0.0)) for k in range(55)], 1)) if n > 1 else None
+    df = spark.createDataFrame(rows, "route_id int, i int, time_s double, " + ", ".join(f"{c} double" for c in names)).repartition(3)
+    packed = features.pack(df, names, step=0.02, chunk=64)
+    assert exchanges(packed) == 1
+    got = {}
+    for r in packed.orderBy("route_id", "chunk").collect():
+        assert r.t_start == want[r.route_id][0] and r.step == 0.02 and len(r.data) == r.n * 55
+        got.setdefault(r.route_id, []).append(np.array(r.data).reshape(-1, 55))
+    assert sorted(got) == [1, 2, 4]
+    for route, parts in got.items():
+        assert np.allclose(np.concatenate(parts), want[route][1], atol=1e-6) and all(len(p) == 64 for p in parts[:-1])
+    windows = spark.createDataFrame([(r, float(s)) for r in (1, 3, 4, 9) for s in (-1.0, 0.0, 0.51, 3.0, 1e4)], "route_id int, start_s double")
+    sliced = {(r.route_id, r.start_s): np.array(r.data).reshape(100, 55) for r in features.packed_slices(windows, packed, 55, length=100, chunk=64).collect()}
+    assert len(sliced) == 20
+    for (route, start), data in sliced.items():
+        full = np.zeros((100, 55))
+        if want.get(route):
+            t0, whole = want[route]
+            part = whole[max(0, round((start - t0) / 0.02)) :][:100]
+            full[: len(part)] = part
+        assert np.allclose(data, full, atol=1e-6)
+    back = features.unpack(packed, names, chunk=64).filter("route_id = 1").orderBy("s").collect()
+    assert [r.s for r in back] == list(range(len(want[1][1]))) and np.allclose([r.c7 for r in back], want[1][1][:, 7], atol=1e-6)
+
+
+def test_smoothing_at_the_ends_and_of_short_routes(spark):
+    y = np.random.default_rng(1).normal(size=30)
+    rows = [(r, i, float(i), float(y[i])) for r, n in ((1, 30), (2, 11), (3, 10), (4, 15)) for i in range(n)]
+    got = gps.smooth(spark.createDataFrame(rows, "route_id int, i int, time_s double, x double"), ["x"]).orderBy("route_id", "i").collect()
+    for r, n in ((1, 30), (2, 11), (4, 15)):
+        own = [v.x_s for v in got if v.route_id == r]
+        for i in range(n):
+            lo = min(max(i - 5, 0), n - 11)
+            assert own[i] == pytest.approx(np.polyval(np.polyfit(np.arange(11), y[lo : lo + 11], 2), i - lo))
+    assert [v.x_s for v in got if v.route_id == 3] == [float(v) for v in y[:10]]
+
+
+@pytest.mark.parametrize("k", (0, 1, 777, 5_000, 9_999))
+def test_bounded_subset_is_exact(spark, k):
+    df = spark.range(5_000).select("id", (F.col("id") % 7).alias("x"))
+    got = samples.bounded_subset(df, ["id"], k)
+    want = sorted(range(5_000), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())[:k]
+    assert sorted(r.id for r in got.collect()) == sorted(want) and got.columns == df.columns
+    assert sorted(r.id for r in samples.bounded_subset(df.repartition(11, "x"), ["id"], k).collect()) == sorted(want)
+
+
+def test_logits_are_spread_over_ranges(spark):
+    df = spark.range(6_000).select((F.col("id") % 3 == 0).cast("int").alias("y"), ((F.col("id") * 7919 % 4_001) / 100 - 20).alias("s"))
+    at = metrics._ranges(df.select(F.col("s").alias("threshold")).distinct(), "threshold", "b")
+    sizes = [r["count"] for r in at.groupBy("b").count().collect()]
+    assert len(sizes) > 500 and max(sizes) < 40
+    rows = df.collect()
+    want = {s: (sum(r.y for r in rows if r.s >= s), sum(1 - r.y for r in rows if r.s >= s)) for s in sorted({r.s for r in rows})[::400]}
+    got = {r.threshold: (r.tp, r.fp) for r in metrics.curve(df, "y", "s").collect()}
+    assert {s: got[s] for s in want} == want and len(got) == len({r.s for r in rows})
+    assert metrics.curve(df.filter("false"), "y", "s").count() == 0
+
+
+def test_partitions_are_replaced_in_place(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.write_partitioned(spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d")], "route_id int, x string"), path)
+    files = lambda r: sorted((p.name, p.stat().st_mtime_ns) for p in (tmp_path / "t" / f"route_id={r}").iterdir())
+    before = {r: files(r) for r in (1, 2, 3)}
+    sinks.replace_partitions(spark.createDataFrame([(2, "new"), (4, "e")], "route_id int, x string"), path)
+    read = lambda: sorted((r.route_id, r.x) for r in spark.read.parquet(path).collect())
+    assert read() == [(1, "a"), (2, "new"), (3, "d"), (4, "e")] and files(1) == before[1] and files(3) == before[3] and files(2) != before[2]
+    bad = spark.createDataFrame([(1, "1"), (3, "no number")], "route_id int, x string").selectExpr("route_id", "string(int(x)) AS x").repartition(2)
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        sinks.replace_partitions(bad, path)
+    assert read() == [(1, "a"), (2, "new"), (3, "d"), (4, "e")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import SIGNAL_DEFAULTS, columns_of
@@ -14,7 +15,7 @@ from . import temporal
 
 def resample(samples: DataFrame, *, step: float, value: str) -> DataFrame:
     """(route_id, s, time_s, value): linear interpolation on a regular grid from the first to the last sample; missing
-    values count as 0."""
+    values count as 0. For many channels at once see `pack`."""
     rows = samples.withColumn(value, F.when(F.col(value).isNull() | F.isnan(value), 0.0).otherwise(F.col(value)))
     b = rows.groupBy("route_id").agg(F.min("time_s").alias("t0"), F.max("time_s").alias("t1"))
     n = F.ceil((F.col("t1") - F.col("t0")) / step + 0.5)
@@ -22,6 +23,55 @@ def resample(samples: DataFrame, *, step: float, value: str) -> DataFrame:
     return temporal.interpolate(grid, rows.select("route_id", "i", "time_s", value), ["route_id"], value=value)
 
 
+CHUNK = 3_000  #: grid rows in a row of a packed table: a minute at 50 Hz
+
+
+def pack(samples: DataFrame, channels: Sequence[str], *, step: float, keys: Sequence[str] = ("route_id",), chunk: int = CHUNK) -> DataFrame:
+    """(keys, chunk, t_start, step, n, data): all channels of a stream on one regular grid, packed. n: the grid rows of the chunk;
+    data: their values, row after row, one float for each channel. Missing values count as 0; a stream of fewer than two samples has no grid.
+
+    A sample stands for the grid places from its time to the next sample's, so one window on the key gives all that interpolation needs, for
+    any number of channels, and chunks are gathered where their rows are: one shuffle in all."""
+    order = W.partitionBy(*keys).orderBy("time_s", "i")
+    whole = W.partitionBy(*keys)
+    own = F.array(*(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in channels))
+    rows = samples.select(*keys, "time_s", "i", own.alias("_v")).filter("time_s is not null")
+    rows = rows.select(*keys, "time_s", "_v", F.lead("time_s").over(order).alias("_t"), F.lead("_v").over(order).alias("_w"), F.min("time_s").over(whole).alias("t_start"), F.max("time_s").over(whole).alias("_end"), F.count("*").over(whole).alias("_n")).filter("_n >= 2")
+    place = lambda t: F.ceil((t - F.col("t_start")) / step)
+    size = F.ceil((F.col("_end") - F.col("t_start")) / step + 0.5)
+    upto = F.coalesce(place(F.col("_t")), size)
+    held = rows.filter(upto > place(F.col("time_s"))).select("*", F.explode(F.sequence(place(F.col("time_s")), upto - 1)).alias("s"))
+    share = (F.col("t_start") + F.col("s") * step - F.col("time_s")) / (F.col("_t") - F.col("time_s"))
+    value = F.when(F.col("_w").isNull(), F.col("_v")).otherwise(F.zip_with("_v", "_w", lambda a, b: a + (b - a) * F.col("_x")))
+    held = held.withColumn("_x", share).select(*keys, "t_start", "s", F.transform(value, lambda x: x.cast("float")).alias("v"))
+    packed = held.groupBy(*keys, F.floor(F.col("s") / chunk).alias("chunk")).agg(F.min("t_start").alias("t_start"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("s", "v"))).alias("_rows"))
+    return packed.select(*keys, "chunk", "t_start", F.lit(float(step)).alias("step"), "n", F.flatten(F.transform("_rows", lambda r: r["v"])).alias("data"))
+
+
+def unpack(packed: DataFrame, channels: Sequence[str], *, keys: Sequence[str] = ("route_id",), chunk: int = CHUNK) -> DataFrame:
+    """(keys, s, time_s, channels): the grid rows of a packed table."""
+    d = len(channels)
+    each = packed.select(*keys, "chunk", "t_start", "step", "data", F.explode(F.expr("sequence(0L, n - 1)")).alias("_j")).withColumn("s", F.col("chunk") * chunk + F.col("_j"))
+    at = lambda k: F.get("data", (F.col("_j") * d + k).cast("int")).alias(channels[k])
+    return each.select(*keys, "s", (F.col("t_start") + F.col("s") * F.col("step")).alias("time_s"), *(at(k) for k in range(d)))
+
+
+def packed_slices(windows: DataFrame, packed: DataFrame, d: int, *, length: int, keys: Sequence[str] = ("route_id",), chunk: int = CHUNK) -> DataFrame:
+    """(keys, start_s, data): `length` grid rows of d channels from each window's start, as one array; zeros beyond the ends, and where the key
+    has no grid. Windows meet the one or few chunks that they touch by an equal join on (key, chunk)."""
+    heads = packed.filter("chunk = 0").select(*keys, "t_start", "step")
+    first = F.greatest(F.lit(0), F.rint((F.col("start_s") - F.col("t_start")) / F.col("step")).cast("long"))
+    w = windows.select(*keys, "start_s").distinct().join(heads, list(keys), "left").withColumn("_a", first)
+    touched = F.coalesce(F.sequence(F.floor(F.col("_a") / chunk), F.floor((F.col("_a") + (length - 1)) / chunk)), F.array(F.lit(None).cast("long")))
+    met = w.select(*keys, "start_s", "_a", F.explode(touched).alias("chunk")).join(packed.select(*keys, "chunk", "n", "data"), [*keys, "chunk"], "left")
+    lo = F.greatest(F.col("_a") - F.col("chunk") * chunk, F.lit(0))
+    hi = F.least(F.col("_a") + length - F.col("chunk") * chunk, F.col("n"))
+    part = F.when(hi > lo, F.slice("data", (lo * d + 1).cast("int"), ((hi - lo) * d).cast("int")))
+    whole = met.withColumn("_part", part).groupBy(*keys, "start_s").agg(F.sort_array(F.collect_list(F.when(F.col("_part").isNotNull(), F.struct("chunk", "_part")))).alias("_parts"))
+    data = F.flatten(F.transform("_parts", lambda x: x["_part"]))
+    return whole.withColumn("data", data).select(*keys, "start_s", F.concat("data", F.array_repeat(F.lit(0.0).cast("float"), F.lit(length * d) - F.size("data"))).alias("data"))
+
+
 def window_slices(windows: DataFrame, gridded: DataFrame, channels: Sequence[str], *, step: float, length: int, t0: Column) -> DataFrame:
     """(route_id, start_s, j, channels): `length` grid rows from each window's start, zeros beyond the ends. Positions on
     the grid are whole numbers, so this is an equal join on (route, index)."""

@@ -70,23 +70,17 @@ def savgol_weights(size: int = 11, degree: int = 2) -> np.ndarray:
 
 def smooth(df: DataFrame, columns: Sequence[str], *, size: int = 11, degree: int = 2, keys: Sequence[str] = KEYS, order: Sequence[str] = ("time_s", "i"), suffix: str = "_s") -> DataFrame:
     """Columns smoothed by a centred Savitzky-Golay filter; ends take the fit of the first or last window; routes shorter
-    than the window stay as they are. One window on the route serves all."""
-    w, hat, half = W.partitionBy(*keys).orderBy(*order), savgol_weights(size, degree), size // 2
-    df = df.withColumn("_sg_row", F.row_number().over(w) - 1).withColumn("_sg_n", F.count("*").over(W.partitionBy(*keys)))
-    for c in columns:
-        def at(row: int, c: str = c) -> Column:
-            total = None
-            for j in range(size):
-                off = j - row
-                v = F.lag(c, -off).over(w) if off < 0 else F.lead(c, off).over(w) if off else F.col(c)
-                total = v * float(hat[row, j]) if total is None else total + v * float(hat[row, j])
-            return total
-
-        out = at(half)
-        for r in range(half):
-            out = F.when(F.col("_sg_row") == r, at(r)).when(F.col("_sg_row") == F.col("_sg_n") - 1 - r, at(size - 1 - r)).otherwise(out)
-        df = df.withColumn(c + suffix, F.when(F.col("_sg_n") < size, F.col(c)).otherwise(out))
-    return df.drop("_sg_row", "_sg_n")
+    than the window stay as they are.
+
+    One sliding window gathers the values around each row, of all columns; the filter is the product of `size` of them with the row of
+    the hat matrix for the row's place in its fit, the middle one but at a route's ends."""
+    w, half = W.partitionBy(*keys).orderBy(*order), size // 2
+    hat = F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in savgol_weights(size, degree)))
+    df = df.withColumn("_row", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(W.partitionBy(*keys))).withColumn("_near", F.collect_list(F.struct(*columns)).over(w.rowsBetween(1 - size, size - 1)))
+    first = F.greatest(F.lit(0), F.least(F.col("_row") - half, F.col("_n") - size))  # of the fit
+    df = df.withColumn("_hat", F.get(hat, (F.col("_row") - first).cast("int"))).withColumn("_near", F.slice("_near", (first - F.greatest(F.lit(0), F.col("_row") - (size - 1)) + 1).cast("int"), size))
+    fit = lambda c: F.aggregate(F.zip_with(F.transform("_near", lambda x: x[c]), "_hat", lambda v, h: v * h), F.lit(0.0), lambda s, x: s + x)
+    return df.withColumns({c + suffix: F.when(F.col("_n") < size, F.col(c)).otherwise(fit(c)) for c in columns}).drop("_row", "_n", "_near", "_hat")
 
 
 def trajectory(cleaned: DataFrame, th: Thresholds) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
+from .lineage import cut
 
 BUCKETS = 1024  #: score ranges whose totals are summed first, so that no task orders all scores
 
@@ -29,11 +31,23 @@ def f1_report(matrix: DataFrame) -> DataFrame:
     return s.agg(ratio(F.sum("hit").cast("double"), F.sum("is")).alias("accuracy"), F.coalesce(F.avg(F.when(F.col("is") + F.col("called") > 0, F.col("f1"))), F.lit(0.0)).alias("macro_f1"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("c", "f1")))).alias("f1"))
 
 
+def _ranges(at: DataFrame, score: str, name: str) -> DataFrame:
+    """at with the number of the score's range; NaN is above all. The bounds are BUCKETS - 1 numbers at most."""
+    from pyspark.ml.feature import Bucketizer
+
+    bounds = at.agg(F.percentile_approx(score, [i / BUCKETS for i in range(1, BUCKETS)], 4 * BUCKETS)).first()[0] or []
+    splits = [float("-inf"), *sorted({float(x) for x in bounds if math.isfinite(x)}), float("inf")]
+    if len(splits) < 3:
+        return at.withColumn(name, F.lit(0.0))
+    return Bucketizer(splits=splits, inputCol=score, outputCol=name, handleInvalid="keep").transform(at)
+
+
 def curve(df: DataFrame, truth: str, score: str) -> DataFrame:
     """(threshold, pos, neg, tp, fp, n_pos, n_neg) at each distinct score, counting scores >= threshold. Sums run within
-    score ranges and over the ranges' totals. Scores are taken to lie in 0..1; others share the end ranges."""
+    score ranges and over the ranges' totals. Ranges hold about equally many distinct scores each, whatever their scale: their bounds come from
+    a quantile sketch."""
     at = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.count("*").alias("_n")).withColumn("neg", F.col("_n") - F.col("pos")).drop("_n")
-    at = at.withColumn("_b", F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.floor(F.col("threshold") * BUCKETS))).cast("int"))
+    at = _ranges(cut(at.filter(F.col("threshold").isNotNull()).withColumn("threshold", F.col("threshold").cast("double"))), "threshold", "_b")
     sums = at.groupBy("_b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
     above = W.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))

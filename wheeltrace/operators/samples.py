@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +32,23 @@ def hash_order(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in cols)).cast("binary"))
 
 
+SUBSET = 50_000  #: windows of a bounded subset
+PREFIX = 4  #: hexadecimal digits of the hash that form a range: 65,536 ranges
+
+
+def bounded_subset(df: DataFrame, ids: Sequence[str], k: int = SUBSET, seed: int = 42) -> DataFrame:
+    """The k rows with the smallest hashes of `ids` (all, if there are fewer): the same rows at each run. Ranges of the hash are counted first, at most
+    65,536 numbers; whole ranges stay or go, and only the range in which the k-th row lies is sorted."""
+    rows = df.withColumn("_h", hash_order(seed, *ids)).withColumn("_r", F.left("_h", F.lit(PREFIX)))
+    n = rows.groupBy("_r").agg(F.count("*").alias("_k"))
+    before = n.select("_r", "_k", F.coalesce(F.sum("_k").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before")).filter(F.col("_before") < k)
+    rows = rows.join(F.broadcast(before), "_r")  # at most 65,536 rows
+    inside = rows.filter(F.col("_before") + F.col("_k") <= k)
+    edge = rows.filter(F.col("_before") + F.col("_k") > k)
+    edge = edge.withColumn("_rn", F.row_number().over(W.partitionBy("_r").orderBy("_h", *ids))).filter(F.col("_before") + F.col("_rn") <= k)
+    return inside.select(*df.columns).union(edge.select(*df.columns))
+
+
 def negatives(events: DataFrame, segments: DataFrame, bounds: DataFrame, *, horizon: float, state: int, th: Thresholds, seed: int = 42) -> DataFrame:
     """(route_id, start_s, end_s): window ends inside segments of `state`, every negative stride, with no event from
     buffer before to horizon + buffer after; on routes that have events, capped by a hash order for each route."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CLASSES
 from ..functions.numeric import half_even
-from ..operators import events, features, intervals, labels, reporting, samples, temporal
+from ..operators import events, features, intervals, labels, metrics, reporting, samples, temporal
 from ..sources import views
 from . import driving, signals
 
@@ -21,6 +21,19 @@ def mode_histogram(spark: SparkSession, d: str) -> DataFrame:
     return labels.histogram(driving.routes_summary(spark, d), "driving_mode")
 
 
+def bounded_subset(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the windows, by the order of their hashes."""
+    w = signals._windows(spark, d).select("route_id", "start_s", F.rint(F.col("start_s") * 1000).cast("long").alias("ms"))
+    return samples.bounded_subset(w, ["route_id", "ms"], k=w.count() // 3).select("route_id", "start_s")
+
+
+def logit_curve(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall at each distinct logit of -20 to 20: whether an event's next field is large, by its value."""
+    e = views.table(spark, d, "events").select((F.col("value") > 50).cast("int").alias("y"), half_even((F.col("value") % 40) - 20, 1).alias("logit")).filter("logit is not null and y is not null")
+    c = metrics.pr_curve(metrics.curve(e, "y", "logit"))
+    return c.select("threshold", half_even(F.col("precision"), 8).alias("precision"), half_even(F.col("recall"), 8).alias("recall"))
+
+
 def value_counts(spark: SparkSession, d: str) -> DataFrame:
     return reporting.value_counts(views.table(spark, d, "events"), "event_type")
 
@@ -84,7 +97,7 @@ def first_event_of_route(spark: SparkSession, d: str) -> DataFrame:
     return intervals.first_of(events.transitions(driving._samples(spark, d), driving.TH), ["route_id"], ["time_s", "event_type"])
 
 
-QUERIES = {f.__name__: f for f in (dataset_totals, mode_histogram, value_counts, window_summary, window_interpolated, window_frames, frame_offsets, sample_quota, duration_picks, one_hot_logits, file_names, set_operations, reenriched, first_event_of_route)}
+QUERIES = {f.__name__: f for f in (dataset_totals, bounded_subset, logit_curve, mode_histogram, value_counts, window_summary, window_interpolated, window_frames, frame_offsets, sample_quota, duration_picks, one_hot_logits, file_names, set_operations, reenriched, first_event_of_route)}
 
 _H = signals._H
 _SUM = "WITH s AS (" + driving.ORACLE_SQL["routes_summary"] + ")"
@@ -108,6 +121,8 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || rou
 SELECT label, route_id, start_s FROM rk, q WHERE rn <= CASE WHEN label = 1 THEN g ELSE 60 - g END""",
     "duration_picks": views.with_views("tel_u") + ", b AS (SELECT route_id, max(time_s) - min(time_s) AS dur FROM tel_u GROUP BY route_id HAVING count(*) >= 2), r AS (SELECT route_id, row_number() OVER (ORDER BY dur, route_id) - 1 AS r, count(*) OVER () AS n FROM b) SELECT CASE WHEN r = 0 THEN 'short' WHEN r = n // 2 THEN 'median' ELSE 'long' END AS pick, route_id FROM r WHERE r IN (0, n // 2, n - 1)",
     "one_hot_logits": driving._STATE + driving._LABELS + " SELECT route_id, timestamp, CAST(list_position([" + ", ".join(f"'{c}'" for c in CLASSES) + "], action_label) - 1 AS INTEGER) AS class_id, 1.0::DOUBLE AS score FROM lab",
+    "bounded_subset": signals._WIN + " SELECT route_id, start_s FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || route_id || ':' || CAST(round_even(start_s * 1000, 0) AS BIGINT))) AS rn, count(*) OVER () AS n FROM win) WHERE rn <= n // 3",
+    "logit_curve": f"WITH e AS (SELECT CAST(value > 50 AS INTEGER) AS y, {signals._H('value % 40 - 20', 1)} AS s FROM events WHERE value IS NOT NULL), g AS (SELECT s, sum(y) AS p, count(*) AS n FROM e GROUP BY s), c AS (SELECT s, sum(p) OVER w AS tp, sum(n) OVER w AS k, sum(p) OVER () AS np FROM g WINDOW w AS (ORDER BY s DESC)) SELECT s AS threshold, {signals._H('CASE WHEN k = 0 THEN 0 ELSE tp::DOUBLE / k END', 8)} AS precision, {signals._H('CASE WHEN np = 0 THEN 0 ELSE tp::DOUBLE / np END', 8)} AS recall FROM c",
     "file_names": "SELECT c_mktsegment || '/' || c_name AS route_id, replace(c_mktsegment || '/' || c_name, '/', '__') AS file_name, c_mktsegment || '/' || c_name AS back FROM customer",
     "set_operations": "SELECT user_id FROM events WHERE event_type IN ('click', 'purchase') EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 100",
     "reenriched": signals._LABELLED + ", g AS (SELECT shard, count(quality) + count(toxic) = 0 AS lone FROM lb GROUP BY shard) SELECT shard, count(*) AS n_rows, count(CASE WHEN lone THEN doc_id % 2 ELSE quality END) AS n_values, bool_or(CASE WHEN lone THEN doc_id IS NOT NULL ELSE quality IS NOT NULL END) AS covered FROM lb JOIN g USING (shard) GROUP BY shard",

@@ -11,6 +11,7 @@ from ..config import MODALITIES, SIGNAL_DEFAULTS, Thresholds, columns_of
 from ..functions import geo
 from ..functions.numeric import half_even
 from ..operators import features, gps, intervals, labels, metrics, reporting, roadgraph, temporal
+from ..operators.lineage import cut
 from ..sources import views
 
 TH = Thresholds(sample_rate=2.0)
@@ -28,6 +29,28 @@ def resample_linear_grid(spark: SparkSession, d: str) -> DataFrame:
     return _round(features.resample(views.irregular(spark, d), step=12.0, value="value"), "value")
 
 
+CHANNELS = ("v_ego", "steer", "a_ego", "d_rel", "left_blinker")
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    """Five channels of every third sample at 5 Hz, in chunks of 64 rows."""
+    return features.pack(views.uniform(spark, d).filter("i % 3 = 0"), CHANNELS, step=0.2, chunk=64)
+
+
+def resample_channels(spark: SparkSession, d: str) -> DataFrame:
+    return _round(features.unpack(_packed(spark, d), CHANNELS, chunk=64), "time_s", *CHANNELS, d=3)
+
+
+def packed_window_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Sum (in thousandths), first and last value of each channel in windows of 100 rows, cut out of the packed table."""
+    w = features.packed_slices(_windows(spark, d), cut(_packed(spark, d)), len(CHANNELS), length=100, chunk=64)
+    cells = F.transform("data", lambda x: half_even(x.cast("double"), 3))
+    own = lambda k: F.filter("_c", lambda x, i: i % len(CHANNELS) == k)
+    w = w.withColumn("_c", cells)
+    sums = [F.aggregate(own(k), F.lit(0).cast("long"), lambda a, b: a + F.rint(b * 1000).cast("long")).alias(f"{c}_sum") for k, c in enumerate(CHANNELS)]
+    return w.select("route_id", "start_s", *sums, *(F.element_at("_c", k + 1).alias(f"{c}_first") for k, c in enumerate(CHANNELS)), *(F.element_at("_c", k - len(CHANNELS)).alias(f"{c}_last") for k, c in enumerate(CHANNELS)))
+
+
 def _windows(spark: SparkSession, d: str) -> DataFrame:
     """A window every four seconds from a route's start, the last ones beyond its end."""
     b = labels.bounds(views.uniform(spark, d))
@@ -312,7 +335,7 @@ _ANSWERS = ("", " Stopped", " lane change", " laneCHANGE then turning", " brakin
 
 QUERIES = {
     f.__name__: f
-    for f in (resample_linear_grid, window_slice_padded, window_stats, norm_stats, zscore_features, class_weights, pos_weight, gps_clean, gps_quality, gps_bbox, savgol_smooth, gps_trajectory, maneuver_lookahead, sparse_ffill, road_attributes, bounded_paths, intersections_ahead, trace_context, intersection_distance, nearest_edge, null_group_find, coverage_recheck, done_antijoin, upsert_partition, metric_confusion, metric_f1, metric_pr_curve, metric_auc, metric_ap, metric_best_threshold, metric_p_at_r, metric_at_threshold, seed_aggregate, configuration_counts, report_pivot, segment_timing, frame_times, feature_validation, vlm_parse_label, vlm_parse_binary, text_summary, modality_columns, metric_map, experiment_matrix, pca_project, lr_fit)
+    for f in (resample_linear_grid, resample_channels, packed_window_slices, window_slice_padded, window_stats, norm_stats, zscore_features, class_weights, pos_weight, gps_clean, gps_quality, gps_bbox, savgol_smooth, gps_trajectory, maneuver_lookahead, sparse_ffill, road_attributes, bounded_paths, intersections_ahead, trace_context, intersection_distance, nearest_edge, null_group_find, coverage_recheck, done_antijoin, upsert_partition, metric_confusion, metric_f1, metric_pr_curve, metric_auc, metric_ap, metric_best_threshold, metric_p_at_r, metric_at_threshold, seed_aggregate, configuration_counts, report_pivot, segment_timing, frame_times, feature_validation, vlm_parse_label, vlm_parse_binary, text_summary, modality_columns, metric_map, experiment_matrix, pca_project, lr_fit)
 }
 
 # The same in SQL.
@@ -406,7 +429,17 @@ va AS (SELECT * FROM sc WHERE route_id % 2 = 0), te AS (SELECT * FROM sc WHERE r
 tn AS (SELECT count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg FROM te),
 th AS (SELECT c.s AS t FROM (SELECT DISTINCT s FROM va) c JOIN va ON true GROUP BY c.s ORDER BY 2.0::DOUBLE * count(*) FILTER (va.y = 1 AND va.s >= c.s) / (count(*) FILTER (va.y = 1) + count(*) FILTER (va.s >= c.s)) DESC, c.s LIMIT 1),
 tc AS (SELECT c.s, count(*) FILTER (te.s = c.s AND te.y = 1) AS p, count(*) FILTER (te.s >= c.s AND te.y = 1) AS tp, count(*) FILTER (te.s >= c.s AND te.y = 0) AS fp FROM (SELECT DISTINCT s FROM te) c JOIN te ON true GROUP BY c.s)"""
+_C5 = ("v_ego", "steer", "a_ego", "d_rel", "left_blinker")
+_PACKED = _WIN + """,
+third AS (SELECT * FROM tel_u WHERE i % 3 = 0), pb AS (SELECT route_id, min(time_s) AS t0, max(time_s) AS t1 FROM third GROUP BY route_id HAVING count(*) >= 2),
+pg AS (SELECT route_id, s, t0 + s * 0.2::DOUBLE AS time_s FROM (SELECT *, unnest(generate_series(0, CAST(ceil((t1 - t0) / 0.2::DOUBLE + 0.5) AS BIGINT) - 1)) AS s FROM pb)),
+p1 AS (SELECT pg.*, """ + ", ".join(f"x.{c} AS {c}_a" for c in _C5) + """, x.time_s AS ta FROM pg ASOF LEFT JOIN third x ON x.route_id = pg.route_id AND pg.time_s >= x.time_s),
+p2 AS (SELECT p1.*, """ + ", ".join(f"x.{c} AS {c}_b" for c in _C5) + """, x.time_s AS tb FROM p1 ASOF LEFT JOIN third x ON x.route_id = p1.route_id AND p1.time_s <= x.time_s),
+pk AS (SELECT route_id, s, time_s, """ + ", ".join(f"{_H(f'(CASE WHEN tb IS NULL OR ta = tb THEN {c}_a ELSE {c}_a + ({c}_b - {c}_a) * ((time_s - ta) / (tb - ta)) END)::FLOAT::DOUBLE', 3)} AS {c}" for c in _C5) + """ FROM p2),
+pw AS (SELECT win.route_id, win.start_s, j, """ + ", ".join(f"coalesce(pk.{c}, 0.0::DOUBLE) AS {c}" for c in _C5) + """ FROM (SELECT win.*, t0, unnest(generate_series(0, 99)) AS j FROM win LEFT JOIN pb USING (route_id)) win LEFT JOIN pk ON pk.route_id = win.route_id AND pk.s = greatest(0, round_even((win.start_s - win.t0) / 0.2::DOUBLE, 0)::BIGINT) + j)"""
 ORACLE_SQL = {
+    "resample_channels": _PACKED + f" SELECT route_id, s, {_H('time_s', 3)} AS time_s, {', '.join(_C5)} FROM pk",
+    "packed_window_slices": _PACKED + " SELECT route_id, start_s, " + ", ".join(f"sum(round_even({c} * 1000, 0)::BIGINT)::BIGINT AS {c}_sum, arg_min({c}, j) AS {c}_first, arg_max({c}, j) AS {c}_last" for c in _C5) + " FROM pw GROUP BY route_id, start_s",
     "resample_linear_grid": views.with_views("tel_x") + f""",
 b AS (SELECT route_id, min(time_s) AS t0, max(time_s) AS t1 FROM tel_x GROUP BY route_id),
 gr AS (SELECT route_id, CAST(s AS INTEGER) AS s, t0 + s * 12.0::DOUBLE AS time_s FROM (SELECT *, unnest(generate_series(0, CAST(ceil((t1 - t0) / 12.0::DOUBLE + 0.5) AS INTEGER) - 1)) AS s FROM b)),

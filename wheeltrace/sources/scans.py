@@ -6,7 +6,9 @@ columns and conformed to a fixed schema: a missing file or column takes its defa
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..config import MODALITIES, SIGNAL_DEFAULTS
 from ..functions.numeric import number
+from ..operators.lineage import cut
 
 METADATA = T.StructType([
     T.StructField("dongle_id", T.StringType()), T.StructField("route_id", T.StringType()), T.StructField("car_model", T.StringType()),
@@ -51,19 +54,63 @@ def cells(line: Column) -> Column:
     return F.transform(parts, lambda x: F.when(x.rlike(r'^\s*".*"\s*$'), F.replace(F.regexp_replace(x, r'^\s*"|"\s*$', ""), F.lit('""'), F.lit('"'))).otherwise(x))
 
 
+CSV = {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "mode": "PERMISSIVE"}
+#: A table of file blocks with at most so many rows is broadcast; a larger one is joined by shuffle.
+BROADCAST_BLOCKS = 100_000
+
+
+HEAD_LINES = 100  #: a header's cells with line breaks end within so many lines
+
+
+def headers(spark: SparkSession, root: str, pattern: str) -> list[tuple[list[str], bool, list[str]]]:
+    """(names, whether a quoted cell goes on over a line break, paths) of the files below root that match: one scan, of which a row for each file
+    is left. Paths stand on the driver, as they do in Spark's own file listing; they are grouped by their first line."""
+    import csv
+
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root).filter("value <> ''")
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at"), "value")
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    each = lines.groupBy("path").agg(F.min_by("value", "at").alias("head"), F.bool_or(odd).alias("broken"))
+    place = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    own = F.when((F.length("head") - F.length(F.replace("head", F.lit('"'), F.lit("")))) % 2 == 1, F.col("path"))  # the header itself goes on
+    groups = each.groupBy("head", "broken", own.alias("own")).agg(F.sort_array(F.collect_list(place)).alias("paths"))
+    found = []
+    for r in groups.orderBy("head", "own").collect():
+        first = [r.head] if r.own is None else [x.value + "\n" for x in lines.filter((F.col("path") == r.own) & F.col("at").isNotNull()).orderBy("at").limit(HEAD_LINES).collect()]
+        found.append((next(csv.reader(first)), r.broken, r.paths))
+    return found
+
+
+def csv_rows(spark: SparkSession, root: str, pattern: str, columns: Sequence[str]) -> DataFrame:
+    """(path, i, columns as text) of the files below root that match: columns by name, missing ones null; i is the row's place in its file.
+
+    Files are grouped by their header, and each group is read by Spark's own CSV reader, which splits large files over tasks
+    and takes quoted cells of any number and length; a file with a line break in quotes is one task. No line of a file is
+    shuffled: its place is its place in its block and the rows of the blocks before, counted in one more scan of no columns."""
+    parts = []
+    for names, broken, paths in headers(spark, root, pattern):
+        safe = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
+        reader = spark.read.options(**CSV).option("header", True).option("multiLine", broken)
+        schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))])
+        rows = reader.schema(schema).option("enforceSchema", True).option("maxColumns", max(len(names) + 1, 20_480)).csv(safe)
+        where = {c: f"c{k}" for k, c in reversed(list(enumerate(names)))}  # of columns with one name the first
+        rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), *((F.col(where[c]) if c in where else F.lit(None).cast("string")).alias(c) for c in columns))
+        held = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        blocks = cut(held.select("path", "block", (before - F.col("first")).alias("shift")))
+        blocks = F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks
+        parts.append(rows.join(blocks, ["path", "block"]).select("path", (F.col("at") + F.col("shift")).alias("i"), *columns))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([T.StructField("path", T.StringType()), T.StructField("i", T.LongType())] + [T.StructField(c, T.StringType()) for c in columns]))
+    return reduce(DataFrame.union, parts)
+
+
 def signals(spark: SparkSession, root: str, modality: str) -> DataFrame:
     """(dir, i, time_s, columns) of one modality's files below root. Headers are matched by name; rows without a readable
-    time go. i is the row's place in its file.
-
-    Files are read line by line, so a large one is split over tasks; a quoted cell may hold commas, but no line break. The
-    first line of a file reaches its others through one running window by file."""
+    time go. i is the row's place in its file."""
     columns = MODALITIES[modality]
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{modality}.csv").text(root).filter("value <> ''")
-    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), cells(F.col("value")).alias("row"))
-    w = W.partitionBy("path").orderBy("_block", "_at")
-    numbered = lines.withColumn("head", F.first("row").over(w)).withColumn("i", F.row_number().over(w) - 2).filter("i >= 0")
-    cell = lambda c: F.try_element_at("row", F.nullif(F.array_position("head", c), F.lit(0)).cast("int"))
-    table = numbered.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "i", cell("time_s").try_cast("double").alias("time_s"), *(cell(c).alias(c) for c in columns))
+    table = csv_rows(spark, root, f"{modality}.csv", ["time_s", *(c for c in columns if c != "time_s")])
+    table = table.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "i", F.col("time_s").try_cast("double").alias("time_s"), *columns)
     if "laneChangeState" in columns:  # an enumeration: 0 for off and empty, else 1
         state = F.coalesce(F.nullif("laneChangeState", F.lit("")), F.lit("off"))
         table = table.withColumn("laneChangeState", F.when(state == "off", 0.0).otherwise(1.0))

@@ -38,6 +38,17 @@ def replace_routes(old_path: str, new: DataFrame, path: str, key: str = "route_i
     upsert(new.sparkSession.read.parquet(old_path), new, key).write.mode("overwrite").parquet(path)
 
 
+def write_partitioned(df: DataFrame, path: str, key: str = "route_id") -> None:
+    """A table with a folder for each route, in which routes can be replaced in place."""
+    df.repartition(key).sortWithinPartitions(key).write.partitionBy(key).mode("error").parquet(path)
+
+
+def replace_partitions(new: DataFrame, path: str, key: str = "route_id") -> None:
+    """Write these routes over their own in a table of write_partitioned; other routes' files are not touched. New files
+    are staged beside the table and moved when all tasks have ended, so a failed write leaves the table as it was."""
+    new.repartition(key).sortWithinPartitions(key).write.partitionBy(key).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def split_documents(parts: DataFrame, counters: DataFrame, split_type: str) -> DataFrame:
     """One JSON text for a split: sorted routes and counters of each part. A split's routes are one row's lists."""
     lists = parts.groupBy("part").agg(F.array_sort(F.collect_list("route_id")).alias("routes")).join(counters, "part")
