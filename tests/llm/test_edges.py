@@ -126,6 +126,19 @@ def test_neighbours(points):
     assert neighbours.neighbours(points.filter("false"), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    same, far = rng.normal(size=8).tolist(), lambda: (rng.normal(size=8) * 0.01).tolist()
+    rows = [(1, same)] * 40 + [(i, same) for i in range(100, 120)] + [(i, far()) for i in range(200, 260)] + [(2, [x * (0.99 - j / 1e4) for x in same]) for j in range(60)] + [(0, same)]
+    got = [(r.vec_id, r.score) for r in neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=24).orderBy("rank").collect()]
+    best = {}
+    for i, v in rows:
+        if i:
+            best[i] = max(best.get(i, -1e9), float(np.dot(v, same)))
+    want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:24]
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want])
+
+
 def test_vectors(points):
     got = {r.vec_id: r for r in vectors.near_duplicates(points.filter("vec_id is not null")).collect()}
     assert got[0].n_links == 3 and {got[i].component_id for i in (0, 10, 20, 30)} == {0} and got[5].component_id == 5

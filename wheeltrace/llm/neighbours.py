@@ -128,7 +128,8 @@ def neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id",
     more = int(any(low < top * (1 - 1e-6) for top, low in tops.values()))
     cut = widths(total, unit(np.ones((1, dim)), 1.0, True, more).shape[1], probes)
     base_digits = 2 * cut[-1]  # the last hash: candidates and queries meet by the others, and are told apart by it inside
-    ranked = rows.withColumn("copy", F.row_number().over(W.partitionBy("vec").orderBy("vec_id"))).filter(F.col("copy") <= k + 1)
+    equal = W.partitionBy("vec").orderBy("vec_id")  # of equal vectors the first k + 1 ids are enough; a repeated row is one candidate
+    ranked = rows.withColumn("copy", F.dense_rank().over(equal)).withColumn("again", F.lag("vec_id").over(equal).eqNullSafe(F.col("vec_id"))).filter((F.col("copy") <= k + 1) & ~F.col("again"))
     chosen = base.hash_sample(rows, "vec_id", base.sample_fraction(facts.n, SAMPLE)).select("vec_id", "vec").toPandas()  # bounded by SAMPLE
     sample = spark.sparkContext.broadcast((chosen.vec_id.to_numpy(), matrix(chosen.vec, dim)))
 
@@ -183,6 +184,7 @@ def neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id",
         for bucket in np.unique(sub).tolist():
             i, j = np.searchsorted(sub, [bucket, bucket + 1])
             asking = who[wanted == bucket]
+            most = k + (j - i) - len(np.unique(ids[i:j]))  # rows among which k ids are, if an id has several vectors
             for b in range(0, len(asking), 500):
                 at = asking[b : b + 500]
                 s = x[at] @ c[i:j].T
@@ -190,14 +192,18 @@ def neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id",
                     scored.add(s.size)
                 s = np.where(own[at][:, None] == ids[None, i:j], -np.inf, s)
                 low = floor[at]
-                if s.shape[1] > k:
-                    low = np.maximum(low, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+                if s.shape[1] > most:
+                    low = np.maximum(low, np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most])
                 low = np.maximum(low, -1e300)
                 p, q = np.nonzero(s >= (low - 1e-9 * np.minimum(1 + np.abs(low), 1e300))[:, None])
                 parts.append((own[at[p]], ids[i + q], np.einsum("ij,ij->i", x[at[p]], c[i + q])))
         if not parts:
             return none
         query, vec_id, score = map(np.concatenate, zip(*parts, strict=True))
+        order = np.lexsort((-score, vec_id, query))  # of an id with several vectors the nearest
+        query, vec_id, score = query[order], vec_id[order], score[order]
+        once = np.append(True, (query[1:] != query[:-1]) | (vec_id[1:] != vec_id[:-1])) if len(query) else np.zeros(0, bool)
+        query, vec_id, score = query[once], vec_id[once], score[once]
         order = np.lexsort((vec_id, -score, query))  # a tile's first k of a query are enough
         query, vec_id, score = query[order], vec_id[order], score[order]
         first = np.append(True, query[1:] != query[:-1]) if len(query) else np.zeros(0, bool)
