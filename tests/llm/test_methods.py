@@ -741,3 +741,30 @@ def test_pipeline_keeps_and_drops(spark, data):
     assert rows.join(toxic, "doc_id", "left_semi").count() <= 0.3 * toxic.count()
     pieces = corpus_pipeline.run(spark, data).toPandas()
     assert pieces.groupby("sequence_id").length.sum().max() <= 2048 and set(pieces.doc_id) <= set(rows.toPandas().doc_id)
+
+
+def test_pipeline_writes_end_tokens_only_where_documents_end(spark, tmp_path):
+    """Documents of 1 to 500 words, each word naming its document and place: what packing returns reads as parts of documents, and an end
+    token stands behind each last word, and nowhere else."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    sizes = {i: 1 + i * 37 % 500 for i in range(60)}
+    docs = spark.createDataFrame([(i, " ".join(f"d{i}w{k}" for k in range(n)), "en", "ab"[i % 2], 0) for i, n in sizes.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).cache()
+    assert mixed.columns == docs.columns and mixed.filter("n_chars is null").count() > 0
+    last = {i: f"d{i}w{n - 1}" for i, n in sizes.items()}
+    for r in mixed.collect():
+        assert (r.n_chars is not None) == (r.text.split()[-1] == last[r.doc_id])
+    got = corpus_pipeline.packing_stage(spark, mixed, str(tmp_path)).toPandas()
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ends = 0
+    for r in got.itertuples():
+        ids = np.frombuffer(r.ids, "<u4")
+        ends += int((ids == packing.END_ID).sum())
+        if r.start + r.length == r.doc_tokens and ids[-1] == packing.END_ID and r.length > 1:
+            said = exact.decode(ids[:-1].tolist())
+            assert last[r.doc_id].endswith(said.split()[-1])
+        else:
+            assert packing.END_ID not in ids[:-1]
+    assert ends == mixed.filter("n_chars is not null").count() == sum(r.text.split()[-1] == last[r.doc_id] for r in mixed.collect())

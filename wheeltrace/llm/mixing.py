@@ -182,8 +182,8 @@ def slots(spark: SparkSession, sources: list[Source], total: int, *, seed: int =
 
 def mixed(docs: DataFrame, text: str, source: str, id_col: str, weights: Sequence[float], max_repeats: int, block: int, seed: int, shard_slots: int, *, ordered: bool) -> tuple[DataFrame, DataFrame, list[str]]:
     """The mix and the placed rows, whose columns are named _c0, _c1, ... A row of the mix is what one slot takes of one
-    row: (shard, slot, source_no, source_name, block, low, start, words) and the row's columns, in its text only those words
-    with the white space between them. ordered: by shard, slot and low, the words of the block before the part."""
+    row: (shard, slot, source_no, source_name, block, low, start, words, last) and the row's columns, in its text only those words
+    with the white space between them; last: whether they end the row's text. ordered: by shard, slot and low, the words of the block before the part."""
     spark = docs.sparkSession
     plain = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))  # no name of docs can clash below
     names = plain.columns
@@ -197,8 +197,8 @@ def mixed(docs: DataFrame, text: str, source: str, id_col: str, weights: Sequenc
     white = np.zeros(256, bool)
     white[[9, 10, 11, 12, 13, 32]] = True
 
-    def cut(t: str, start: int) -> list[tuple[int, int, int, str]]:
-        """Block, words of the block before the part, words and characters of each part of a text."""
+    def cut(t: str, start: int) -> list[tuple[int, int, int, bool, str]]:
+        """Block, words of the block before the part, words, whether it is the last, and characters of each part of a text."""
         raw = t.encode("utf-8", "surrogatepass")
         held = np.concatenate([[False], ~white[np.frombuffer(raw, np.uint8)], [False]])
         turns = np.flatnonzero(held[1:] != held[:-1])
@@ -206,7 +206,7 @@ def mixed(docs: DataFrame, text: str, source: str, id_col: str, weights: Sequenc
         blocks = np.arange(start // block, (start + len(begin) - 1) // block + 1)
         lo = np.maximum(blocks * block - start, 0)
         hi = np.minimum((blocks + 1) * block - start, len(begin))
-        return [(k, start + i - k * block, j - i, raw[x:y].decode("utf-8", "surrogatepass")) for k, i, j, x, y in zip(blocks.tolist(), lo.tolist(), hi.tolist(), begin[lo].tolist(), end[hi - 1].tolist(), strict=True)]
+        return [(k, start + i - k * block, j - i, j == len(begin), raw[x:y].decode("utf-8", "surrogatepass")) for k, i, j, x, y in zip(blocks.tolist(), lo.tolist(), hi.tolist(), begin[lo].tolist(), end[hi - 1].tolist(), strict=True)]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in base.slices(batches):
@@ -214,15 +214,15 @@ def mixed(docs: DataFrame, text: str, source: str, id_col: str, weights: Sequenc
             starts = b.column(1).to_pylist()
             for i, j in base.blocks(texts):
                 made = [(r, *part) for r in range(i, j) for part in cut(texts[r], starts[r])]
-                row, number, low, words, held = map(list, zip(*made, strict=True)) if made else ([], [], [], [], [])
+                row, number, low, words, last, held = map(list, zip(*made, strict=True)) if made else ([], [], [], [], [], [])
                 kept = b.select([0, 1, *range(3, b.num_columns)]).take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(number, pa.int64()), pa.array(low, pa.int64()), pa.array(words, pa.int64()), pa.array(held, pa.string())], names=[*kept.schema.names, "block", "low", "words", "part"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(number, pa.int64()), pa.array(low, pa.int64()), pa.array(words, pa.int64()), pa.array(last, pa.bool_()), pa.array(held, pa.string())], names=[*kept.schema.names, "block", "low", "words", "last", "part"])
 
     from pyspark.sql.types import StructType
 
     placed_rows = at.filter("_size > 0").select("source_no", "start", own[text], "source_name", *others)
     fields = {f.name: f for f in placed_rows.schema}
-    cut_schema = StructType([fields[n] for n in ("source_no", "start", "source_name", *others)]).add("block", "long").add("low", "long").add("words", "long").add("part", "string")
+    cut_schema = StructType([fields[n] for n in ("source_no", "start", "source_name", *others)]).add("block", "long").add("low", "long").add("words", "long").add("last", "boolean").add("part", "string")
     taken = slots(spark, sources, total, seed=seed, block=block, shard_slots=shard_slots, max_repeats=max_repeats)
     found = placed_rows.mapInArrow(explode, cut_schema).join(taken.hint("merge"), ["source_no", "block"])  # not broadcast: the planner takes slots for as few as draws
     if ordered:
@@ -245,11 +245,11 @@ def mix_blocks(docs: DataFrame, *, text: str = "text", source: str = "source", i
     return one.select("shard", "slot", "source", "block", F.split(F.array_join("parts.part", " "), r"[ \t-\r]+").alias("tokens"))
 
 
-def mix_texts(docs: DataFrame, *, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block: int = BLOCK_WORDS, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+def mix_texts(docs: DataFrame, *, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block: int = BLOCK_WORDS, seed: int = SEED, shard_slots: int = SHARD_SLOTS, last: str | None = None) -> DataFrame:
     """The texts of the mix's blocks in order of shard and slot, with all columns of docs. A block that several rows share
-    gives a row for each, so that id and language stay those of the text."""
+    gives a row for each, so that id and language stay those of the text. `last` names a column for whether the part ends its row's text."""
     parts, _, names = mixed(docs, text, source, id_col, weights, max_repeats, block, seed, shard_slots, ordered=True)
-    return parts.select(*names).toDF(*docs.columns)
+    return parts.select(*names, *(["last"] if last else [])).toDF(*docs.columns, *([last] if last else []))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

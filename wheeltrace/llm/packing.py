@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -208,22 +208,24 @@ class Kept:
             del self.batches[first]
 
 
-def pack(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, end_id: int = END_ID, group: int = WINDOWS, ranks: str | None = None, exact: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, end_id: int = END_ID, group: int = WINDOWS, ranks: str | None = None, exact: str | None = None, ends: Column | None = None) -> DataFrame:
     """One row for each piece: `keep` columns, its start in the document, length, ids (little-endian unsigned 32-bit),
-    the document's tokens, its sequence and its place there."""
+    the document's tokens, its sequence and its place there. `ends`: whether a row's text ends its document; those of
+    which it is not true get no end token, and no row if they have no token at all."""
     scratch = base.Scratch(docs.sparkSession)
-    rows = docs.select(F.col(text).cast("string").alias("_text"), *keep)
-    schema = StructType([*rows.schema.fields[1:], *StructType.fromDDL(SCHEMA)])
+    rows = docs.select(F.col(text).cast("string").alias("_text"), (F.lit(True) if ends is None else F.coalesce(ends, F.lit(False))).alias("_ends"), *keep)
+    schema = StructType([*rows.schema.fields[2:], *StructType.fromDDL(SCHEMA)])
     base.small_batches(docs.sparkSession)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = byte_bpe(ranks, exact), Packer(TaskContext.get().partitionId() << 36, capacity, group)
         kept = Kept(packer)
         for b in base.slices(batches):
-            kept.put(b.select(list(range(1, b.num_columns))))
+            kept.put(b.select(list(range(2, b.num_columns))))
             size = 0
-            for t in b.column(0).to_pylist():
-                packer.add(kept.number, np.append(encode(t or ""), np.uint32(end_id)))
+            for t, end in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = encode(t or "")
+                packer.add(kept.number, np.append(ids, np.uint32(end_id)) if end else ids)
                 kept.number += 1
                 size += len(t or "")
                 if size > base.BLOCK_CHARS:
