@@ -49,15 +49,18 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: the blocks of text that the shards draw, in shard and slot order, a row for each document in a block. A null source is a source of
-    its own; texts without words are in no block and go."""
+    its own; texts without words are in no block and go. n_chars is the length of a part that ends its document, and null for one
+    that goes on in another block."""
     base.small_batches(spark)
-    return mixing.mix_texts(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+    parts = mixing.mix_texts(docs.select(*COLUMNS), last="_last")
+    return parts.withColumn("n_chars", F.when(F.col("_last"), F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens, with their token ids (binary, little-endian unsigned 32-bit)."""
+    """Pieces of documents in sequences of at most 2048 tokens, with their token ids (binary, little-endian unsigned 32-bit). An end token
+    follows a text whose n_chars is not null; others go on elsewhere, and end no document."""
     base.small_batches(spark)
-    pieces = packing.pack(docs)
+    pieces = packing.pack(docs, ends=F.col("n_chars").isNotNull())
     return packing.digest(pieces, "ids")
 
 
