@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from wheeltrace.operators import temporal
 
@@ -100,3 +101,41 @@ def test_sequential_ids_run_on_over_keys(spark):
     df = spark.createDataFrame([(2, 1.0), (1, 5.0), (1, 3.0)], "route_id int, t double")
     got = {(r.route_id, r.t): r.id for r in temporal.sequential_ids(df, "route_id", ["t"], prefix="ACT", width=5, name="id").collect()}
     assert got == {(1, 3.0): "ACT_00001", (1, 5.0): "ACT_00002", (2, 1.0): "ACT_00003"}
+
+
+@pytest.mark.parametrize("bucket", (0.5, 7.0, 1e6))
+def test_spans_give_the_same_rows(spark, bucket):
+    """A route with a third of all rows, routes with probes or samples only, equal times, null times and a null route."""
+    import random
+
+    rng = random.Random(8)
+    at = lambda: rng.choice((None, *(x / 2 for x in range(-20, 80))))
+    routes = [1] * 10 + [2, 3, 4, None] * 5
+    stream = spark.createDataFrame([(rng.choice(routes), i, at(), i * 10) for i in range(200)] + [(7, 500, 1.0, 5)], "route_id int, i int, time_s double, v int").filter("time_s is not null")
+    probe = spark.createDataFrame([(rng.choice([*routes, 9]), k, at()) for k in range(300)], "route_id int, k int, time_s double")
+    for f, more in ((temporal.asof_forward, {}), (temporal.asof_forward, {"clamp": False}), (temporal.asof_backward, {}), (temporal.asof_nearest, {})):
+        want = sorted(f(probe, stream, ["route_id"], cols=["i", "v"], at="found", **more).collect(), key=str)
+        assert sorted(f(probe, stream, ["route_id"], cols=["i", "v"], at="found", bucket=bucket, **more).collect(), key=str) == want
+
+
+def test_one_route_runs_in_many_tasks(spark):
+    stream = spark.range(20_000).select(F.lit(1).alias("route_id"), F.col("id").alias("i"), (F.col("id") / 10).alias("time_s"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = temporal.asof_backward(stream.select("route_id", (F.col("time_s") + 0.05).alias("time_s")), stream, ["route_id"], cols=["i"], bucket=50.0).withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in got.groupBy("task").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 20_000 and got.filter(F.col("i") != F.floor(F.col("time_s") * 10)).count() == 0
+
+
+@pytest.mark.parametrize("gap", (0.5, 3.0, 40.0))
+def test_dealt_gaps_equal_the_fold(spark, gap):
+    import random
+
+    rng = random.Random(2)
+    rows = [(r, rng.randrange(0, 4_000) / 4) for r in [1] * 300 + [2] * 20 + [None] * 9 for _ in (0,)] + [(3, 1.0), (3, 1.0), (4, None)]
+    df = spark.createDataFrame(rows, "k int, t double")
+    want = sorted(temporal.greedy_gap(df, ["k"], "t", gap).collect(), key=str)
+    assert sorted(temporal.greedy_gap_dealt(df, ["k"], "t", gap).collect(), key=str) == want
+    assert temporal.greedy_gap_dealt(df.filter("false"), ["k"], "t", gap).count() == 0

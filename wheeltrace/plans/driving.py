@@ -47,6 +47,21 @@ def greedy_gap_events(spark: SparkSession, d: str) -> DataFrame:
     return temporal.greedy_gap(x, ["route_id", "event_type"], "time_s", 24.0)
 
 
+def greedy_gap_hot(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks and views of all users as one route, dealt over tasks by time."""
+    x = views.irregular(spark, d).filter("event_type in ('click', 'view')").select((F.col("route_id") * 0).cast("int").alias("route_id"), "time_s")
+    return temporal.greedy_gap_dealt(x, ["route_id"], "time_s", 24.0)
+
+
+def asof_hot_route(spark: SparkSession, d: str) -> DataFrame:
+    """Each error with the last purchase before it and the next one after it, of all users as one route, dealt over tasks by time."""
+    x = views.irregular(spark, d).withColumn("route_id", F.lit(0))
+    bought = x.filter("event_type = 'purchase'").select("route_id", "time_s", "i", F.col("value").alias("v"))
+    errors = x.filter("event_type = 'error'").select("route_id", F.col("i").alias("error_id"), "time_s")
+    back = temporal.asof_backward(errors, bought, ["route_id"], cols=["v"], at="before_s", bucket=48.0).withColumnRenamed("v", "before_v")
+    return temporal.asof_forward(back, bought, ["route_id"], cols=["v"], at="after_s", clamp=False, bucket=48.0).select("error_id", "time_s", "before_s", "before_v", "after_s", F.col("v").alias("after_v"))
+
+
 def grid_1hz_asof_forward(spark: SparkSession, d: str) -> DataFrame:
     return labels.sampled_signals(_samples(spark, d), _radar(spark, d))
 
@@ -136,7 +151,7 @@ def stratified_sample_gap(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (routes_summary, transition_events, debounced_runs, episodes_merged, raw_state_segments, greedy_gap_events, grid_1hz_asof_forward, asof_backward_state, asof_nearest_row, action_labels, action_histogram, task1_windows_majority, task1_sample_ids, split_by_driver, split_by_vehicle, split_random, split_event_counts, split_leakage_check, stratified_sample_gap)
+    for f in (routes_summary, transition_events, debounced_runs, episodes_merged, raw_state_segments, greedy_gap_events, greedy_gap_hot, grid_1hz_asof_forward, asof_backward_state, asof_nearest_row, asof_hot_route, action_labels, action_histogram, task1_windows_majority, task1_sample_ids, split_by_driver, split_by_vehicle, split_random, split_event_counts, split_leakage_check, stratified_sample_gap)
 }
 for _h in (1, 3, 5):
     QUERIES[f"task2_positives_h{_h}"] = _positives("activation", 0, float(_h))
@@ -247,6 +262,8 @@ SELECT route_id, n_rows, {_H("d", 1)} AS duration_s, {_H("sh", 4)} AS adas_frac,
     "episodes_merged": _EPISODES + " SELECT * FROM eps",
     "raw_state_segments": _STATE + _BOUNDS + " SELECT * FROM seg",
     "greedy_gap_events": views.with_views("tel_x") + _greedy("g", "(SELECT * FROM tel_x WHERE event_type IN ('click', 'view'))", "route_id, event_type", "time_s", "24.0") + " SELECT * FROM g",
+    "greedy_gap_hot": views.with_views("tel_x") + _greedy("g", "(SELECT 0 AS route_id, time_s FROM tel_x WHERE event_type IN ('click', 'view'))", "route_id", "time_s", "24.0") + " SELECT * FROM g",
+    "asof_hot_route": views.with_views("tel_x") + ", b AS (SELECT 0 AS k, time_s, arg_max(value, i) AS hi, arg_min(value, i) AS lo FROM tel_x WHERE event_type = 'purchase' GROUP BY time_s), e AS (SELECT 0 AS k, i AS error_id, time_s FROM tel_x WHERE event_type = 'error') SELECT e.error_id, e.time_s, x.time_s AS before_s, x.hi AS before_v, y.time_s AS after_s, y.lo AS after_v FROM e ASOF LEFT JOIN b x ON x.k = e.k AND e.time_s >= x.time_s ASOF LEFT JOIN b y ON y.k = e.k AND e.time_s <= y.time_s",
     "grid_1hz_asof_forward": _STATE + _GRID + " SELECT * FROM sig",
     "asof_backward_state": _STATE + _GRID + " SELECT g.route_id, g.s, g.time_s, c.time_s AS since_s, c.state FROM grid g ASOF LEFT JOIN chg c ON c.route_id = g.route_id AND g.time_s >= c.time_s",
     "asof_nearest_row": views.with_views("tel_x") + """ SELECT e.route_id, e.i AS error_id, e.time_s, p.p.time_s AS purchase_s, p.p.i AS purchase_id, p.p.value AS value FROM tel_x e
