@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +16,8 @@ from ..functions.numeric import half_even
 from .lineage import cut
 
 LIMIT_DROP = 5  #: km/h by which a limit ahead must be lower
+MOST_STRETCH = 16.0  #: most that an edge may span for each metre of its length, for tiles
+NO_INTERSECTION_M = 999.0  #: distance where no intersection is known
 
 
 def bounded_paths(edges: DataFrame, sources: DataFrame, cutoff: float) -> DataFrame:
@@ -28,6 +34,58 @@ def bounded_paths(edges: DataFrame, sources: DataFrame, cutoff: float) -> DataFr
     return best
 
 
+def tiled_paths(edges: DataFrame, nodes: DataFrame, sources: DataFrame, cutoff: float) -> DataFrame:
+    """As bounded_paths, for nodes with places (node_id, x, y in metres): one shuffle, and no rounds over all paths.
+
+    No path of at most cutoff leaves the circle of cutoff times the largest span of an edge for each metre of its length, so the plane
+    is cut into squares of that size: a square's sources meet the edges that start in it or in the eight around it, and each source's
+    paths are searched there. A square holds the roads of a place, whatever the size of the network. Where an edge has no place, or
+    spans more than MOST_STRETCH times its length, bounded_paths does the work. Null sources have no paths."""
+    place = lambda end: nodes.select(F.col("node_id").alias(end), F.col("x").alias(f"{end}_x"), F.col("y").alias(f"{end}_y"))
+    own = sources.select("node_id").filter("node_id is not null").distinct()
+    e = edges.groupBy("u", "v").agg(F.min("length").alias("length")).join(place("u"), "u", "left").join(place("v"), "v", "left")
+    span = F.hypot(F.col("u_x") - F.col("v_x"), F.col("u_y") - F.col("v_y"))
+    e = cut(e.withColumn("span", F.when(span == 0, 0.0).otherwise(F.coalesce(F.try_divide(span, F.col("length")), F.lit(math.inf)))))
+    stretch = e.agg(F.max("span")).head()[0] or 0.0
+    if not stretch <= MOST_STRETCH:
+        return bounded_paths(edges, own, cutoff)
+    side = max(1.0, cutoff * max(stretch, 1.0) * 1.001)  # more than the circle, as sums are rounded
+    tile = lambda c: F.floor(F.coalesce(c, F.lit(0.0)) / side)
+    around = lambda c: F.explode(F.sequence(tile(c) - 1, tile(c) + 1))
+    starts = own.join(place("node_id"), "node_id", "left").select("node_id", tile(F.col("node_id_x")).alias("tx"), tile(F.col("node_id_y")).alias("ty"))
+    roads = e.withColumn("tx", around(F.col("u_x"))).withColumn("ty", around(F.col("u_y"))).select("tx", "ty", "u", "v", "length")
+    kind = own.schema["node_id"].dataType.simpleString()
+    return starts.groupBy("tx", "ty").cogroup(roads.groupBy("tx", "ty")).applyInPandas(lambda a, b: _paths_of_tile(a, b, cutoff), f"src {kind}, dst {kind}, dist double")
+
+
+def _paths_of_tile(starts: pd.DataFrame, roads: pd.DataFrame, cutoff: float) -> pd.DataFrame:
+    """Shortest distances from each start over the roads of its surroundings."""
+    links: dict = {}
+    if len(starts):
+        for u, v, length in zip(roads["u"].tolist(), roads["v"].tolist(), roads["length"].tolist()):
+            links.setdefault(u, []).append((v, length))
+    src, dst, dist = [], [], []
+    for start in starts["node_id"].tolist():
+        best, heap = {start: 0.0}, [(0.0, start)]
+        while heap:
+            d, node = heapq.heappop(heap)
+            if d > best[node]:
+                continue
+            for v, length in links.get(node, ()):
+                if d + length <= cutoff and d + length < best.get(v, math.inf):
+                    best[v] = d + length
+                    heapq.heappush(heap, (d + length, v))
+        src += [start] * len(best)
+        dst += best
+        dist += best.values()
+    return pd.DataFrame({"src": pd.Series(src, dtype=object), "dst": pd.Series(dst, dtype=object), "dist": pd.Series(dist, dtype=float)})
+
+
+def plain_tags(edges: DataFrame, tags: tuple[str, ...] = ("highway", "maxspeed", "lanes")) -> DataFrame:
+    """Edges with the first value of tags that are lists (null for an empty list); other columns stay."""
+    return edges.withColumns({c: F.get(c, F.lit(0)) for c, t in edges.dtypes if c in tags and t.startswith("array")})
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node_id, degree): ends of edges at each node, in and out."""
     return edges.select(F.col("u").alias("node_id")).unionAll(edges.select("v")).groupBy("node_id").agg(F.count("*").alias("degree"))
@@ -90,3 +148,38 @@ def nearest_edge(points: DataFrame, nodes: DataFrame, edges: DataFrame, *, max_m
     j = j.withColumn("dist", F.sqrt(ex * ex + ey * ey)).filter(F.col("dist") <= max_m)
     best = j.groupBy("point_id").agg(F.min(F.struct("dist", "u", "v", "key")).alias("m")).select("point_id", "m.u", "m.v", "m.key", half_even(F.col("m.dist"), 3).alias("dist"))
     return points.select("point_id").join(best, "point_id", "left")
+
+
+def trace_features(points: DataFrame, nodes: DataFrame, edges: DataFrame, th: Thresholds, *, max_m: float = 60.0, every: int = 10) -> DataFrame:
+    """Road context of trace rows (route_id, i, time_s, px, py, heading_deg): the nearest edge's attributes and its angle to the heading at each
+    row; intersections, density and what lies ahead at every `every`-th row and the last one of a route, filled forward in between.
+
+    nodes: node_id, x and y in metres, lon and lat; edges: u, v, key, length, highway, maxspeed, lanes (texts or lists). Rows without an edge within max_m have
+    no attributes, and count as far from all intersections. Paths are searched once for each end of a matched edge."""
+    edges, metres = plain_tags(edges), nodes.select("node_id", "x", "y")
+    degree = nodes.select("node_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    end = lambda n: nodes.select(F.col("node_id").alias(n), F.col("lat").alias(f"{n}_lat"), F.col("lon").alias(f"{n}_lon"))
+    kind = geo.road_class(F.col("highway"))
+    tags = edges.join(end("u"), "u").join(end("v"), "v").select(
+        "u", "v", "key", kind.alias("road_type"), (kind == "motorway").cast("int").alias("is_highway"), geo.speed_limit(F.col("maxspeed")).alias("speed_limit_kph"), geo.lanes(F.col("lanes")).alias("n_lanes"),
+        geo.is_link(F.col("highway")).cast("int").alias("is_on_ramp"), geo.bearing(F.col("u_lat"), F.col("u_lon"), F.col("v_lat"), F.col("v_lon")).alias("_bearing"),
+    )
+    w = W.partitionBy("route_id").orderBy("time_s", "i")
+    taken = ((F.row_number().over(w) - 1) % every == 0) | F.lead("i").over(w).isNull()
+    rows = cut(points.withColumn("point_id", F.struct("route_id", "i")).withColumn("_taken", taken))
+    found = nearest_edge(rows.select("point_id", "px", "py"), metres, edges, max_m=max_m).drop("dist")
+    rows = cut(rows.join(found, "point_id").join(tags, ["u", "v", "key"], "left").withColumn("bearing_vs_road", half_even(F.abs(geo.turn(F.col("heading_deg"), F.col("_bearing"))), 2)))
+    some = rows.filter("_taken").select("point_id", "u", "v", "key", "heading_deg")
+    ends = some.select(F.col("u").alias("node_id")).unionAll(some.select("v")).distinct()
+    beyond = cut(tiled_paths(edges, metres, ends, max(th.intersection_horizon_m, th.reach_m)))
+    around, beyond = beyond.filter(F.col("dist") <= th.reach_m), beyond.filter(F.col("dist") <= th.intersection_horizon_m)
+    ahead_of = trace_context(some.filter("u is not null"), edges, degree, around, beyond, th)
+    some = some.join(intersection_distance(edges, around, th), ["u", "v", "key"], "left").join(ahead_of, "point_id", "left")
+    known = some.select("point_id", F.struct(
+        F.coalesce("dist_to_intersection_m", F.lit(NO_INTERSECTION_M)).alias("dist_to_intersection_m"), F.coalesce("is_near_intersection", F.lit(0)).alias("is_near_intersection"),
+        F.coalesce("road_network_density", F.lit(0)).alias("road_network_density"), F.coalesce("dist_to_intersection", F.lit(th.intersection_horizon_m)).alias("hw_dist_to_intersection_m"),
+        F.coalesce("n_intersections", F.lit(0)).alias("hw_n_intersections_300m"), F.coalesce("road_type_changes", F.lit(0)).alias("hw_road_type_changes"),
+        F.coalesce("ramp_ahead", F.lit(0)).alias("hw_is_ramp_ahead_300m"), F.coalesce("speed_limit_decreases", F.lit(0)).alias("hw_speed_limit_decreases"),
+    ).alias("_known"))
+    filled = rows.join(known, "point_id", "left").withColumn("_known", F.last("_known", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return filled.select("route_id", "i", "road_type", "is_highway", "speed_limit_kph", "n_lanes", "is_on_ramp", "bearing_vs_road", "_known.*")

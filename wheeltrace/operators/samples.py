@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Thresholds
 from . import temporal
+from .lineage import cut
 
 
 def eligible(bounds: DataFrame, horizon: float, th: Thresholds) -> DataFrame:
@@ -66,6 +67,18 @@ def negatives(events: DataFrame, segments: DataFrame, bounds: DataFrame, *, hori
     return free.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= cap).select("route_id", (F.col("end_s") - th.input_window_s).alias("start_s"), "end_s")
 
 
+def prediction_rows(found: DataFrame, none: DataFrame, routes: DataFrame, *, prefix: str, horizon: float, state: int, th: Thresholds) -> DataFrame:
+    """The samples of a prediction task as they are published: positives and negatives of a horizon with their routes' columns, numbered in the order
+    of routes; within a route positives by event and end, then negatives by end. routes: route_id and what is known of each route."""
+    rows = found.withColumn("label", F.lit(1)).unionByName(none.withColumn("label", F.lit(0)), allowMissingColumns=True)
+    ids = temporal.sequential_ids(cut(rows), "route_id", [F.col("label").desc(), "nearest_event_s", "end_s"], prefix=prefix, width=7, name="sample_id")
+    known = [c for c in routes.columns if c != "route_id"]
+    return ids.join(routes, "route_id").select(
+        "sample_id", "route_id", F.col("start_s").alias("start_time_sec"), F.col("end_s").alias("end_time_sec"), F.lit(float(th.input_window_s)).alias("input_window_sec"), F.lit(float(horizon)).alias("horizon_sec"),
+        "label", F.lit(state).alias("current_adas_state"), F.col("nearest_event_s").alias("nearest_event_time"), *known,
+    )
+
+
 def stratified(samples: DataFrame, *, strata: str, per_stratum: int, min_gap: float, seed: int = 42) -> DataFrame:
     """At most per_stratum samples of each stratum, after thinning each route's to min_gap apart, by a hash order."""
     thin = temporal.greedy_gap(samples.select(strata, "route_id", "start_s").distinct(), [strata, "route_id"], "start_s", min_gap)

@@ -62,6 +62,23 @@ def road_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def road_network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): a town of one-way streets that grows with the parts, with places in metres and degrees; some tags are lists."""
+    n = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("node_id")).withColumn("c", F.col("node_id") % 40).withColumn("r", F.floor(F.col("node_id") / 40).cast("int"))
+    nodes = n.select("node_id", (F.col("c") * 83.0).alias("x"), (F.col("r") * 109.0).alias("y"), (F.col("c") / 1024 - 75).alias("lon"), (F.col("r") / 1024 + 40).alias("lat"))
+    u, row, col = F.col("node_id"), F.col("r"), F.col("c")
+    east, north = F.when(row % 2 == 0, 1).otherwise(-1), F.when(col % 2 == 0, 1).otherwise(-1)
+    road = lambda right, up, key, length: F.struct(right.alias("right"), up.alias("up"), F.lit(key).alias("key"), length.cast("double").alias("length"))
+    roads = n.withColumn("e", F.explode(F.array(road(east, F.lit(0), 0, 85 + u * 7 % 13 * 5), road(F.lit(0), north, 0, 110 + u * 3 % 11 * 5), road(F.lit(1), F.when(u % 7 == 0, 1), 1, 138 + u % 5 * 5))))
+    roads = roads.filter((col + F.col("e.right")).between(0, 39)).select(u.alias("u"), (u + F.col("e.right") + 40 * F.col("e.up")).alias("v"), "e.key", "e.length").join(nodes.select(F.col("node_id").alias("v")), "v", "left_semi")
+    pick = lambda xs, i: F.element_at(F.array(*(F.lit(x) for x in xs)), i % len(xs) + 1)
+    at = F.col("u") + F.col("key")
+    edges = roads.select("u", "v", "key", "length", F.array(pick(NETWORK_TAGS, at), F.lit("service")).alias("highway"), pick(NETWORK_LIMITS, F.col("u") + 2 * F.col("key")).alias("maxspeed"), F.array(pick(NETWORK_LANES, at)).alias("lanes"))
+    return nodes, edges
+
+
+NETWORK_TAGS, NETWORK_LIMITS, NETWORK_LANES = ("motorway", "primary_link", "residential", "secondary", "tertiary"), ("100", "50 mph", "30", "walk", "60"), ("2", "1", "3;2", "4")
+
 #: The same views in SQL.
 SQL = {
     "ev": "ev AS (SELECT user_id AS route_id, event_id, ts, event_type, value, TRY_CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) AS k FROM events)",
@@ -82,6 +99,12 @@ SQL = {
     "edges": """edges AS (SELECT u, v, key, 40.0::DOUBLE + ((u * 7 + key * 31) % 13) * 10.0::DOUBLE AS length,
         (['motorway', 'primary_link', 'residential', 'secondary', 'tertiary'])[(u + key) % 5 + 1] AS highway, (['100', '50 mph', '30', 'walk', '60'])[(u + 2 * key) % 5 + 1] AS maxspeed
         FROM (SELECT node_id AS u, CAST((node_id + s.step) % 25 AS INTEGER) AS v, s.key AS key FROM nodes, (VALUES (1, 0), (3, 1), (7, 2)) s(step, key) WHERE (node_id + s.key * 5) % 4 <> 0))""",
+    "town": f"""nd AS (SELECT CAST(p_partkey AS INTEGER) AS node_id, CAST(p_partkey % 40 AS INTEGER) AS c, CAST(p_partkey // 40 AS INTEGER) AS r FROM part),
+nodes AS (SELECT node_id, c * 83.0::DOUBLE AS x, r * 109.0::DOUBLE AS y, c / 1024.0::DOUBLE - 75 AS lon, r / 1024.0::DOUBLE + 40 AS lat FROM nd),
+rd AS (SELECT node_id AS u, c, CASE WHEN r % 2 = 0 THEN 1 ELSE -1 END AS ri, 0 AS up, 0 AS key, 85 + node_id * 7 % 13 * 5 AS length FROM nd
+  UNION ALL SELECT node_id, c, 0, CASE WHEN c % 2 = 0 THEN 1 ELSE -1 END, 0, 110 + node_id * 3 % 11 * 5 FROM nd UNION ALL SELECT node_id, c, 1, 1, 1, 138 + node_id % 5 * 5 FROM nd WHERE node_id % 7 = 0),
+edges AS (SELECT u, CAST(u + ri + 40 * up AS INTEGER) AS v, key, length::DOUBLE AS length, [({list(NETWORK_TAGS)})[(u + key) % 5 + 1], 'service'][1] AS highway, ({list(NETWORK_LIMITS)})[(u + 2 * key) % 5 + 1] AS maxspeed, [({list(NETWORK_LANES)})[(u + key) % 4 + 1]][1] AS lanes
+  FROM rd WHERE c + ri BETWEEN 0 AND 39 AND u + ri + 40 * up IN (SELECT node_id FROM nodes))""",
 }
 
 
