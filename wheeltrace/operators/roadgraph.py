@@ -35,7 +35,7 @@ def bounded_paths(edges: DataFrame, sources: DataFrame, cutoff: float) -> DataFr
 
 
 def tiled_paths(edges: DataFrame, nodes: DataFrame, sources: DataFrame, cutoff: float) -> DataFrame:
-    """As bounded_paths, for nodes with places (node_id, x, y in metres): one shuffle, and no rounds over all paths.
+    """As bounded_paths, for nodes with places (node_id, x, y in metres): edges get their places, then one shuffle by squares finds all paths, without rounds.
 
     No path of at most cutoff leaves the circle of cutoff times the largest span of an edge for each metre of its length, so the plane
     is cut into squares of that size: a square's sources meet the edges that start in it or in the eight around it, and each source's
