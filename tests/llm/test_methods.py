@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -573,6 +574,22 @@ def test_model_scores_equal_a_plain_computation():
     assert np.allclose(m.log10(c, before, symbol), want, atol=1e-4)
 
 
+def test_every_training_position_is_learned_once():
+    """Words that occur once each, so that a symbol's place tells its position; some texts are held out, one is empty."""
+    hashes, kinds, sizes = scoring.token_hashes([" ".join(f"w{i}x{j}" for j in range(i)) for i in range(90)])
+    held = np.arange(90) % 5 == 1
+    words, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    c = scoring.Counts(len(hashes), len(words), words, np.ones(len(words), np.int64), np.zeros(scoring.KINDS, np.int64), np.zeros(scoring.KINDS, np.int64), 90)
+    row = SimpleNamespace(chunk=5, sizes=sizes.tobytes(), held=held.tobytes(), hashes=words.tobytes(), kinds=kinds[first].tobytes(), low=number.astype(np.uint16).tobytes(), high=np.zeros(len(number), np.uint16).tobytes())
+    learned = Counter()
+    for turn in range(scoring.ROUNDS):
+        for before, symbol in scoring.batches_of(row, c, turn):
+            learned.update(zip(symbol.tolist(), map(tuple, before.tolist())))
+    symbol = c.symbols(words, kinds[first])[number]
+    at = np.repeat(~held, sizes)
+    assert learned == Counter(zip(symbol[at].tolist(), map(tuple, scoring.contexts(symbol, sizes, c.n_symbols)[at].tolist())))
+
+
 def test_contexts_stop_at_the_start_of_a_text():
     got = scoring.contexts(np.array([5, 6, 7, 8, 9]), np.array([2, 3]), 99)
     assert got[:, 0].tolist() == [99, 5, 99, 7, 8] and got[:, 1].tolist() == [99, 99, 99, 99, 7]

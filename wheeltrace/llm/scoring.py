@@ -6,8 +6,9 @@ are dealt over classes of like frequency, and the model is normalised in two pro
 after context. A kind's probability is shared among its words by their counts (0.5 for all unseen ones), so every token has a probability
 and they add up to 1.
 
-Training runs on the executors: each task starts from the same parameters and takes noise-contrastive steps over one in THIN
-of its training positions, so the draws follow the corpus; the tasks' parameters are averaged, group by group, for each of ROUNDS rounds.
+Training runs on the executors over every position of all training rows: each task starts from the same parameters and takes
+noise-contrastive steps over its positions; the tasks' parameters are averaged, group by group, after each of ROUNDS rounds. A round takes
+its share of each chunk's positions, so that each position is learned once.
 
 Word counts are exact and cover all training rows: rows are read in chunks, each chunk's sorted distinct words travel in
 ranges of the hash, to be added up, and only the sums travel back; no word list but the vocabulary is broadcast. A word in every
@@ -37,8 +38,9 @@ from . import base
 VOCABULARY = 4_096
 KINDS = 30
 CLASSES = 64
-CONTEXT, DIM, NOISE = 4, 24, 6
-THIN, ROUNDS, BATCH, RATE = 16, 2, 1_024, 0.1
+CONTEXT, DIM, NOISE = 4, 24, 16
+ROUNDS, BATCH, LEAST_BATCH, RATE = 2, 4_096, 512, 0.1
+PIECE = 512  #: rows of one product of matrices, which BLAS does on one thread
 GROUPS = 16  #: in which tasks' parameters are averaged before the driver gets them
 END_HASH = np.uint64(0x2545F4914F6CDD1D)
 CHUNK_CHARS = 4_000_000
@@ -173,6 +175,12 @@ class Counts:
         self.of[rank] = np.minimum((mass - mass[0]) / mass[-1] * CLASSES, CLASSES - 1).astype(np.int64)
         self.members = np.argsort(self.of, kind="stable")
         self.cut = np.searchsorted(self.of[self.members], np.arange(CLASSES + 1))
+        # for draws: sums of the counts up to each member, and up to the start and the end of each class; and what noise weighs
+        self.high_of = np.cumsum(self.counts[self.members])
+        ends = np.append(0.0, self.high_of)[self.cut]
+        self.low, self.high = ends[:-1], ends[1:]
+        self.log_class = np.log(np.maximum((self.high - self.low) / self.high[-1], 1e-12) * NOISE).astype(np.float32)
+        self.log_inside = np.log(self.counts / np.maximum((self.high - self.low)[self.of], 1e-12) * NOISE).astype(np.float32)
 
     def symbols(self, hashes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         out = kinds.astype(np.int64)
@@ -203,7 +211,7 @@ def numbers(row) -> np.ndarray:
 def contexts(symbols: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
     """The CONTEXT symbols before each token of texts that follow one another; `start` stands before a text."""
     place = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out = np.full((len(symbols), CONTEXT), start, np.int64)
+    out = np.full((len(symbols), CONTEXT), start, symbols.dtype)
     for j in range(CONTEXT):
         out[j + 1 :, j] = np.where(place[j + 1 :] > j, symbols[: len(symbols) - j - 1], start)
     return out
@@ -211,10 +219,10 @@ def contexts(symbols: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
 
 def scatter(rows: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct places of `at` and the sums of their rows."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")  # two bytes are sorted by radix
     own = at[order]
     first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    return own[first], np.add.reduceat(rows[order], first, axis=0)
+    return own[first], np.add.reduceat(np.take(rows, order, axis=0), first, axis=0)
 
 
 @dataclass
@@ -235,7 +243,7 @@ class LogBilinear:
 
     def context(self, before: np.ndarray) -> np.ndarray:
         vectors, places = self.params[:2]
-        return (vectors[before] * places).sum(1)
+        return sum(np.take(vectors, before[:, j], axis=0) * places[j] for j in range(CONTEXT))
 
     def log10(self, c: Counts, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Normalised log10-probabilities of the symbols: two batched products of matrices, class and symbol within class."""
@@ -258,31 +266,42 @@ class LogBilinear:
 
     def learn(self, c: Counts, before: np.ndarray, symbol: np.ndarray, squares: list[np.ndarray], rng: np.random.Generator) -> None:
         """Noise-contrastive steps on one batch: each symbol's class against classes, and the symbol against symbols of its
-        class, drawn by their counts; steps are scaled by the sums of squared gradients."""
+        class, drawn by their counts; steps are scaled by the sums of squared gradients. The rows of a batch share NOISE classes, and
+        those of a class in it NOISE symbols, so their scores are products of matrices."""
         vectors, places, class_out, class_bias, out, bias = self.params
-        n = len(symbol)
+        order = np.argsort(c.of[symbol].astype(np.uint8), kind="stable")
+        symbol, before = symbol[order], before[order]
         x, kind = self.context(before), c.of[symbol]
-        cum = np.cumsum(c.counts[c.members])
-        lo, hi = np.append(0.0, cum)[c.cut[:-1]], np.append(0.0, cum)[c.cut[1:]]
-        noise_class = np.minimum(np.searchsorted(np.cumsum(hi - lo), rng.random((n, NOISE)) * cum[-1], side="right"), CLASSES - 1)
-        draw = lo[kind][:, None] + rng.random((n, NOISE)) * (hi - lo)[kind][:, None]
-        noise = c.members[np.minimum(np.searchsorted(cum, draw, side="right"), c.cut[1:][kind][:, None] - 1)]
+        live, first = np.unique(kind, return_index=True)
+        cut = [*first.tolist(), len(kind)]
+        pieces = lambda i, j: [slice(a, min(a + PIECE, j)) for a in range(i, j, PIECE)]
+        noise_class = np.minimum(np.searchsorted(c.high, rng.random(NOISE) * c.high[-1], side="right"), CLASSES - 1)
+        draw = c.low[live, None] + rng.random((len(live), NOISE)) * (c.high - c.low)[live, None]
+        noise = c.members[np.minimum(np.searchsorted(c.high_of, draw, side="right"), c.cut[1:][live, None] - 1)]
         d_x = np.zeros_like(x)
-        for weights, offsets, target, log_q, w_at, b_at in (
-            (class_out, class_bias, np.column_stack([kind, noise_class]), np.log(np.maximum((hi - lo) / cum[-1], 1e-12)), 2, 3),
-            (out, bias, np.column_stack([symbol, noise]), np.log(c.counts / np.maximum((hi - lo)[c.of], 1e-12)), 4, 5),
+        for weights, offsets, target, drawn, parts, w_at, b_at in (
+            (class_out, class_bias - c.log_class, kind, noise_class[None], [(0, at) for at in pieces(0, len(x))], 2, 3),
+            (out, bias - c.log_inside, symbol, noise, [(i, at) for i in range(len(live)) for at in pieces(cut[i], cut[i + 1])], 4, 5),
         ):
-            w = weights[target]
-            s = np.einsum("bd,bkd->bk", x, w) + offsets[target] - (log_q[target] + np.log(NOISE))
+            w, w_noise, level = weights[target], weights[drawn], offsets[drawn]
+            s = np.empty((len(x), NOISE + 1), np.float32)
+            s[:, 0] = np.einsum("bd,bd->b", x, w) + offsets[target]
+            for i, at in parts:
+                s[at, 1:] = x[at] @ w_noise[i].T + level[i]
             g = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
             g[:, 0] -= 1
-            g = g.astype(np.float32)
-            d_x += np.einsum("bk,bkd->bd", g, w)
-            at, rows = scatter((g[:, :, None] * x[:, None, :]).reshape(-1, DIM), target.ravel(), len(weights))
+            d_x += g[:, :1] * w
+            rows, sums = np.zeros((*drawn.shape, DIM), np.float32), np.zeros(drawn.shape, np.float32)
+            for i, at in parts:
+                own = g[at, 1:]
+                d_x[at] += own @ w_noise[i]
+                rows[i] += own.T @ x[at]
+                sums[i] += own.sum(0)
+            at, rows = scatter(np.concatenate([g[:, :1] * x, rows.reshape(-1, DIM)]), np.concatenate([target, drawn.ravel()]), len(weights))
             self.move(w_at, at, rows, squares)
-            self.move(b_at, np.arange(len(offsets)), np.bincount(target.ravel(), g.ravel(), minlength=len(offsets)).astype(np.float32), squares)
-        v = vectors[before]
-        d_places = np.einsum("bd,bjd->jd", d_x, v)
+            d_b = np.bincount(target, g[:, 0], minlength=len(offsets)) + np.bincount(drawn.ravel(), sums.ravel(), minlength=len(offsets))
+            self.move(b_at, np.arange(len(offsets)), d_b.astype(np.float32), squares)
+        d_places = np.stack([np.einsum("bd,bd->d", d_x, np.take(vectors, before[:, j], axis=0)) for j in range(CONTEXT)])
         at, rows = scatter((d_x[:, None, :] * places).reshape(-1, DIM), before.ravel(), len(vectors))
         self.move(0, at, rows, squares)
         self.move(1, np.arange(CONTEXT), d_places, squares)
@@ -297,6 +316,18 @@ def log_sum(s: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(s - top[:, None]).sum(1))
 
 
+def batches_of(row, c: Counts, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The contexts and symbols of a chunk's training positions that are learned in this round, in random order: each position in one of
+    the ROUNDS rounds. Small chunks make smaller batches, so that they too get some steps."""
+    sizes, held = np.frombuffer(row.sizes, np.int64), np.frombuffer(row.held, bool)
+    symbol = c.symbols(np.frombuffer(row.hashes, np.uint64), np.frombuffer(row.kinds, np.uint8)).astype(np.int32)[numbers(row)]
+    at = np.random.default_rng(row.chunk).permutation(np.flatnonzero(np.repeat(~held, sizes)))[turn::ROUNDS]
+    before = contexts(symbol, sizes, c.n_symbols)
+    size = min(BATCH, max(LEAST_BATCH, len(at) // 64))
+    for i in range(0, len(at), size):
+        yield before[at[i : i + size]], symbol[at[i : i + size]]
+
+
 def train(chunks: DataFrame, c: Counts) -> LogBilinear:
     """Rounds of local steps on the executors and averages of what they learn."""
     spark, model = chunks.sparkSession, LogBilinear.new(c)
@@ -314,14 +345,9 @@ def train(chunks: DataFrame, c: Counts) -> LogBilinear:
             for pdf in base.released(batches):
                 for r in pdf.itertuples():
                     rng = np.random.default_rng((turn, r.chunk))
-                    sizes, held = np.frombuffer(r.sizes, np.int64), np.frombuffer(r.held, bool)
-                    symbol = c.symbols(np.frombuffer(r.hashes, np.uint64), np.frombuffer(r.kinds, np.uint8))[numbers(r)]
-                    at = np.flatnonzero(np.repeat(~held, sizes))
-                    at = rng.permutation(at)[: -(-len(at) // THIN)]
-                    before = contexts(symbol, sizes, c.n_symbols)
-                    for i in range(0, len(at), BATCH):
-                        own.learn(c, before[at[i : i + BATCH]], symbol[at[i : i + BATCH]], squares, rng)
-                    seen += len(at)
+                    for before, symbol in batches_of(r, c, turn):
+                        own.learn(c, before, symbol, squares, rng)
+                        seen += len(symbol)
             if seen:
                 yield pd.DataFrame({"part": [TaskContext.get().partitionId() % first], "seen": [float(seen)], "params": [b"".join((p * seen).astype(np.float32).tobytes() for p in own.params)]})
 
