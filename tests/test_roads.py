@@ -79,6 +79,31 @@ def test_first_value_of_list_tags(spark):
     assert tuple(roadgraph.plain_tags(rows).first()) == ("primary", "50", None)
 
 
+def test_nearest_edge_pairs_no_points_with_edges(spark):
+    """Equal to a search over all edges, ties and points without any included; a point stays one row, and no pairs are grouped."""
+    draw = random.Random(3)
+    places = [(i, draw.randrange(12) * 25.0, draw.randrange(12) * 25.0) for i in range(40)]
+    ways = sorted({(draw.randrange(40), draw.randrange(40), draw.randrange(2)) for _ in range(150)})
+    spots = [(i, draw.randrange(-8, 20) * 25.0, draw.randrange(-8, 20) * 25.0) for i in range(200)] + [(7, 0.0, 0.0), (None, 50.0, 50.0), (500, None, 1.0)]
+
+    def distance(x, y, u, v):
+        (_, x1, y1), (_, x2, y2) = places[u], places[v]
+        dx, dy = x2 - x1, y2 - y1
+        s = max(0.0, min(1.0, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+        return math.sqrt((x - (x1 + s * dx)) ** 2 + (y - (y1 + s * dy)) ** 2)
+
+    nodes, edges = spark.createDataFrame(places, "node_id int, x double, y double"), spark.createDataFrame(ways, "u int, v int, key int")
+    got = roadgraph.with_nearest_edge(spark.createDataFrame(spots, "point_id int, px double, py double"), nodes, edges, max_m=60.0)
+    want = []
+    for i, x, y in spots:
+        best = min(((distance(x, y, u, v), u, v, k) for u, v, k in ways if x is not None), default=(math.inf,))
+        want.append((i, *best[1:], best[0]) if best[0] <= 60 else (i, None, None, None, None))
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(((r.point_id, r.u, r.v, r.key, r.dist) for r in got.collect()), key=key) == sorted(want, key=key)
+    plan = roadgraph.nearest_edge(spark.createDataFrame(spots, "point_id int, px double, py double"), nodes, edges, max_m=60.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
 def test_trace_features_far_from_roads_and_filled(spark):
     nodes = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0), (2, 100.0, 0.0, 0.001, 0.0), (3, 200.0, 0.0, 0.002, 0.0)], "node_id int, x double, y double, lon double, lat double")
     edges = spark.createDataFrame([(1, 2, 0, 100.0, ["motorway"], ["100"], ["3"]), (2, 3, 0, 100.0, ["trunk_link"], ["60"], [])], "u int, v int, key int, length double, highway array<string>, maxspeed array<string>, lanes array<string>")
