@@ -1,5 +1,6 @@
 """Metrics on known inputs, numeric helpers, splits, samples, geography, scans and sinks."""
 
+import random
 import datetime as dt
 import hashlib
 import json
@@ -73,6 +74,25 @@ def test_action_priority(spark):
         assert one(spark, x=label).x == want
 
 
+def test_majority_windows_make_no_pairs(spark):
+    """Equal to counts in each window, with gaps, a null label and labels outside of all windows; no pairs of labels and windows are grouped."""
+    th, draw = Thresholds(), random.Random(4)
+    rows = [(r, half, draw.choice(["a", "b", "c", None])) for r in (1, 2, 3) for half in sorted(draw.sample(range(-4, 80), 25))]
+    ends = {1: 30.0, 2: 12.5, 3: 5.0}
+    lab = spark.createDataFrame([(r, half / 2, x) for r, half, x in rows] + [(1, None, "c")], "route_id int, timestamp double, action_label string")
+    w = labels.majority_windows(lab, spark.createDataFrame([(r, 0.0, e) for r, e in ends.items()], "route_id int, t0 double, t1 double"), th)
+    want = {}
+    for r, end in ends.items():
+        for k in range(int((end - 5) / 0.5) + 1 if end >= 6 else 0):
+            inside = [x for q, half, x in rows if q == r and k / 2 <= half / 2 < k / 2 + 5]
+            if inside:
+                want[r, k / 2] = max(inside, key=lambda x: (inside.count(x), -inside.index(x)))
+    got = w.collect()
+    assert {(g.route_id, g.start_s): g.label for g in got} == want and len(got) == len(want)
+    plan = w._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+
+
 def test_majority_tie_goes_to_the_first_seen(spark):
     lab = spark.createDataFrame([(1, 0.5, "B"), (1, 1.5, "A"), (1, 2.5, "A"), (1, 3.5, "B"), (1, 4.5, "C")], "route_id int, timestamp double, action_label string")
     w = labels.majority_windows(lab, spark.createDataFrame([(1, 0.0, 6.0)], "route_id int, t0 double, t1 double"), Thresholds())
