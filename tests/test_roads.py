@@ -74,6 +74,17 @@ def test_tiles_and_rounds_agree_on_the_town(spark, data):
     assert rows_of(roadgraph.tiled_paths(edges, nodes, nodes, 300.0)) == rows_of(roadgraph.bounded_paths(edges, nodes, 300.0))
 
 
+def test_roads_far_from_all_sources_are_not_searched(spark):
+    """Edges of squares without a source are dropped before tiles are gathered, and sources of neighbouring squares share one task's tile."""
+    places = [(i, (i % 50) * 60.0 - 900.0, (i // 50) * 60.0 - 900.0) for i in range(2_500)]
+    edges = [(i, j, 60.0) for i, _, _ in places for j in (i + 1, i + 50) if j < 2_500 and (j != i + 1 or j % 50)]
+    nodes, roads = spark.createDataFrame(places, "node_id int, x double, y double"), spark.createDataFrame(edges, "u int, v int, length double")
+    starts = [0, 15, 16, 1_234]
+    paths = roadgraph.tiled_paths(roads, nodes, spark.createDataFrame([(i,) for i in starts], "node_id int"), 200.0)
+    assert rows_of(paths) == all_paths(edges, starts, 200.0)
+    assert "LeftSemi" in paths._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_first_value_of_list_tags(spark):
     rows = spark.createDataFrame([(["primary", "trunk"], "50", [])], "highway array<string>, maxspeed string, lanes array<string>")
     assert tuple(roadgraph.plain_tags(rows).first()) == ("primary", "50", None)
